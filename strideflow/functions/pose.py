@@ -38,6 +38,17 @@ def keypoint(name: str, conf_min: float | None = None, kps: str | Column = "keyp
     return F.when(F.coalesce(point["conf"], F.lit(0.0)) >= conf_min, point)
 
 
+def bind(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are computed once per row, whatever refers to them later.
+
+    A one-row ``inline`` is a border the optimizer does not move predicates or
+    projections across, so a filter on a derived value does not copy the whole
+    expression tree behind it into the plan again and again.
+    """
+    packed = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.inline(F.array(packed)))
+
+
 def _seen(name: str, conf: float, kps) -> Column:
     return keypoint(name, conf, kps)
 
@@ -46,10 +57,8 @@ def _seen(name: str, conf: float, kps) -> Column:
 
 def camera_angle(df: DataFrame, kps: str = "keypoints") -> DataFrame:
     """Add camera_angle, shoulder_ratio, angle_confidence and the two lengths."""
-    src = df.select(
-        "*",
-        *[_seen(n, CONF_ANGLE, kps).alias(f"_{n}") for n in ("l_shoulder", "r_shoulder", "l_hip", "r_hip")],
-    )
+    joints = ("l_shoulder", "r_shoulder", "l_hip", "r_hip")
+    src = bind(df, {f"_{n}": _seen(n, CONF_ANGLE, kps) for n in joints})
     ls, rs, lh, rh = (F.col(f"_{n}") for n in ("l_shoulder", "r_shoulder", "l_hip", "r_hip"))
     shoulders = ls.isNotNull() & rs.isNotNull()
     hips = lh.isNotNull() & rh.isNotNull()
@@ -173,12 +182,11 @@ def pose_features(df: DataFrame, kps: str = "keypoints", out: str = "pose") -> D
         lambda k: (k["conf"] >= CONF_FEATURE) & (F.coalesce(F.length(k["name"]), F.lit(0)) > 0),
     )
     base = list(df.columns)
-    step = df.select(
-        "*",
-        *[_seen(n, CONF_FEATURE, kps).alias(f"_{n}") for n in parts],
-        F.coalesce(
-            F.size(F.array_distinct(F.transform(confident, lambda k: k["name"]))), F.lit(0)
-        ).alias("_n"),
+    names = F.array_distinct(F.transform(confident, lambda k: k["name"]))
+    step = bind(
+        df,
+        {f"_{n}": _seen(n, CONF_FEATURE, kps) for n in parts}
+        | {"_n": F.coalesce(F.size(names), F.lit(0))},
     )
     p = {n: F.col(f"_{n}") for n in parts}
     step = step.select(
@@ -268,7 +276,7 @@ def pose_features(df: DataFrame, kps: str = "keypoints", out: str = "pose") -> D
         *[F.when(ok, F.round(c, d)).otherwise(0.0).alias(n) for n, (c, d) in raw.items()],
         F.when(ok, F.array(*[scaled.get(n, raw[n][0]) for n in FEATURES])).alias("vector"),
     )
-    return step.select(*base, pose.alias(out))
+    return bind(step, {out: pose}).select(*base, out)
 
 
 def pose_vector(pose: str = "pose") -> Column:
@@ -342,3 +350,13 @@ def standard_keypoints(kps: str | Column = "keypoints") -> Column:
             )
         )
     return F.array(*slots)
+
+
+def corrected_quality(mask_area: Column) -> Column:
+    """Score of a manually corrected frame whose pose could not be found: 0.2 to 0.45."""
+    return F.round(clamp(0.2 + mask_area / 60000.0, 0.2, 0.45), 3)
+
+
+def sot_quality(n_valid: Column, mask_area: Column) -> Column:
+    """Score of a frame tracked forward from a correction."""
+    return F.round(0.45 * n_valid / 17.0 + 0.55 * mask_term(mask_area), 3)
