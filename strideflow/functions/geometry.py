@@ -167,45 +167,46 @@ def polygon_lerp(a: Column, b: Column, t: Column) -> Column:
     return F.when((n_a == n_b) & (n_a > 0), blend).when(n_a > 0, a).otherwise(b)
 
 
-def contains_point(poly: Column, x: Column, y: Column) -> Column:
-    """Even-odd rule: count the edges a ray to the right crosses."""
-    crossings = F.aggregate(
-        F.arrays_zip(poly.alias("p"), _next_vertex(poly).alias("q")),
-        F.lit(0),
-        lambda n, e: n
-        + F.when(
-            ((e["p"].y > y) != (e["q"].y > y))
-            & (x < (e["q"].x - e["p"].x) * (y - e["p"].y) / (e["q"].y - e["p"].y) + e["p"].x),
-            F.lit(1),
-        ).otherwise(F.lit(0)),
+def polygon_edges(poly: Column) -> Column:
+    """ARRAY<STRUCT<px, py, qx, qy>>; bind it once before many point tests."""
+    edges = F.zip_with(
+        poly,
+        _next_vertex(poly),
+        lambda p, q: F.struct(p.x.alias("px"), p.y.alias("py"), q.x.alias("qx"), q.y.alias("qy")),
+    )
+    return F.when(F.size(poly) >= 3, edges)
+
+
+def contains_point(edges: Column, x: Column, y: Column) -> Column:
+    """Even-odd rule: whether a ray to the right crosses an odd number of edges."""
+    return F.aggregate(
+        edges,
+        F.lit(False),
+        lambda odd, e: odd
+        != (
+            ((e.py > y) != (e.qy > y))
+            & (x < (e.qx - e.px) * (y - e.py) / (e.qy - e.py) + e.px)
+        ),
     )
-    return (F.size(poly) >= 3) & (crossings % 2 == 1)
 
 
-def box_polygon_share(box: Column, poly: Column, steps: int = 16) -> Column:
-    """Share of the box's lower half inside the polygon (pixel units).
+def box_polygon_share(half: Column, edges: Column, steps: int = 16) -> Column:
+    """Share of a lower half box (see ``box_bottom_half``) inside a polygon.
 
     The half box is sampled at the centres of a ``steps`` x ``steps`` grid, so
     the result is a fraction in [0, 1] with a resolution of ``1 / steps**2``.
+    Bind both arguments first: they are read once per sample.
     """
-    half = box_bottom_half(box)
     axis = F.array(*[F.lit((i + 0.5) / steps) for i in range(steps)])
-    inside = F.flatten(
-        F.transform(
-            axis,
-            lambda v: F.transform(
-                axis,
-                lambda u: F.when(
-                    contains_point(
-                        poly, half[0] + (half[2] - half[0]) * u, half[1] + (half[3] - half[1]) * v
-                    ),
-                    F.lit(1),
-                ).otherwise(F.lit(0)),
-            ),
+
+    def hits(v):
+        y = half[1] + (half[3] - half[1]) * v
+        return F.size(
+            F.filter(axis, lambda u: contains_point(edges, half[0] + (half[2] - half[0]) * u, y))
         )
-    )
-    share = F.aggregate(inside, F.lit(0), lambda a, v: a + v) / F.lit(float(steps * steps))
-    return F.when((rect_area(half) > 0) & (F.size(poly) >= 3), share).otherwise(F.lit(0.0))
+
+    share = F.aggregate(axis, F.lit(0), lambda n, v: n + hits(v)) / F.lit(float(steps * steps))
+    return F.when((rect_area(half) > 0) & edges.isNotNull(), share).otherwise(F.lit(0.0))
 
 
 def scale_points(poly: Column, sx, sy) -> Column:
