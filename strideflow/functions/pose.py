@@ -20,22 +20,21 @@ QUALITY_USABLE = 0.55
 QUALITY_FLOOR = 0.15
 
 
-def keypoint(name: str, conf_min: float | None = None, kps: str | Column = "keypoints") -> Column:
+def keypoint(name: str, conf_min: float | None = None, kps: str = "keypoints") -> Column:
     """The named keypoint, or null when it is absent or below ``conf_min``.
 
     Writers store the names in a fixed order, so the expected slot is tried
     first (a plain array access that stays in generated code); other layouts
     fall back to a search, where the last entry of a name wins.
     """
-    kps = F.col(kps) if isinstance(kps, str) else kps
-    slot = F.get(kps, F.lit(KEYPOINTS.index(name)))
-    found = F.filter(kps, lambda k: k["name"] == name)
-    point = F.when(slot["name"] == name, slot).otherwise(
-        F.when(F.size(found) > 0, F.element_at(found, -1))
+    slot = f"get({kps}, {KEYPOINTS.index(name)})"
+    point = (
+        f"CASE WHEN {slot}.name = '{name}' THEN {slot} "
+        f"ELSE try_element_at(filter({kps}, k -> k.name = '{name}'), -1) END"
     )
     if conf_min is None:
-        return point
-    return F.when(F.coalesce(point["conf"], F.lit(0.0)) >= conf_min, point)
+        return F.expr(point)
+    return F.expr(f"CASE WHEN coalesce(({point}).conf, 0D) >= {conf_min}D THEN {point} END")
 
 
 def bind(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -336,7 +335,7 @@ def quality_with_floor(quality: Column, detected: Column, box: Column, box_only:
     ).otherwise(quality)
 
 
-def standard_keypoints(kps: str | Column = "keypoints") -> Column:
+def standard_keypoints(kps: str = "keypoints") -> Column:
     """The 11 names in stored order; a missing one becomes zeros; 2 / 4 decimals."""
     slots = []
     for name in KEYPOINTS:

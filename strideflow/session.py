@@ -20,6 +20,23 @@ DEFAULTS = {
 }
 
 
+#: Settings that must be there when the session starts.  Capturing the Python
+#: call site of every column costs more than planning for long expressions.
+STATIC = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
+
+def build(master: str | None = None, **extra: str) -> SparkSession:
+    """A new session with all settings; ``extra`` uses ``__`` for dots in names."""
+    builder = SparkSession.builder.appName("strideflow")
+    if master is not None:
+        builder = builder.master(master)
+    for key, value in {**STATIC, **DEFAULTS}.items():
+        builder = builder.config(key, value)
+    for key, value in extra.items():
+        builder = builder.config(key.replace("__", "."), value)
+    return builder.getOrCreate()
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Apply :data:`DEFAULTS` to a running session (all are runtime settings)."""
     for key, value in DEFAULTS.items():

@@ -70,16 +70,14 @@ def compare(spark, con, sf, name, fn, sql):
 
 
 def session():
-    from pyspark.sql import SparkSession
-
-    return (
-        SparkSession.builder.master("local[8]")
-        .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.driver.memory", "8g")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.session.timeZone", "UTC")
-        .getOrCreate()
+    from strideflow.session import build
+
+    return build(
+        "local[8]",
+        spark__sql__shuffle__partitions="8",
+        spark__driver__memory="8g",
+        spark__ui__enabled="false",
+        spark__ui__showConsoleProgress="false",
     )
 
 
