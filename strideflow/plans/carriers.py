@@ -33,42 +33,38 @@ def rnd(col: Column, digits: int = 6) -> Column:
 def frames(spark: SparkSession, sf: str) -> DataFrame:
     src = table(spark, sf, "embeddings").select("vec_id", "embedding")
 
-    def e(k: int) -> Column:
-        return F.get("embedding", F.lit(k - 1)).cast("double")
+    def e(k: int) -> str:
+        return f"cast(get(embedding, {k - 1}) as double)"
 
     kps = []
     for i, name in enumerate(KEYPOINTS):
-        y = 360 + 600 * e(3 * i + 2)
+        lift = " - 90D" if i in (1, 2) else ""
         kps.append(
-            F.struct(
-                F.lit(name).alias("name"),
-                (640 + 300 * e(3 * i + 1)).alias("x"),
-                (y - 90 if i in (1, 2) else y).alias("y"),
-                F.least(F.lit(1.0), 0.3 + 5 * F.abs(e(3 * i + 3))).alias("conf"),
-            )
+            f"named_struct('name', '{name}', 'x', 640D + 300D * {e(3 * i + 1)}, "
+            f"'y', 360D + 600D * {e(3 * i + 2)}{lift}, 'conf', least(1D, 0.3D + 5D * abs({e(3 * i + 3)})))"
         )
-    idx = (STRIDE * (F.col("vec_id") % FRAMES_PER_VIDEO)).cast("int")
-    base = bind(src, {"keypoints": F.array(*kps)}).select(
-        F.floor(F.col("vec_id") / FRAMES_PER_VIDEO).cast("string").alias("video_id"),
-        idx.alias("frame_idx"),
-        (idx / 30.0).alias("timestamp_s"),
-        (e(35) > -0.2).alias("person_detected"),
+    idx = f"cast({STRIDE} * (vec_id % {FRAMES_PER_VIDEO}) as int)"
+    base = bind(src, {"keypoints": F.expr(f"array({', '.join(kps)})")}).selectExpr(
+        f"cast(floor(vec_id / {FRAMES_PER_VIDEO}) as string) as video_id",
+        f"{idx} as frame_idx",
+        f"{idx} / 30D as timestamp_s",
+        f"{e(35)} > -0.2D as person_detected",
         "keypoints",
-        (e(36) > 0).alias("has_mask"),
-        F.floor(F.abs(e(37)) * 200000).cast("int").alias("mask_area_px"),
-        F.round(F.least(F.lit(1.0), F.abs(e(38)) * 5), 4).alias("track_overlap"),
-        F.round(F.least(F.lit(1.0), F.abs(e(39)) * 2), 4).alias("landing_overlap"),
-        F.floor(F.abs(e(40)) * 50).cast("int").alias("track_id"),
-        F.round(200 * e(41) + 3 * idx, 3).alias("position_s"),
-        F.least(F.lit(1.0), F.abs(e(42)) * 6).alias("appearance_sim"),
-        (e(43) > 0.25).alias("manually_corrected"),
-        (e(50)).alias("dir_x"),
-        (0.2 * e(51)).alias("dir_y"),
+        f"{e(36)} > 0D as has_mask",
+        f"cast(floor(abs({e(37)}) * 200000D) as int) as mask_area_px",
+        f"round(least(1D, abs({e(38)}) * 5D), 4) as track_overlap",
+        f"round(least(1D, abs({e(39)}) * 2D), 4) as landing_overlap",
+        f"cast(floor(abs({e(40)}) * 50D) as int) as track_id",
+        f"round(200D * {e(41)} + 3 * {idx}, 3) as position_s",
+        f"least(1D, abs({e(42)}) * 6D) as appearance_sim",
+        f"{e(43)} > 0.25D as manually_corrected",
+        f"{e(50)} as dir_x",
+        f"0.2D * {e(51)} as dir_y",
     )
-    xs = [F.get("keypoints", F.lit(i))["x"] for i in range(11)]
-    ys = [F.get("keypoints", F.lit(i))["y"] for i in range(11)]
-    box = F.array(F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys))
-    return base.withColumn("person_bbox", F.when(F.col("person_detected"), box))
+    xs = ", ".join(f"keypoints[{i}].x" for i in range(11))
+    ys = ", ".join(f"keypoints[{i}].y" for i in range(11))
+    box = f"array(least({xs}), least({ys}), greatest({xs}), greatest({ys}))"
+    return base.withColumn("person_bbox", F.expr(f"CASE WHEN person_detected THEN {box} END"))
 
 
 def _e(k: int) -> str:
@@ -247,16 +243,16 @@ def sessions(spark: SparkSession, sf: str) -> DataFrame:
     k, c = F.col("o_orderkey"), F.col("o_custkey")
 
     def interval(i):
-        v = ((k * (7 + i) + c * 3) % 100 - 5) / 100.0
+        v = ((k * (7 + i) + c * 3) % 100 - 5) / 97.3
         return F.when((k + i) % 11 != 0, v)
 
     def length(i):
-        return F.when((k + 2 * i) % 13 != 0, ((k * (3 + i)) % 90) / 20.0)
+        return F.when((k + 2 * i) % 13 != 0, ((k * (3 + i)) % 90) / 19.7)
 
     def vector(i):
         return F.when(
             (k + i) % 7 != 0,
-            F.array(*[((k * (i + 3) * (d + 5)) % 101) / 100.0 - 0.02 for d in range(N_DIMS)]),
+            F.array(*[((k * (i + 3) * (d + 5)) % 101) / 103.7 - 0.0193 for d in range(N_DIMS)]),
         )
 
     return o.select(
@@ -275,17 +271,17 @@ def sessions(spark: SparkSession, sf: str) -> DataFrame:
 def _sessions_sql() -> str:
     iv = ", ".join(
         f"CASE WHEN (o_orderkey + {i}) % 11 <> 0 THEN "
-        f"((o_orderkey * {7 + i} + o_custkey * 3) % 100 - 5) / 100.0::DOUBLE END"
+        f"((o_orderkey * {7 + i} + o_custkey * 3) % 100 - 5) / 97.3::DOUBLE END"
         for i in range(4)
     )
     ln = [
         f"CASE WHEN (o_orderkey + {2 * i}) % 13 <> 0 THEN "
-        f"((o_orderkey * {3 + i}) % 90) / 20.0::DOUBLE END"
+        f"((o_orderkey * {3 + i}) % 90) / 19.7::DOUBLE END"
         for i in range(SLOTS)
     ]
     vec = ", ".join(
         f"CASE WHEN (o_orderkey + {i}) % 7 <> 0 THEN list_transform(range({N_DIMS}), "
-        f"lambda d: ((o_orderkey * {i + 3} * (d + 5)) % 101) / 100.0::DOUBLE - 0.02::DOUBLE) END"
+        f"lambda d: ((o_orderkey * {i + 3} * (d + 5)) % 101) / 103.7::DOUBLE - 0.0193::DOUBLE) END"
         for i in range(SLOTS)
     )
     return (
