@@ -243,7 +243,7 @@ def sessions(spark: SparkSession, sf: str) -> DataFrame:
     k, c = F.col("o_orderkey"), F.col("o_custkey")
 
     def interval(i):
-        v = ((k * (7 + i) + c * 3) % 100 - 5) / 97.3
+        v = F.sqrt(((k * (7 + i) + c * 3) % 100).cast("double")) / 9.7 - 0.2
         return F.when((k + i) % 11 != 0, v)
 
     def length(i):
@@ -271,7 +271,7 @@ def sessions(spark: SparkSession, sf: str) -> DataFrame:
 def _sessions_sql() -> str:
     iv = ", ".join(
         f"CASE WHEN (o_orderkey + {i}) % 11 <> 0 THEN "
-        f"((o_orderkey * {7 + i} + o_custkey * 3) % 100 - 5) / 97.3::DOUBLE END"
+        f"sqrt(CAST((o_orderkey * {7 + i} + o_custkey * 3) % 100 AS DOUBLE)) / 9.7::DOUBLE - 0.2::DOUBLE END"
         for i in range(4)
     )
     ln = [

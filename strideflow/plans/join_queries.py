@@ -566,13 +566,14 @@ def f47(spark, sf):
 @query(
     "j10_exclude_self",
     sql(
-        """SELECT s.athlete_id, s.video_id FROM sessions_v s WHERE CAST(s.video_id AS BIGINT) % 50 <> 0""",
+        """SELECT s.athlete_id, s.video_id FROM sessions_v s WHERE NOT EXISTS (
+  SELECT 1 FROM orders WHERE o_orderstatus = 'P' AND CAST(o_orderkey AS VARCHAR) = s.video_id)""",
         "sessions_v",
     ),
 )
 def j10(spark, sf):
-    s = C.sessions(spark, sf)
-    return J.exclude_self(s, s.filter(F.col("video_id").cast("long") % 50 == 0)).select("athlete_id", "video_id")
+    now = C.table(spark, sf, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").cast("string").alias("video_id"))
+    return J.exclude_self(C.sessions(spark, sf), now).select("athlete_id", "video_id")
 
 
 @query(
