@@ -498,9 +498,13 @@ def phases_from_markers(markers: DataFrame, last_frames: DataFrame) -> DataFrame
     some = first_hop.isNotNull() | appr.isNotNull()
     run_up = F.when(first_hop.isNotNull(), F.greatest(F.lit(0), first_hop - 1)).otherwise(appr)
     bounds = {"approach": (F.when(some, 0), run_up)}
+    numbered = F.transform(h, lambda m, i: F.struct(m.alias("m"), i.alias("i")))
+
+    def marker_of(phase):
+        return F.get(F.filter(numbered, lambda e: e["m"]["phase"] == phase), F.lit(0))
+
     for p in HOPS:
-        at = F.filter(F.transform(h, lambda m, i: F.struct(m.alias("m"), i.alias("i"))), lambda e, p=p: e["m"]["phase"] == p)
-        mine = F.get(at, F.lit(0))
+        mine = marker_of(p)
         begin = mine["m"]["frame_idx"]
         nxt = F.get(h, mine["i"] + 1)["frame_idx"]
         stop = F.coalesce(nxt - 1, final - 1, land - 1, last)
