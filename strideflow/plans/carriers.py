@@ -30,8 +30,8 @@ def rnd(col: Column, digits: int = 6) -> Column:
 
 # ------------------------------------------------------------------ frames
 
-def frames(spark: SparkSession, sf: str) -> DataFrame:
-    src = table(spark, sf, "embeddings").select("vec_id", "embedding")
+def frames(spark: SparkSession, sf: str, read=None) -> DataFrame:
+    src = (read or table)(spark, sf, "embeddings").select("vec_id", "embedding")
 
     def e(k: int) -> str:
         return f"cast(get(embedding, {k - 1}) as double)"
@@ -204,9 +204,9 @@ EVENTS_PER_VIDEO = 100
 SURFACES = {"view": "track", "click": "track", "purchase": "sand"}
 
 
-def signals(spark: SparkSession, sf: str) -> DataFrame:
+def signals(spark: SparkSession, sf: str, read=None) -> DataFrame:
     """One foot signal per frame: ``events`` in blocks of a hundred ids."""
-    ev = table(spark, sf, "events")
+    ev = (read or table)(spark, sf, "events")
     surface = F.lit("unknown")
     for kind, name in SURFACES.items():
         surface = F.when(F.col("event_type") == kind, F.lit(name)).otherwise(surface)
@@ -312,8 +312,8 @@ SELECT vec_id, 'tag_' || CAST(label AS VARCHAR) AS tag,
 LAYERS = {"A": "track", "N": "sand", "R": "grass"}
 
 
-def pixels(spark: SparkSession, sf: str) -> DataFrame:
-    li = table(spark, sf, "lineitem")
+def pixels(spark: SparkSession, sf: str, read=None) -> DataFrame:
+    li = (read or table)(spark, sf, "lineitem")
     layer = F.lit("grass")
     for flag, name in LAYERS.items():
         layer = F.when(F.col("l_returnflag") == flag, F.lit(name)).otherwise(layer)

@@ -335,7 +335,7 @@ def k10(spark, sf):
 
 @query(
     "e25_split_train_val",
-    sql("SELECT video_id, count(*) AS n, CASE WHEN count(*) > 1 THEN greatest(1, floor(count(*) * 0.3)) ELSE 0 END AS n_val FROM keyframes_v GROUP BY 1", "keyframes_v"),
+    sql("SELECT video_id, count(*) AS n, CAST(CASE WHEN count(*) > 1 THEN greatest(1, floor(count(*) * 0.3)) ELSE 0 END AS BIGINT) AS n_val FROM keyframes_v GROUP BY 1", "keyframes_v"),
 )
 def e25(spark, sf):
     s = WR.split_train_val(C.keyframes(spark, sf).select("video_id", "frame_idx"), 0.3, 7)
@@ -427,8 +427,9 @@ def f45(spark, sf):
 
 
 def venue_pixels(spark, sf):
-    """Pixels with the video as the frame unit, so that frames hold enough of them."""
-    return C.pixels(spark, sf).withColumn("frame_idx", F.lit(0))
+    """Pixels with ten videos as the frame unit, so that frames hold enough of them."""
+    ten = F.floor(F.col("video_id").cast("int") / 10).cast("string")
+    return C.pixels(spark, sf).withColumns({"frame_idx": F.lit(0), "video_id": ten})
 
 
 def venue_shapes(spark, sf):
@@ -449,7 +450,7 @@ def venue_shapes(spark, sf):
         """SELECT p.venue_id, t AS frames_used, s AS sand_frames_used, videos, round(hm, 4) AS track_h, round(cx, 6) AS cx, round(area, 6) AS area FROM (
   SELECT venue_id, count(*) FILTER (layer = 'track' AND n >= 50) AS t, count(*) FILTER (layer = 'sand' AND n >= 30) AS s,
     count(DISTINCT video_id) FILTER ((layer = 'track' AND n >= 50) OR (layer = 'sand' AND n >= 30)) AS videos, sum(hsum) FILTER (layer = 'track' AND n >= 50) / sum(n) FILTER (layer = 'track' AND n >= 50) AS hm
-  FROM (SELECT venue_id, video_id, layer, count(*) AS n, sum(h) AS hsum FROM pixels_v GROUP BY 1, 2, 3) GROUP BY 1) p
+  FROM (SELECT venue_id, CAST(video_id AS INTEGER) // 10 AS video_id, layer, count(*) AS n, sum(h) AS hsum FROM pixels_v GROUP BY 1, 2, 3) GROUP BY 1) p
 LEFT JOIN (SELECT CAST(CAST(video_id AS INTEGER) % 3 AS VARCHAR) AS venue_id, median((t0x + t1x + t2x + t3x) / 4) AS cx,
   median(abs(t0x*t1y - t1x*t0y + t1x*t2y - t2x*t1y + t2x*t3y - t3x*t2y + t3x*t0y - t0x*t3y) / 2) AS area FROM keyframes_v GROUP BY 1) k ON k.venue_id = p.venue_id WHERE hm IS NOT NULL""",
         "pixels_v", "keyframes_v",

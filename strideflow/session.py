@@ -44,16 +44,26 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor can read: ``spark.checkpoint.dir`` of the session.
+
+    Only a session that names none (a test) gets a folder of its own.
+    """
+    known = spark.sparkContext.getCheckpointDir()
+    if known is not None:
+        return known
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="strideflow-checkpoint-")
+    spark.sparkContext.setCheckpointDir(folder)
+    return spark.sparkContext.getCheckpointDir()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the folder named by ``spark.checkpoint.dir``.
+    """Materialise ``df`` in the shared folder.
 
-    The files are on storage every executor can read, so a lost executor does
-    not lose them.  Only a session that names no folder (a test) gets its own.
+    A lost executor does not lose the files, and later steps read them instead
+    of repeating the work behind ``df``.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            folder = tempfile.mkdtemp(prefix="strideflow-checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
