@@ -65,12 +65,18 @@ def phase_similarity(vec: Column, quality: Column, proto: Column, template: Colu
     ).otherwise(F.lit(0.0))
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed a single time."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Null on different lengths, empty vectors or a zero norm."""
-    na, nb = norm(a), norm(b)
-    return F.when(
-        (F.size(a) == F.size(b)) & (F.size(a) > 0) & (na >= 1e-9) & (nb >= 1e-9),
-        dot(a, b) / (na * nb),
+    sizes = F.struct(norm(a).alias("a"), norm(b).alias("b"))
+    usable = (F.size(a) == F.size(b)) & (F.size(a) > 0)
+    return _once(
+        sizes,
+        lambda n: F.when(usable & (n.a >= 1e-9) & (n.b >= 1e-9), dot(a, b) / (n.a * n.b)),
     )
 
 
@@ -81,8 +87,7 @@ def to_unit_range(cos: Column) -> Column:
 
 
 def similarity01(a: Column, b: Column) -> Column:
-    cos = cosine(a, b)
-    return F.when(cos.isNotNull(), to_unit_range(cos))
+    return _once(cosine(a, b), lambda c: F.when(c.isNotNull(), to_unit_range(c)))
 
 
 def vec_distance(a: Column, b: Column) -> Column:
@@ -109,3 +114,12 @@ def average(values: Column) -> Column:
     """Mean of the non-null entries of a short array; null when there is none."""
     kept = F.filter(values, lambda v: v.isNotNull())
     return F.when(F.size(kept) > 0, total(kept) / F.size(kept))
+
+
+def dot_fixed(a: Column, b: Column, n: int) -> Column:
+    """Dot product of two vectors of known length as plain (generated) arithmetic."""
+    terms = [F.get(a, F.lit(i)) * F.get(b, F.lit(i)) for i in range(n)]
+    out = terms[0]
+    for t in terms[1:]:
+        out = out + t
+    return out

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import scores as S
 from ..functions import vectors as V
+from ..functions.pose import bind
 from ..schemas import CONTACT_PHASES, DEFAULT_FPS
 
 SEGMENTS = ("hop_1", "hop_2", "hop_3", "hop_4")
@@ -171,16 +172,6 @@ def vs_general_overall(rows: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------ consistency
 
-def _unit(vec: Column) -> Column:
-    size = V.norm(vec)
-    return F.transform(vec, lambda v: v / size)
-
-
-def _plain(vec: Column) -> Column:
-    """Full length, no negative value, not zero: cosines between such are >= 0."""
-    return (F.size(vec) == N_FEATURES) & (V.norm(vec) >= 1e-9) & (F.array_min(vec) >= 0)
-
-
 def history_similarity(current: DataFrame, history: DataFrame) -> DataFrame:
     """Mean similarity of each contact pose to the same contact of other sessions.
 
@@ -190,9 +181,21 @@ def history_similarity(current: DataFrame, history: DataFrame) -> DataFrame:
     feature, where the score is not linear, are compared pair by pair.
     """
     key = ["athlete_id", "contact_index"]
-    past = history.filter(F.col("vec").isNotNull() & (F.size("vec") > 0)).withColumn("_plain", _plain(F.col("vec")))
-    cur = current.filter(F.col("vec").isNotNull()).withColumn("_plain", _plain(F.col("vec")))
-    units = past.filter("_plain").withColumn("_u", _unit(F.col("vec")))
+
+    def prepared(df):
+        # Norm and unit vector are made once per pose; other lengths keep none and
+        # are compared by the general rule.
+        known = df.filter(F.col("vec").isNotNull() & (F.size("vec") > 0))
+        known = bind(known, {"_size": V.norm(F.col("vec"))})
+        usual = (F.size("vec") == N_FEATURES) & (F.col("_size") >= 1e-9)
+        unit = F.array(*[F.get("vec", F.lit(i)) / F.col("_size") for i in range(N_FEATURES)])
+        # Without negative values all cosines are positive.
+        return bind(
+            known, {"_plain": usual & (F.array_min("vec") >= 0), "_u": F.when(usual, unit)}
+        ).drop("_size")
+
+    past, cur = prepared(history), prepared(current)
+    units = past.filter("_plain")
 
     def sums(keys, prefix):
         return units.groupBy(*keys).agg(
@@ -203,17 +206,20 @@ def history_similarity(current: DataFrame, history: DataFrame) -> DataFrame:
     every, own = sums(key, "_all"), sums([*key, "video_id"], "_own")
     zero = F.array_repeat(F.lit(0.0), N_FEATURES)
     flat = cur.filter("_plain").join(every, key).join(own, [*key, "video_id"], "left")
-    rest = F.zip_with(F.col("_all_s"), F.coalesce("_own_s", zero), lambda a, b: a - b)
+    less = F.coalesce("_own_s", zero)
+    rest = F.array(*[F.get("_all_s", F.lit(i)) - F.get(less, F.lit(i)) for i in range(N_FEATURES)])
     linear = flat.select(
         *key, "video_id",
-        V.dot(_unit(F.col("vec")), rest).alias("_sim"),
+        V.dot_fixed(F.col("_u"), rest, N_FEATURES).alias("_sim"),
         (F.col("_all_n") - F.coalesce("_own_n", F.lit(0))).alias("_cnt"),
     )
 
     def pairs(left, right):
-        r = right.select(*key, F.col("video_id").alias("_other"), F.col("vec").alias("_v"))
+        r = right.select(*key, F.col("video_id").alias("_other"), F.col("vec").alias("_v"), F.col("_u").alias("_w"))
         both = left.join(r, key).filter(F.col("_other") != F.col("video_id"))
-        sim = V.similarity01(F.col("vec"), F.col("_v"))
+        both = both.withColumn("_cos", V.dot_fixed(F.col("_u"), F.col("_w"), N_FEATURES))
+        usual = F.col("_u").isNotNull() & F.col("_w").isNotNull()
+        sim = F.when(usual, V.to_unit_range(F.col("_cos"))).otherwise(V.similarity01(F.col("vec"), F.col("_v")))
         return both.groupBy(*key, "video_id").agg(
             F.coalesce(F.sum(sim), F.lit(0.0)).alias("_sim"), F.count(sim).alias("_cnt")
         )

@@ -10,7 +10,7 @@ an ordinary hash aggregate.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -391,6 +391,40 @@ def _outline(values: np.ndarray, kind: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([chosen, np.array(lows, dtype=int)]))
 
 
+def _solve_runs(
+    df: DataFrame, run: list[str], order: str, ready: str, solve, schema: T.StructType
+) -> DataFrame:
+    """``solve`` applied to the rows of each run; rows with ``ready`` set pass by.
+
+    Runs are bounded (a chunk, or the outlines of one span).  They are laid out
+    by a shuffle and a sort and cut inside the Arrow batches, which costs far
+    less than one Python call with its own batch per group.
+    """
+    names = schema.names
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        for batch in batches:
+            passing = batch[ready].notna()
+            out = [batch.loc[passing, names]] if passing.any() else []
+            todo = batch[~passing]
+            if held is not None:
+                todo = pd.concat([held, todo])
+            if len(todo):
+                keys = todo[run]
+                fresh = np.flatnonzero((keys.to_numpy()[1:] != keys.to_numpy()[:-1]).any(axis=1)) + 1
+                edges = [0, *fresh.tolist()]
+                for a, b in zip(edges, edges[1:]):
+                    out.append(solve(todo.iloc[a:b])[names])
+                held = todo.iloc[edges[-1] :]
+            if out:
+                yield pd.concat(out)
+        if held is not None and len(held):
+            yield solve(held)[names]
+
+    return df.repartition(*run).sortWithinPartitions(*run, order).mapInPandas(work, schema)
+
+
 def peaks(
     df: DataFrame, value: str = "signal", keys=("video_id",), order=("frame_idx",), *,
     min_prominence: Column | None = None, out: str = "prominence", chunk: int = CHUNK,
@@ -400,8 +434,8 @@ def peaks(
     Prominence is the height above the higher of the two lowest points reached
     walking left and right until a higher sample.  A chunk settles the peaks
     that meet higher samples inside it and hands on only its outline; outlines
-    are solved the same way over ever larger spans.  Settled peaks travel in
-    groups of their own, so no group grows with the length of a key.
+    are solved the same way over ever larger spans.  Settled peaks stay placed
+    by their chunk, so no task grows with the length of a key.
     """
     keys, pos = list(keys), order[0]
     rows = df.filter(F.col(value).isNotNull()).select(
@@ -414,20 +448,16 @@ def peaks(
     schema = rows.schema
 
     def solver(last: bool):
-        def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-            if pdf["_prom"].notna().all():
-                return pdf[schema.names]
-            pdf = pdf.sort_values("_pos").reset_index(drop=True)
-            v = pdf["_v"].to_numpy(dtype=float)
-            kind = _mark_peaks(v, pdf["_kind"].to_numpy(), last)
+        def solve(group: pd.DataFrame) -> pd.DataFrame:
+            v = group["_v"].to_numpy(dtype=float)
+            kind = _mark_peaks(v, group["_kind"].to_numpy(), last)
             base, closed = _prominence(v, kind == PEAK)
             done = (kind == PEAK) & (closed | last)
-            pdf["_kind"] = np.where(done, PLAIN, kind).astype("int32")
-            solved = pdf[done].assign(_prom=(v - base)[done])
+            group = group.assign(_kind=np.where(done, PLAIN, kind).astype("int32"))
+            solved = group[done].assign(_prom=(v - base)[done])
             if last:
-                return solved[schema.names]
-            rest = pdf.iloc[_outline(v, pdf["_kind"].to_numpy())]
-            return pd.concat([solved, rest])[schema.names]
+                return solved
+            return pd.concat([solved, group.iloc[_outline(v, group["_kind"].to_numpy())]])
 
         return solve
 
@@ -435,12 +465,8 @@ def peaks(
     own = F.floor(F.col("_pos") / chunk)
     for span in (chunk, chunk * chunk, None):
         part = F.lit(0).cast("long") if span is None else F.floor(F.col("_pos") / span)
-        grouped = rows.withColumn("_settled", settled).withColumn(
-            "_part", F.when(settled, own).otherwise(part)
-        )
-        rows = grouped.groupBy(*keys, "_settled", "_part").applyInPandas(
-            solver(span is None), schema
-        )
+        marked = rows.withColumn("_part", F.when(settled, own).otherwise(part))
+        rows = _solve_runs(marked, [*keys, "_part"], "_pos", "_prom", solver(span is None), schema)
     found = rows.select(
         *keys,
         F.col("_pos").cast(df.schema[pos].dataType).alias(pos),

@@ -111,7 +111,7 @@ def test_similarity_folds_negatives(spark):
 def test_labels_and_indicator(spark):
     r = values(
         spark, a=S.label_pose(F.lit(0.75)), b=S.label_pose(F.lit(0.55)), c=S.label_pose(F.lit(0.1)), d=S.label_pose(F.lit(None).cast("double")),
-        near=S.indicator(F.lit(1.08), F.lit(1.0)), up=S.indicator(F.lit(1.2), F.lit(1.0)), zero=S.indicator(F.lit(0.0), F.lit(0.0)),
+        near=S.indicator(F.lit(1.07), F.lit(1.0)), up=S.indicator(F.lit(1.2), F.lit(1.0)), zero=S.indicator(F.lit(0.0), F.lit(0.0)),
         t=S.duration_label(F.lit(65.4)), u=S.duration_label(F.lit(None).cast("double")), s=S.slug(F.lit("Ana María Peña")),
     )
     assert (r.a, r.b, r.c, r.d) == ("buena", "regular", "débil", None)
