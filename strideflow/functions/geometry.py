@@ -148,7 +148,9 @@ def polygon_aspect(poly: Column) -> Column:
         norm = F.sqrt(d.dx * d.dx + d.dy * d.dy)
         w, h = extent(d.dx / norm, d.dy / norm), extent(-d.dy / norm, d.dx / norm)
         return F.struct(
-            (w * h).alias("area"), F.greatest(w, h).alias("long"), F.least(w, h).alias("short")
+            # Around a triangle all edge rectangles are equally large: rounding makes
+            # that a tie, which the shorter long side decides.
+            F.round(w * h, 9).alias("area"), F.greatest(w, h).alias("long"), F.least(w, h).alias("short")
         )
 
     usable = F.filter(pairs, lambda d: (d.dx * d.dx + d.dy * d.dy) > 1e-18)

@@ -301,7 +301,9 @@ def timing_consistency(current: DataFrame, history: DataFrame) -> DataFrame:
     )
 
 
-def consistency(current: DataFrame, history: DataFrame, templates: DataFrame) -> DataFrame:
+def consistency(
+    current: DataFrame, history: DataFrame, templates: DataFrame, digits: int = 3
+) -> DataFrame:
     """Pose score, timing score and overall consistency per video with an athlete."""
     known = current.filter(F.col("athlete_id").isNotNull())
     key = ["athlete_id", "video_id"]
@@ -319,8 +321,8 @@ def consistency(current: DataFrame, history: DataFrame, templates: DataFrame) ->
     )
     return out.select(
         *key,
-        F.round("_pose", 3).alias("pose_score"),
-        F.round("_timing", 3).alias("timing_score"),
-        F.round(V.average(F.array("_pose", "_timing")), 3).alias("overall"),
+        F.round("_pose", digits).alias("pose_score"),
+        F.round("_timing", digits).alias("timing_score"),
+        F.round(V.average(F.array("_pose", "_timing")), digits).alias("overall"),
         (F.coalesce("_sessions", F.lit(0)) - F.coalesce("_self", F.lit(0))).alias("sessions_compared"),
     )

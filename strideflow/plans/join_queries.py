@@ -204,12 +204,12 @@ def f11(spark, sf):
         f"""SELECT video_id, frame_idx, round({_area_sql('t')}, 6) AS area, round(best.l / best.s, 4) AS aspect,
   round((t0x + t1x + t2x + t3x) / 4, 6) AS cx, round((t0y + t1y + t2y + t3y) / 4, 6) AS cy
 FROM (SELECT *, list_min(list_transform({_pairs('t')}, lambda d: {{
-  'area': (greatest(t0x*d.dx+t0y*d.dy, t1x*d.dx+t1y*d.dy, t2x*d.dx+t2y*d.dy, t3x*d.dx+t3y*d.dy) - least(t0x*d.dx+t0y*d.dy, t1x*d.dx+t1y*d.dy, t2x*d.dx+t2y*d.dy, t3x*d.dx+t3y*d.dy))
-    * (greatest(t0y*d.dx-t0x*d.dy, t1y*d.dx-t1x*d.dy, t2y*d.dx-t2x*d.dy, t3y*d.dx-t3x*d.dy) - least(t0y*d.dx-t0x*d.dy, t1y*d.dx-t1x*d.dy, t2y*d.dx-t2x*d.dy, t3y*d.dx-t3x*d.dy)) / (d.dx*d.dx+d.dy*d.dy),
-  'l': greatest(greatest(t0x*d.dx+t0y*d.dy, t1x*d.dx+t1y*d.dy, t2x*d.dx+t2y*d.dy, t3x*d.dx+t3y*d.dy) - least(t0x*d.dx+t0y*d.dy, t1x*d.dx+t1y*d.dy, t2x*d.dx+t2y*d.dy, t3x*d.dx+t3y*d.dy),
-    greatest(t0y*d.dx-t0x*d.dy, t1y*d.dx-t1x*d.dy, t2y*d.dx-t2x*d.dy, t3y*d.dx-t3x*d.dy) - least(t0y*d.dx-t0x*d.dy, t1y*d.dx-t1x*d.dy, t2y*d.dx-t2x*d.dy, t3y*d.dx-t3x*d.dy)),
-  's': least(greatest(t0x*d.dx+t0y*d.dy, t1x*d.dx+t1y*d.dy, t2x*d.dx+t2y*d.dy, t3x*d.dx+t3y*d.dy) - least(t0x*d.dx+t0y*d.dy, t1x*d.dx+t1y*d.dy, t2x*d.dx+t2y*d.dy, t3x*d.dx+t3y*d.dy),
-    greatest(t0y*d.dx-t0x*d.dy, t1y*d.dx-t1x*d.dy, t2y*d.dx-t2x*d.dy, t3y*d.dx-t3x*d.dy) - least(t0y*d.dx-t0x*d.dy, t1y*d.dx-t1x*d.dy, t2y*d.dx-t2x*d.dy, t3y*d.dx-t3x*d.dy))
+  'area': round((greatest(t0x*d.dx+t0y*d.dy, t1x*d.dx+t1y*d.dy, t2x*d.dx+t2y*d.dy, t3x*d.dx+t3y*d.dy) - least(t0x*d.dx+t0y*d.dy, t1x*d.dx+t1y*d.dy, t2x*d.dx+t2y*d.dy, t3x*d.dx+t3y*d.dy))
+    * (greatest(t0y*d.dx-t0x*d.dy, t1y*d.dx-t1x*d.dy, t2y*d.dx-t2x*d.dy, t3y*d.dx-t3x*d.dy) - least(t0y*d.dx-t0x*d.dy, t1y*d.dx-t1x*d.dy, t2y*d.dx-t2x*d.dy, t3y*d.dx-t3x*d.dy)) / (d.dx*d.dx+d.dy*d.dy), 9),
+  'l': (greatest(greatest(t0x*d.dx+t0y*d.dy, t1x*d.dx+t1y*d.dy, t2x*d.dx+t2y*d.dy, t3x*d.dx+t3y*d.dy) - least(t0x*d.dx+t0y*d.dy, t1x*d.dx+t1y*d.dy, t2x*d.dx+t2y*d.dy, t3x*d.dx+t3y*d.dy),
+    greatest(t0y*d.dx-t0x*d.dy, t1y*d.dx-t1x*d.dy, t2y*d.dx-t2x*d.dy, t3y*d.dx-t3x*d.dy) - least(t0y*d.dx-t0x*d.dy, t1y*d.dx-t1x*d.dy, t2y*d.dx-t2x*d.dy, t3y*d.dx-t3x*d.dy))) / sqrt(d.dx*d.dx+d.dy*d.dy),
+  's': (least(greatest(t0x*d.dx+t0y*d.dy, t1x*d.dx+t1y*d.dy, t2x*d.dx+t2y*d.dy, t3x*d.dx+t3y*d.dy) - least(t0x*d.dx+t0y*d.dy, t1x*d.dx+t1y*d.dy, t2x*d.dx+t2y*d.dy, t3x*d.dx+t3y*d.dy),
+    greatest(t0y*d.dx-t0x*d.dy, t1y*d.dx-t1x*d.dy, t2y*d.dx-t2x*d.dy, t3y*d.dx-t3x*d.dy) - least(t0y*d.dx-t0x*d.dy, t1y*d.dx-t1x*d.dy, t2y*d.dx-t2x*d.dy, t3y*d.dx-t3x*d.dy))) / sqrt(d.dx*d.dx+d.dy*d.dy)
   }})) AS best FROM keyframes_v)""",
         "keyframes_v",
     ),

@@ -439,7 +439,7 @@ def a7_timing(spark, sf):
 @query(
     "a7_consistency",
     sql(
-        """SELECT athlete_id, video_id, round(p, 3) AS pose_score, round(t, 3) AS timing_score, round(list_avg([p, t]), 3) AS overall, n - 1 AS sessions_compared FROM (
+        """SELECT athlete_id, video_id, round(p, 6) AS pose_score, round(t, 6) AS timing_score, round(list_avg([p, t]), 6) AS overall, n - 1 AS sessions_compared FROM (
   SELECT s.athlete_id, s.video_id, count(*) OVER (PARTITION BY s.athlete_id) AS n,
     (SELECT avg(score) FROM pose_consistency_v p WHERE p.video_id = s.video_id) AS p,
     (SELECT greatest(0, least(1, 1 - avg(deviation))) FROM timing_v t WHERE t.video_id = s.video_id) AS t FROM sessions_v s)""",
@@ -448,4 +448,4 @@ def a7_timing(spark, sf):
 )
 def a7(spark, sf):
     s = C.sessions(spark, sf)
-    return H.consistency(s, s, history_templates(spark, sf))
+    return H.consistency(s, s, history_templates(spark, sf), digits=6)
