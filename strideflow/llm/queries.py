@@ -66,3 +66,11 @@ def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
     return near_duplicates(of_session(spark, sf_dir, "documents"))
+
+
+@query("op9_rules")
+def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rules import judge
+
+    judged = judge(of_session(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")

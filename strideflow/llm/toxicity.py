@@ -15,8 +15,10 @@ from .common import SPACE, column_bytes, lower_ascii, mixed, pick_bytes, steps
 BITS = 20
 #: Learning reads at most so many labelled documents of each class: the first by a hash of their id.
 SAMPLE = {1: 4000, 0: 8000}
-EPOCHS = 2
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 0.5, 0.1
+EPOCHS = 5
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.1
+#: Bytes of a word's stems, which count as words of their own.
+STEMS = (7,)
 #: Log-odds of a document without any weighted feature.
 PRIOR = -2.0
 
@@ -39,7 +41,7 @@ class Weights:
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed words, pairs of neighbours and pairs that skip a word, each once a text; and the bounds of the texts."""
+    """Hashed words, stems, pairs of neighbours and pairs that skip a word, each once a text; and the bounds of the texts."""
     import xxhash
 
     data, starts = column_bytes(texts)
@@ -55,10 +57,15 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         ends[edge - 1] |= inside[edge - 1]
     first, last = np.flatnonzero(opens), np.flatnonzero(ends) + 1
     coded = pick_bytes(data, first, last).dictionary_encode()
-    known = np.fromiter((xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-    word = known[coded.indices.to_numpy(zero_copy_only=False)] if len(known) else np.zeros(0, np.uint64)
+    vocabulary, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+
+    def hashed(size: int | None) -> np.ndarray:
+        known = np.fromiter((xxhash.xxh64_intdigest(w[:size], size or 0) for w in vocabulary), np.uint64, len(vocabulary))
+        return known[codes] if len(known) else np.zeros(0, np.uint64)
+
+    word = hashed(None)
     owner = np.repeat(np.arange(len(starts) - 1), np.diff(np.searchsorted(first, starts)))
-    grams, owners = [mixed(word)], [owner]
+    grams, owners = [mixed(word), *(mixed(hashed(size)) for size in STEMS)], [owner] * (1 + len(STEMS))
     for gap in (1, 2):
         inner = owner[gap:] == owner[:-gap]
         grams.append(mixed(word[:-gap] * np.uint64(0x9E3779B97F4A7C15) + mixed(word[gap:]) + np.uint64(gap))[inner])
