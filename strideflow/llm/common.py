@@ -24,10 +24,15 @@ BROADCAST_ROWS = 200_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder name below the folder that all executors share."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def store(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read back."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import of_session
+from .common import of_session, shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,3 +74,28 @@ def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     judged = judge(of_session(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
+@query("op2_warc", """
+    WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+    d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS x FROM p),
+    f AS (SELECT *, min(page_id) OVER (PARTITION BY x, payload_bytes) AS first FROM d)
+    SELECT page_id, payload_bytes,
+        translate(upper(list_aggregate(list_transform(range(8), lambda i: to_base(('0x' || substr(x, 1 + 5 * i, 5))::BIGINT, 32, 4)), 'string_agg', '')),
+            '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+        CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+        CASE WHEN page_id <> first THEN first END AS refers_to
+    FROM f""")
+def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read_archives, sha1_base32, write_archives
+
+    path = shared_path(spark, "warc")
+    write_archives(of_session(spark, sf_dir, "pages"), path)
+    records = read_archives(spark, path)
+    revisit = F.col("type") == "revisit"
+    page = lambda name: F.regexp_extract(name, r"<urn:page:(-?\d+)>", 1).try_cast("long")
+    return records.select(
+        page("record_id").alias("page_id"), F.when(revisit, F.col("payload_length")).otherwise(F.octet_length("payload")).cast("long").alias("payload_bytes"),
+        F.when(revisit, F.replace("digest", F.lit("sha1:"), F.lit(""))).otherwise(sha1_base32(F.col("payload"))).alias("payload_digest"),
+        F.col("type").alias("record_type"), page("refers_to").alias("refers_to"),
+    )

@@ -1,4 +1,4 @@
-"""Quality rules as weak supervision: rules vote or abstain, and their accuracies come from how they agree."""
+"""Quality rules as weak supervision: rules vote or abstain, and how far to trust each comes from how they agree."""
 
 from __future__ import annotations
 
@@ -16,13 +16,13 @@ WINDOW = 5
 LEAST_WORDS = 10
 MOST_REPEATED = 20  # percent
 ROUNDS = 50
-#: Accuracies stay between these, so that no rule is turned round or trusted blindly.
-ACCURACY = (0.55, 0.99)
-START_ACCURACY, START_GOOD = 0.75, 0.7
+#: Rates of the votes bad, abstain and good before any data, and what share of all documents they weigh.
+START_BAD, START_GOOD, BELIEF = (0.30, 0.30, 0.40), (0.02, 0.18, 0.80), 0.01
+START_SHARE, SHARE = 0.8, (0.05, 0.95)
 #: A document is kept if its posterior probability of good quality is at least this.
 KEEP = 0.5
 
-_MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_upper long, n_letters long, n_digits long, n_marks long"
+_MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_upper long, n_letters long, n_digits long, n_marks long, n_punctuation long, n_symbol_words long"
 _NAMES = [part.split()[0] for part in _MEASURES.split(", ")]
 
 
@@ -37,6 +37,7 @@ _UPPER = _table(bytes(range(65, 91)))
 _LETTER = _table(bytes([*range(65, 91), *range(97, 123)]))
 _DIGIT = _table(bytes(range(48, 58)))
 _MARK = _table(b"!?")
+_PUNCTUATION = _table(bytes([*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
 
 
 def _earlier(owner: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -64,6 +65,9 @@ def measures(texts: pa.Array) -> list[np.ndarray]:
     chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int64)])
     sizes = np.concatenate([[0], np.cumsum(chars[last] - chars[first])])
 
+    symbols = np.concatenate([[0], np.cumsum(_SYMBOL[data], dtype=np.int64)])
+    odd = np.concatenate([[0], np.cumsum(symbols[last] > symbols[first])])
+
     # lines: each text is cut at its line feeds; only lines with a word count
     ends_line = data == 10
     line_first = np.sort(np.concatenate([starts[:-1], np.flatnonzero(ends_line) + 1]))
@@ -93,6 +97,7 @@ def measures(texts: pa.Array) -> list[np.ndarray]:
     return [
         np.diff(bounds), sizes[bounds[1:]] - sizes[bounds[:-1]], per_text(_SYMBOL[data]), duplicate, repeated,
         per_text(_UPPER[data]), per_text(_LETTER[data]), per_text(_DIGIT[data]), per_text(_MARK[data]),
+        per_text(_PUNCTUATION[data]), odd[bounds[1:]] - odd[bounds[:-1]],
     ]
 
 
@@ -120,33 +125,45 @@ def votes() -> dict[str, Column]:
         "capitals": F.when(F.col("n_letters") < 20, 0).otherwise(share("n_upper", letters, 15, 40)),
         "digits": share("n_digits", F.greatest(F.col("word_chars"), F.lit(1)), 5, 20),
         "marks": share("n_marks", words, 5, 25),
+        "punctuation": F.when(F.col("n_words") < 30, 0).otherwise(share("n_punctuation", F.greatest(F.col("word_chars"), F.lit(1)), 8, 14)),
+        "symbol_words": share("n_symbol_words", words, 2, 10),
         "size": F.when(F.col("n_words") >= 30, 1).when(F.col("n_words") < 15, -1).otherwise(0),
     }
 
 
 def agreement(patterns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, float]:
-    """Accuracies of the rules and the share of good documents by expectation-maximisation over vote patterns."""
-    accuracy, good = np.full(patterns.shape[1], START_ACCURACY), START_GOOD
-    for _ in range(ROUNDS):
-        p = posterior(patterns, accuracy, good)
-        right = (counts * p) @ (patterns == 1) + (counts * (1 - p)) @ (patterns == -1)
-        voted = counts @ (patterns != 0)
-        accuracy = np.clip((right + 1) / (voted + 2), *ACCURACY)
-        good = float(np.clip((counts @ p + 1) / (counts.sum() + 2), 0.05, 0.95))
-    return accuracy, good
-
+    """How often each rule votes each way on good and on bad documents, and the share of good ones.
 
-def posterior(patterns: np.ndarray, accuracy: np.ndarray, good: float) -> np.ndarray:
+    Expectation-maximisation over vote patterns: posteriors from the current rates, then rates from the
+    posteriors.  The result is indexed by [good or bad, rule, vote + 1].  A vote for bad is never allowed to
+    be likelier on good documents than on bad ones, so no rule is turned round.
+    """
+    rates = np.repeat(np.array([START_BAD, START_GOOD])[:, None, :], patterns.shape[1], axis=1)
+    good = START_SHARE
+    for _ in range(ROUNDS):
+        p = posterior(patterns, rates, good)
+        for k, weight in enumerate((counts * (1 - p), counts * p)):
+            seen = np.stack([weight @ (patterns == v) for v in (-1, 0, 1)], axis=1)
+            start = np.array((START_BAD, START_GOOD)[k]) * BELIEF * counts.sum()
+            rates[k] = (seen + start + 1e-6) / (seen.sum(axis=1, keepdims=True) + start.sum() + 3e-6)
+        turned = rates[1, :, 0] > rates[0, :, 0]
+        rates[:, turned, 0] = rates[:, turned, 0].mean(axis=0)
+        good = float(np.clip(counts @ p / max(counts.sum(), 1e-9), *SHARE))
+    return rates, good
+
+
+def posterior(patterns: np.ndarray, rates: np.ndarray, good: float) -> np.ndarray:
     """Probability of good quality for each vote pattern."""
-    odds = np.log(good / (1 - good)) + patterns @ np.log(accuracy / (1 - accuracy))
-    return 1 / (1 + np.exp(-odds))
+    ratio = np.log(rates[1]) - np.log(rates[0])
+    odds = np.log(good / (1 - good)) + ratio[np.arange(patterns.shape[1]), patterns + 1].sum(axis=1)
+    return 1 / (1 + np.exp(-np.clip(odds, -35, 35)))
 
 
 def judge(documents: DataFrame) -> DataFrame:
     """Measures, ``base_failed``, ``quality`` (posterior) and ``kept`` of every row of (doc_id, text).
 
     Rules vote on whole-text measures.  The votes of all documents are counted by pattern (at most three to
-    the number of rules), the driver fits accuracies on those counts, and every document gets the posterior
+    the number of rules), the driver fits the rates on those counts, and every document gets the posterior
     of its pattern.  ``base_failed``: under ten words, or over a fifth of the words in repeated five-word
     windows.  Null text has no words.  Repeated rows stay; an empty table gives no rows.
     """
@@ -158,8 +175,8 @@ def judge(documents: DataFrame) -> DataFrame:
     voted = voted.withColumn("base_failed", failed)
     found = voted.groupBy("pattern").count().collect()
     patterns = np.array([[int(v) for v in r["pattern"].split(",")] for r in found]).reshape(-1, len(rules))
-    accuracy, good = agreement(patterns, np.array([r["count"] for r in found], float))
-    quality = posterior(patterns, accuracy, good)
+    rates, good = agreement(patterns, np.array([r["count"] for r in found], float))
+    quality = posterior(patterns, rates, good)
     spark = documents.sparkSession
     table = spark.createDataFrame([(r["pattern"], float(q)) for r, q in zip(found, quality)], "_pattern string, quality double")
     out = voted.join(bounded(table), F.col("pattern") == F.col("_pattern"), "left").drop("_pattern", "pattern")
