@@ -99,3 +99,16 @@ def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(revisit, F.replace("digest", F.lit("sha1:"), F.lit(""))).otherwise(sha1_base32(F.col("payload"))).alias("payload_digest"),
         F.col("type").alias("record_type"), page("refers_to").alias("refers_to"),
     )
+
+
+#: A conversation of its own whose texts look like the template's control strings.
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+
+
+@query("op1_chat")
+def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_conversations, read_back
+
+    turns = of_session(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
+    return read_back(format_conversations(turns.unionByName(control)))
