@@ -112,3 +112,10 @@ def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = of_session(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
     return read_back(format_conversations(turns.unionByName(control)))
+
+
+@query("op3_substring")
+def substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import repeated_passages
+
+    return repeated_passages(of_session(spark, sf_dir, "documents"))
