@@ -135,3 +135,12 @@ def topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import top_k
 
     return top_k(of_session(spark, sf_dir, "embeddings"))
+
+
+@query("op8_tokens")
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokenfiles import document_digests, read_tokens, write_tokens
+
+    path = shared_path(spark, "tokens")
+    write_tokens(of_session(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
+    return document_digests(read_tokens(spark, path))
