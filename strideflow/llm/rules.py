@@ -174,7 +174,7 @@ def judge(documents: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     voted = voted.withColumn("base_failed", failed)
     found = voted.groupBy("pattern").count().collect()
-    patterns = np.array([[int(v) for v in r["pattern"].split(",")] for r in found]).reshape(-1, len(rules))
+    patterns = np.array([[int(v) for v in r["pattern"].split(",")] for r in found], int).reshape(-1, len(rules))
     rates, good = agreement(patterns, np.array([r["count"] for r in found], float))
     quality = posterior(patterns, rates, good)
     spark = documents.sparkSession
