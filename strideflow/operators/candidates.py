@@ -19,7 +19,11 @@ LOCK_FRAMES = 12
 MIN_AREA, MIN_AREA_GAP = 4000.0, 600.0
 HIGH, LOW, LANDING = 0.5, 0.15, 0.25
 LOST_AFTER = 10
-DIAGONAL = float(np.hypot(1280, 720))
+WIDTH, HEIGHT = 1280.0, 720.0  # of a video whose size is not known
+# Gap filling.
+IOU_WEIGHT, NEAR_WEIGHT, LOST_COST, TIE = 0.50, 0.18, 0.20, 0.12
+SURE_IOU, FAIR_IOU, FAR_IOU, LOST_IOU = 0.20, 0.12, 0.08, 0.05
+FAR_DIST, LOST_DIST = 0.08, 0.12
 
 
 def box_of(prefix: str = "") -> Column:
@@ -111,6 +115,27 @@ def choose_refined(detections: DataFrame, masks: bool = True) -> DataFrame:
     return best.select("video_id", "frame_idx", "score", "b.*")
 
 
+def diagonal(rows: DataFrame) -> Column:
+    """Diagonal of the video's frames: ``width`` and ``height`` where the rows carry them."""
+    width, height = (F.coalesce(F.col(c), F.lit(d)) if c in rows.columns else F.lit(d) for c, d in (("width", WIDTH), ("height", HEIGHT)))
+    return F.hypot(width, height)
+
+
+def gap_terms(masks: bool = True) -> dict[str, Column]:
+    """What a gap candidate brings along before its place is compared with the expected one.
+
+    ``_base``: score without place; ``_need``: overlap with the expected box that it needs to be accepted
+    (none where its look or its masks suffice); ``_weak``: not to be taken far from the expected box.
+    """
+    sim = F.col("appearance_sim")
+    track, sand = (F.col("track_ov"), F.col("sand_ov")) if masks else (F.lit(0.0), F.lit(0.0))
+    landing = F.col("zone") == "landing"
+    base = S.blend_mask_score(sim, track, sand, F.when(landing, 0.45).otherwise(0.20)) + F.when(landing & (sand > 0), 0.10 * sand).otherwise(0.0)
+    enough = (sim >= 0.08) | (track >= 0.28) | ((sim >= 0.04) & ((track >= 0.18) | (sand >= LANDING)))
+    need = F.when(enough, 0.0).when(sim >= 0.04, FAIR_IOU).otherwise(SURE_IOU)
+    return {"_base": base, "_need": need, "_weak": (track < LOW) & (sim < 0.22)}
+
+
 def choose_candidate(detections: DataFrame, expected: DataFrame, masks: bool = True) -> DataFrame:
     """Gap-fill choice: appearance and overlaps plus closeness to the expected box.
 
@@ -118,32 +143,19 @@ def choose_candidate(detections: DataFrame, expected: DataFrame, masks: bool = T
     """
     d = large_enough(detections, MIN_AREA_GAP).join(expected, ["video_id", "frame_idx"])
     e, box = F.col("expected"), box_of()
-    sim = F.col("appearance_sim")
-    track, sand = (F.col("track_ov"), F.col("sand_ov")) if masks else (F.lit(0.0), F.lit(0.0))
-    landing = F.col("zone") == "landing"
-    weight = F.when(landing, 0.45).otherwise(0.20)
-    dist = F.hypot((box[0] + box[2]) / 2 - (e[0] + e[2]) / 2, (box[1] + box[3]) / 2 - (e[1] + e[3]) / 2) / DIAGONAL
-    d = d.withColumns({"_iou": G.box_iou(box, e), "_dist": F.coalesce(dist, F.lit(0.0))})
+    dist = F.hypot((box[0] + box[2]) / 2 - (e[0] + e[2]) / 2, (box[1] + box[3]) / 2 - (e[1] + e[3]) / 2) / diagonal(d)
+    d = d.withColumns({**gap_terms(masks), "_iou": G.box_iou(box, e), "_dist": F.coalesce(dist, F.lit(0.0))})
     iou, dist, known = F.col("_iou"), F.col("_dist"), e.isNotNull()
-    score = (
-        S.blend_mask_score(sim, track, sand, weight) + 0.50 * iou
-        + F.when(landing & (sand > 0), 0.10 * sand).otherwise(0.0)
-        + F.when(known, 0.18 * F.greatest(F.lit(0.0), 1.0 - dist * 4.0)).otherwise(0.0)
-        - F.when(known & (iou < 0.05) & (dist > 0.12), 0.20).otherwise(0.0)
-    )
-    relaxed = (iou >= 0.22) | (sand >= 0.25) | (track >= 0.28)
-    accept = (
-        (sim >= F.when(relaxed, 0.04).otherwise(0.08)) | (iou >= 0.20) | (track >= 0.28)
-        | ((sim >= 0.04) & ((iou >= 0.12) | (track >= 0.18) | (sand >= 0.25)))
-    )
-    far = known & (iou < 0.08) & (track < 0.15) & (dist > 0.08) & (sim < 0.22)
-    ok = d.withColumn("_score", score).filter(accept & ~far)
+    lost = F.when((iou < LOST_IOU) & (dist > LOST_DIST), LOST_COST).otherwise(0.0)
+    pull = F.when(known, NEAR_WEIGHT * F.greatest(F.lit(0.0), 1.0 - dist * 4.0) - lost).otherwise(0.0)
+    far = known & F.col("_weak") & (iou < FAR_IOU) & (dist > FAR_DIST)
+    ok = d.withColumn("_score", F.col("_base") + IOU_WEIGHT * iou + pull).filter((iou >= F.col("_need")) & ~far)
     item = F.struct(_pack().alias("b"), F.col("_score").alias("score"), F.col("_iou").alias("iou"))
     agg = ok.groupBy("video_id", "frame_idx").agg(
         F.max_by(item, F.struct("_score", -F.col("det_id"))).alias("_top"),
-        F.max_by(item, F.when(known & (iou >= 0.20), F.struct("_iou", "_score", -F.col("det_id")))).alias("_near"),
+        F.max_by(item, F.when(known & (iou >= SURE_IOU), F.struct("_iou", "_score", -F.col("det_id")))).alias("_near"),
     )
-    swap = F.col("_near").isNotNull() & (F.col("_top.iou") < 0.08) & (F.col("_near.score") >= F.col("_top.score") - 0.12)
+    swap = F.col("_near").isNotNull() & (F.col("_top.iou") < FAR_IOU) & (F.col("_near.score") >= F.col("_top.score") - TIE)
     return agg.select("video_id", "frame_idx", F.when(swap, F.col("_near")).otherwise(F.col("_top")).alias("p")).select(
         "video_id", "frame_idx", "p.score", "p.iou", "p.b.*"
     )
@@ -335,48 +347,32 @@ def reference_set(chosen: DataFrame, mode: str = "refined") -> DataFrame:
 
 # ------------------------------------------------------------ sequential choices
 
-def _iou(a, b) -> float:
-    w = max(0.0, min(a[2], b[2]) - max(a[0], b[0]))
-    h = max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
-    shared = w * h
-    if shared <= 0:
-        return 0.0
-    area = lambda r: max(0.0, r[2] - r[0]) * max(0.0, r[3] - r[1])
-    return shared / (area(a) + area(b) - shared)
+def _overlaps(boxes: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """IoU of each row of ``boxes`` with one box."""
+    low, high = np.maximum(boxes[:, :2], other[:2]), np.minimum(boxes[:, 2:], other[2:])
+    shared = np.prod(np.maximum(high - low, 0.0), axis=1)
+    areas = np.prod(np.maximum(boxes[:, 2:] - boxes[:, :2], 0.0), axis=1) + np.prod(np.maximum(other[2:] - other[:2], 0.0)) - shared
+    return np.where(shared > 0, shared / np.where(areas > 0, areas, 1.0), 0.0)
 
 
-def _fold_frames(batches: Iterator[pd.DataFrame], run_keys: list[str], step, start) -> Iterator[pd.DataFrame]:
-    """Feed sorted rows to ``step(state, rows of one frame)``; one small state only.
-
-    Rows arrive sorted by run and frame; only the current frame is held back, so
-    memory does not depend on the length of a run.
-    """
-    run = state = None
-    held: list[dict] = []
-
-    def flush():
-        return step(state, held) if held else None
-
+def _frames_in_order(batches: Iterator[pd.DataFrame], run_keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """(run, rows of one frame) of sorted rows; only the last frame of a batch is held back."""
+    held = None
     for batch in batches:
-        out = []
-        for row in batch.to_dict("records"):
-            key = tuple(row[k] for k in run_keys)
-            if held and (key != run or row["seq"] != held[0]["seq"]):
-                out.append(flush())
-                held = []
-            if key != run:
-                run, state = key, start(row)
-            held.append(row)
-        out = [o for o in out if o is not None]
-        if out:
-            yield pd.DataFrame(out)
-    last = flush()
-    if last is not None:
-        yield pd.DataFrame([last])
+        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        if rows.empty:
+            continue
+        mark = rows[[*run_keys, "seq"]]
+        edges = np.append(np.flatnonzero((mark != mark.shift()).any(axis=1)), len(rows))
+        for first, last in zip(edges[:-2], edges[1:-1]):
+            yield tuple(mark.iloc[first, :-1]), rows.iloc[first:last]
+        held = rows.iloc[edges[-2] :]
+    if held is not None:
+        yield tuple(held[run_keys].iloc[0]), held
 
 
-def _clean(v) -> bool:
-    return v is not None and not (isinstance(v, float) and np.isnan(v))
+def _boxes(rows: pd.DataFrame) -> np.ndarray:
+    return rows[["x1", "y1", "x2", "y2"]].to_numpy(float)
 
 
 def refine_v2_select(frames: DataFrame, detections: DataFrame, masks: bool = True) -> DataFrame:
@@ -401,8 +397,9 @@ def refine_v2_select(frames: DataFrame, detections: DataFrame, masks: bool = Tru
     else:
         floor, score = F.when(landing, 0.18).otherwise(0.25), sim
     d = d.withColumn("score", score).filter(sim >= floor)
+    best_two = F.slice(F.sort_array(F.collect_list("score"), False), 1, 2)
     per = d.groupBy("video_id", "frame_idx").agg(
-        F.first("zone").alias("zone"), F.count(F.lit(1)).alias("_n"), F.min(box_of()).alias("_only")
+        F.first("zone").alias("zone"), F.count(F.lit(1)).alias("_n"), F.min(box_of()).alias("_only"), best_two.alias("_two")
     )
     single = F.when(F.col("_n") == 1, F.col("_only"))
     seen = F.struct(F.coalesce(F.col("_n") == 1, F.lit(False)).alias("one"), single.alias("box"))
@@ -412,38 +409,37 @@ def refine_v2_select(frames: DataFrame, detections: DataFrame, masks: bool = Tru
         linked.withColumn("_cut", cut), ["video_id"], ["frame_idx"],
         through={"run": F.when(F.col("_cut"), F.col("frame_idx"))},
     )
-    context = runs.select("video_id", "frame_idx", "run", F.when(F.col("_cut"), F.col("_prev.box")).alias("prev_box"))
+    # how far back a frame looks and how much that counts does not depend on the boxes chosen
+    close = (F.col("_n") > 1) & (F.col("_two")[0] - F.col("_two")[1] <= 0.08)
+    lean = F.when(F.col("zone") == "landing", 0.28).when(close, 0.24).otherwise(0.12)
+    context = runs.select(
+        "video_id", "frame_idx", "run", F.when(F.col("_cut"), F.col("_prev.box")).alias("prev_box"), lean.alias("lean"),
+        F.when(F.col("zone") == "landing", 4).otherwise(1).alias("reach"),
+    )
     rows = d.join(context, ["video_id", "frame_idx"]).select(
-        "video_id", "run", F.col("frame_idx").alias("seq"), "det_id", "zone", "score", "x1", "y1", "x2", "y2",
-        "prev_box", "appearance_sim",
+        "video_id", "run", F.col("frame_idx").alias("seq"), "det_id", "score", "x1", "y1", "x2", "y2", "prev_box", "lean", "reach", "appearance_sim",
     )
     schema = "video_id string, frame_idx int, det_id int, appearance_sim double, final_score double"
+    keys = ["video_id", "run"]
 
-    def start(row):
-        return [list(row["prev_box"])] if row["prev_box"] is not None else []
-
-    def step(history, options):
-        options = sorted(options, key=lambda o: o["det_id"])
-        final = np.array([o["score"] for o in options])
-        if history:
-            last_four = options[0]["zone"] == "landing"
-            refs = history[-4:] if last_four else history[-1:]
-            top = np.sort(final)[::-1]
-            gap = top[0] - top[1] if len(top) > 1 else 1.0
-            weight = 0.28 if last_four else (0.24 if gap <= 0.08 else 0.12)
-            boxes = [[o["x1"], o["y1"], o["x2"], o["y2"]] for o in options]
-            final = final + weight * np.array([max(_iou(b, r) for r in refs) for b in boxes])
-        best = options[int(np.argmax(final))]
-        history.append([best["x1"], best["y1"], best["x2"], best["y2"]])
-        del history[:-4]
-        return {
-            "video_id": best["video_id"], "frame_idx": best["seq"], "det_id": best["det_id"],
-            "appearance_sim": best["appearance_sim"], "final_score": float(final.max()),
-        }
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run, recent = None, []
+        for key, options in _frames_in_order(batches, keys):
+            boxes, score = _boxes(options), options["score"].to_numpy(float)
+            row = options.iloc[0]
+            if key != run:
+                run, recent = key, [] if row["prev_box"] is None else [np.asarray(row["prev_box"], float)]
+            if recent:
+                score = score + row["lean"] * np.max([_overlaps(boxes, b) for b in recent[-int(row["reach"]) :]], axis=0)
+            at = int(score.argmax())  # the first of equal ones: rows come by det_id
+            recent = [*recent[-3:], boxes[at]]
+            yield pd.DataFrame(
+                [(row["video_id"], row["seq"], options["det_id"].iloc[at], options["appearance_sim"].iloc[at], score[at])],
+                columns=["video_id", "frame_idx", "det_id", "appearance_sim", "final_score"],
+            )
 
-    keys = ["video_id", "run"]
     ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "seq", "det_id")
-    return ordered.mapInPandas(lambda it: _fold_frames(it, keys, step, start), schema)
+    return ordered.mapInPandas(choose, schema)
 
 
 def gap_fill(frames: DataFrame, detections: DataFrame, masks: bool = True) -> DataFrame:
@@ -473,96 +469,87 @@ def gap_fill(frames: DataFrame, detections: DataFrame, masks: bool = True) -> Da
         "video_id", F.coalesce("_run", F.lit(-1)).alias("run"), F.when(early, "early").otherwise("late").alias("side"),
         "frame_idx", "pos", "zone", F.coalesce("person_detected", F.lit(False)).alias("was"),
         F.coalesce("appearance_sim", F.lit(0.0)).alias("old_sim"), F.col("person_bbox").alias("old_box"),
-        F.col("_l.p").alias("lp"), F.col("_l.b").alias("lb"), F.col("_r.p").alias("rp"), F.col("_r.b").alias("rb"),
+        F.col("_l.p").alias("lp"), F.col("_l.b").alias("lb"), F.col("_r.p").alias("rp"), F.col("_r.b").alias("rb"), diagonal(frames).alias("diagonal"),
     )
     d = large_enough(detections, MIN_AREA_GAP).select(
-        "video_id", "frame_idx", "det_id", "x1", "y1", "x2", "y2", "conf", "mask_area_px", F.col("appearance_sim").alias("sim"),
-        *([F.col("track_ov").alias("track"), F.col("sand_ov").alias("sand")] if masks else
-          [F.lit(0.0).alias("track"), F.lit(0.0).alias("sand")]),
-    )
-    rows = todo.join(d, ["video_id", "frame_idx"], "left").withColumn(
-        "seq", F.when(F.col("side") == "early", -F.col("pos")).otherwise(F.col("pos"))
+        "video_id", "frame_idx", "det_id", "x1", "y1", "x2", "y2", "conf", "mask_area_px", F.col("appearance_sim").alias("sim"), "appearance_sim", "track_ov", "sand_ov"
     )
+    rows = todo.join(d, ["video_id", "frame_idx"], "left").withColumns(gap_terms(masks)).drop("appearance_sim", "track_ov", "sand_ov")
+    # walked outwards: ``near`` is the known frame on the side the walk comes from, ``beyond`` the other one
+    early = F.col("side") == "early"
+    rows = rows.withColumns({
+        "seq": F.when(early, -F.col("pos")).otherwise(F.col("pos")),
+        "near_p": F.when(early, F.col("rp")).otherwise(F.col("lp")), "near_b": F.when(early, F.col("rb")).otherwise(F.col("lb")),
+        "beyond_p": F.when(early, F.col("lp")).otherwise(F.col("rp")), "beyond_b": F.when(early, F.col("lb")).otherwise(F.col("rb")),
+    }).drop("lp", "lb", "rp", "rb")
     schema = (
         "video_id string, frame_idx int, det_id int, x1 double, y1 double, x2 double, y2 double, conf double, "
         "mask_area_px int, appearance_sim double, fill_action string"
     )
+    keys, names = ["video_id", "side", "run"], [f.split()[0] for f in schema.split(", ")]
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run = reached = None
+        for key, options in _frames_in_order(batches, keys):
+            row = options.iloc[0]
+            if key != run:
+                run, reached = key, None
+            # what the walk has reached lies between this frame and any known one on that side
+            near = reached or (None if row["near_b"] is None else (int(row["near_p"]), np.asarray(row["near_b"], float)))
+            expected = _between(near, row)
+            at, iou = _best_place(options, expected)
+            if at is not None and row["was"] and row["zone"] == "early" and options["sim"].iloc[at] + 0.05 < row["old_sim"] and iou < 0.22:
+                at = None
+            if at is None:
+                if row["was"] and row["old_box"] is not None:
+                    reached = (row["pos"], np.asarray(row["old_box"], float))
+                continue
+            c = options.iloc[at]
+            reached = (row["pos"], _boxes(options)[at])
+            action = "filled_late" if row["side"] == "late" else "rescored_early" if row["was"] else "filled_early"
+            yield pd.DataFrame(
+                [(c["video_id"], c["frame_idx"], int(c["det_id"]), c["x1"], c["y1"], c["x2"], c["y2"], c["conf"], int(c["mask_area_px"]), c["sim"], action)],
+                columns=names,
+            )
 
-    def lerp(lp, lb, rp, rb, at):
-        if lb is None or rb is None:
-            return list(rb if lb is None else lb) if (lb is not None or rb is not None) else None
-        t = (at - lp) / (rp - lp) if rp > lp else 0.0
-        return [a + (b - a) * t for a, b in zip(lb, rb)]
-
-    def start(_row):
-        return {}  # position and box of the last frame known in walking order
-
-    def step(state, options):
-        o = options[0]
-        backward = o["side"] == "early"
-        lb = list(o["lb"]) if o["lb"] is not None else None
-        rb = list(o["rb"]) if o["rb"] is not None else None
-        lp, rp = o["lp"], o["rp"]
-        if state and backward and (rb is None or state["p"] < rp):
-            rp, rb = state["p"], state["b"]
-        if state and not backward and (lb is None or state["p"] > lp):
-            lp, lb = state["p"], state["b"]
-        if backward and rb is not None and rp == o["pos"] + 1:
-            expected = rb
-        else:
-            expected = lerp(lp, lb, rp, rb, o["pos"])
-        picked = _gap_choice([c for c in options if _clean(c["det_id"])], expected, o["zone"])
-        if picked is not None and o["was"] and o["zone"] == "early":
-            c, iou = picked
-            if c["sim"] + 0.05 < o["old_sim"] and iou < 0.22:
-                picked = None
-        if picked is None:
-            if o["was"] and o["old_box"] is not None:
-                state.update(p=o["pos"], b=list(o["old_box"]))
-            return None
-        c, _ = picked
-        state.update(p=o["pos"], b=[c["x1"], c["y1"], c["x2"], c["y2"]])
-        action = "filled_late" if not backward else ("rescored_early" if o["was"] else "filled_early")
-        return {
-            "video_id": o["video_id"], "frame_idx": o["frame_idx"], "det_id": int(c["det_id"]), "x1": c["x1"], "y1": c["y1"],
-            "x2": c["x2"], "y2": c["y2"], "conf": c["conf"], "mask_area_px": int(c["mask_area_px"]),
-            "appearance_sim": c["sim"], "fill_action": action,
-        }
-
-    keys = ["video_id", "side", "run"]
     ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "seq", "det_id")
-    return ordered.mapInPandas(lambda it: _fold_frames(it, keys, step, start), schema)
-
-
-def _gap_choice(options, expected, zone):
-    """The rule of :func:`choose_candidate` for one frame inside a fold."""
-    landing, scored = zone == "landing", []
-    for c in options:
-        box = [c["x1"], c["y1"], c["x2"], c["y2"]]
-        sim, track, sand = c["sim"], c["track"], c["sand"]
-        iou = _iou(box, expected) if expected is not None else 0.0
-        dist = 0.0
-        score = sim + 0.30 * track + (0.45 if landing else 0.20) * sand + 0.50 * iou
-        if landing and sand > 0:
-            score += 0.10 * sand
-        if expected is not None:
-            dx = (box[0] + box[2] - expected[0] - expected[2]) / 2
-            dy = (box[1] + box[3] - expected[1] - expected[3]) / 2
-            dist = float(np.hypot(dx, dy)) / DIAGONAL
-            score += 0.18 * max(0.0, 1.0 - dist * 4.0) - (0.20 if iou < 0.05 and dist > 0.12 else 0.0)
-        floor = 0.04 if iou >= 0.22 or sand >= 0.25 or track >= 0.28 else 0.08
-        ok = sim >= floor or iou >= 0.20 or track >= 0.28
-        ok = ok or (sim >= 0.04 and (iou >= 0.12 or track >= 0.18 or sand >= 0.25))
-        if expected is not None and iou < 0.08 and track < 0.15 and dist > 0.08 and sim < 0.22:
-            ok = False
-        if ok:
-            scored.append((score, iou, c))
-    if not scored:
-        return None
-    top = max(scored, key=lambda s: (s[0], -s[2]["det_id"]))
-    near = [s for s in scored if expected is not None and s[1] >= 0.20]
-    if near:
-        close = max(near, key=lambda s: (s[1], s[0], -s[2]["det_id"]))
-        if top[1] < 0.08 and close[0] >= top[0] - 0.12:
+    return ordered.mapInPandas(fill, schema)
+
+
+def _between(near: tuple[int, np.ndarray] | None, row: pd.Series) -> np.ndarray | None:
+    """The box to expect: that of the next frame on an early walk, else blended by position."""
+    if near is not None and row["side"] == "early" and near[0] == row["pos"] + 1:
+        return near[1]
+    beyond = None if row["beyond_b"] is None else np.asarray(row["beyond_b"], float)
+    if near is None or beyond is None:
+        return beyond if near is None else near[1]
+    share = (row["pos"] - near[0]) / (row["beyond_p"] - near[0])
+    return near[1] + (beyond - near[1]) * share
+
+
+def _best_place(options: pd.DataFrame, expected: np.ndarray | None) -> tuple[int | None, float]:
+    """Place of the best candidate of a frame and its overlap with the expected box.
+
+    The columns of :func:`gap_terms` settle all but the place: only overlap and distance are added here.
+    """
+    need = options["_need"].to_numpy(float)
+    n, iou, pull = len(options), np.zeros(len(options)), 0.0
+    allowed = options["det_id"].notna().to_numpy()
+    if expected is not None and allowed.any():
+        boxes = _boxes(options)
+        iou = _overlaps(boxes, expected)
+        dist = np.hypot(*((boxes[:, :2] + boxes[:, 2:] - expected[:2] - expected[2:]) / 2).T) / float(options["diagonal"].iloc[0])
+        pull = NEAR_WEIGHT * np.maximum(0.0, 1.0 - dist * 4.0) - LOST_COST * ((iou < LOST_IOU) & (dist > LOST_DIST))
+        allowed &= ~(options["_weak"].to_numpy(bool) & (iou < FAR_IOU) & (dist > FAR_DIST))
+    allowed &= iou >= need
+    if not allowed.any():
+        return None, 0.0
+    score = np.where(allowed, options["_base"].to_numpy(float) + IOU_WEIGHT * iou + pull, -np.inf)
+    top = int(score.argmax())
+    if expected is not None and iou[top] < FAR_IOU:
+        # a candidate that overlaps well wins a near tie
+        sure = [i for i in range(n) if allowed[i] and iou[i] >= SURE_IOU]
+        close = max(sure, key=lambda i: (iou[i], score[i], -i), default=top)
+        if score[close] >= score[top] - TIE:
             top = close
-    return top[2], top[1]
+    return top, float(iou[top])

@@ -25,6 +25,40 @@ SCHEMA = ("video_id string, frame_idx int, det_id int, track_id int, x1 double,
           "mask_area_px int, appearance_sim double, track_ov double, sand_ov double")
 
 
+def overlap(a, b):
+    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+    if w <= 0 or h <= 0:
+        return 0.0
+    return w * h / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h)
+
+
+def plain_choice(options, expected, z):
+    """The gap rule word for word: (option, overlap) or None."""
+    kept = []
+    for o in options:
+        box = [o["x1"], o["y1"], o["x2"], o["y2"]]
+        sim, track, sand = o["sim"], o["track"], o["sand"]
+        iou = overlap(box, expected) if expected else 0.0
+        score = sim + 0.3 * track + (0.45 if z == "landing" else 0.2) * sand + 0.5 * iou + (0.1 * sand if z == "landing" else 0)
+        far = False
+        if expected:
+            d = np.hypot(box[0] + box[2] - expected[0] - expected[2], box[1] + box[3] - expected[1] - expected[3]) / 2 / np.hypot(1280, 720)
+            score += 0.18 * max(0, 1 - 4 * d) - (0.2 if iou < 0.05 and d > 0.12 else 0)
+            far = iou < 0.08 and track < 0.15 and d > 0.08 and sim < 0.22
+        floor = 0.04 if iou >= 0.22 or sand >= 0.25 or track >= 0.28 else 0.08
+        fair = sim >= 0.04 and (iou >= 0.12 or track >= 0.18 or sand >= 0.25)
+        if (sim >= floor or iou >= 0.2 or track >= 0.28 or fair) and not far:
+            kept.append((score, iou, o))
+    if not kept:
+        return None
+    top = max(kept, key=lambda k: k[0])
+    sure = [k for k in kept if expected and k[1] >= 0.2]
+    if sure and top[1] < 0.08:
+        close = max(sure, key=lambda k: k[1])
+        top = close if close[0] >= top[0] - 0.12 else top
+    return top[2], top[1]
+
+
 def zone(p):
     return "landing" if p >= 0.9 else ("mid" if p >= 0.3 else "early")
 
@@ -80,7 +114,7 @@ def test_refine_v2_against_a_walk(spark):
                 gap = top[0] - top[1] if len(top) > 1 else 1.0
                 w = 0.28 if land else (0.24 if gap <= 0.08 else 0.12)
                 refs = history[-4:] if land else history[-1:]
-                scores = [s + w * max(CD._iou(o[1], b) for b in refs) for s, o in zip(scores, options)]
+                scores = [s + w * max(overlap(o[1], b) for b in refs) for s, o in zip(scores, options)]
             best = options[int(np.argmax(scores))]
             history.append(best[1])
             want[(v, f)] = best[2]
@@ -125,7 +159,7 @@ def test_gap_fill_against_a_walk(spark):
                 {"det_id": r.det_id, "x1": r.x1, "y1": r.y1, "x2": r.x2, "y2": r.y2, "sim": r.appearance_sim, "track": r.track_ov, "sand": r.sand_ov}
                 for r in pdf[(pdf.video_id == v) & (pdf.frame_idx == i)].sort_values("det_id").itertuples() if (r.x2 - r.x1) * (r.y2 - r.y1) >= 600
             ]
-            picked = CD._gap_choice(opts, expected, z)
+            picked = plain_choice(opts, expected, z)
             if picked is None:
                 continue
             c, iou = picked
@@ -148,7 +182,7 @@ def test_fold_and_columns_choose_alike(spark):
             {"det_id": r.det_id, "x1": r.x1, "y1": r.y1, "x2": r.x2, "y2": r.y2, "sim": r.appearance_sim, "track": r.track_ov, "sand": r.sand_ov}
             for r in g.itertuples() if (r.x2 - r.x1) * (r.y2 - r.y1) >= 600
         ]
-        picked = CD._gap_choice(opts, [first.x1, first.y1, first.x2, first.y2], "mid")
+        picked = plain_choice(opts, [first.x1, first.y1, first.x2, first.y2], "mid")
         if picked:
             want[key] = picked[0]["det_id"]
     assert got == want
