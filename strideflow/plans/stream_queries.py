@@ -61,23 +61,29 @@ def _timed(df: DataFrame) -> DataFrame:
     return df.withColumn("event_time", F.timestamp_seconds(F.unix_timestamp(start) + F.col("frame_idx") / 30.0))
 
 
+def shuffled_files(df: DataFrame, spark: SparkSession, files: int = 4) -> DataFrame:
+    """``df`` as a stream of files in random order, one a micro-batch, and then a row that ends the stream.
+
+    The last row belongs to no video; its late time moves the watermark past all others.
+    """
+    folder = f"{shared_folder(spark)}/stream-input-{uuid.uuid4().hex}"
+    df = _timed(df)
+    dealt = df.repartition(files, F.xxhash64(*[c for c in df.columns if c in ("video_id", "frame_idx", "det_id")]) % 1009)
+    dealt.write.parquet(folder)
+    last = {"event_time": F.lit("2024-02-01").cast("timestamp"), "x1": F.lit(0), "y1": F.lit(0), "x2": F.lit(1000), "y2": F.lit(1000)}
+    ends = spark.range(1).select(*[last.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema])
+    ends.coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 @query("r1_streaming_athlete_state", sql(STATE_SQL, "frames_v"))
 def r1(spark, sf):
-    return run_append(JB.streaming_athlete_state(_timed(streamed(C.frames, spark, sf))), spark)
+    return run_append(JB.streaming_athlete_state(shuffled_files(C.frames(spark, sf), spark)), spark)
 
 
-@query("r2_streaming_motion_lock", sql("SELECT video_id, athlete_track_id, round(motion_px, 4) AS motion_px FROM lock_all_v", "lock_all_v") if C.view(
-    "lock_all_v",
-    """SELECT video_id, (min({'m': -m, 'f': f, 't': track_id})).t AS athlete_track_id, max(m) AS motion_px FROM (SELECT video_id, track_id, sum(d) AS m, count(d) AS k, max(r) AS r, min({'f': frame_idx, 'd': det_id}) FILTER (d IS NOT NULL) AS f FROM (
-  SELECT *, abs(cx - lag(cx) OVER (PARTITION BY video_id, track_id ORDER BY frame_idx, det_id)) AS d FROM (
-    SELECT video_id, frame_idx, det_id, track_id, (x1 + x2) / 2 AS cx, dense_rank() OVER (PARTITION BY video_id ORDER BY frame_idx) AS r FROM detections_v) WHERE r <= 12) GROUP BY 1, 2) WHERE k > 0 GROUP BY 1""",
-    "detections_v",
-) else None)
+@query("r2_streaming_motion_lock", sql("SELECT video_id, athlete_track_id, round(motion_px, 4) AS motion_px FROM lock_v", "lock_v"))
 def r2(spark, sf):
-    d = C.detections(spark, sf)
-    folder = f"{shared_folder(spark)}/detections-{uuid.uuid4().hex}"
-    _timed(d).write.parquet(folder)  # the carrier merges duplicate keys, which a stream cannot
-    rows = spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
+    rows = shuffled_files(C.detections(spark, sf), spark)
     return run_append(JB.streaming_motion_lock(rows), spark).withColumn("motion_px", rnd(F.col("motion_px"), 4))
 
 

@@ -1,13 +1,14 @@
 """Streaming jobs over observations in arrival order.
 
-State is kept per video and is small and of fixed size: a code, a counter, one
-position per track seen in the first twelve frames, or a row of sums.
+State is kept per video: what waits for the watermark (bounded by its delay) and
+a code, the boxes of at most twelve frames, or a row of sums.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,103 +16,125 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.geometry import has_box
 from ..operators import venue as VN
-from ..operators.candidates import LOCK_FRAMES, LOST_AFTER, overlap_symbol, state_table
+from ..operators.candidates import LOCK_FRAMES, LOST_AFTER, large_enough, overlap_symbol, state_table
 from ..schemas import STATES
 
 
-def streaming_athlete_state(frames: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """athlete_state per frame as observations arrive.
+class _Held:
+    """Rows of one key that wait for the watermark; at most as many as arrive within its delay."""
 
-    ``frames``: video_id, frame_idx, event_time, person_bbox, track_overlap,
-    landing_overlap.  Frames of a micro-batch are put in order; a frame older
-    than the last one handled is dropped (a batch run repairs the table), and so
-    are frames behind the watermark.
+    def __init__(self, state: GroupState, columns: list[str], empty: tuple):
+        self.columns, self.rest = columns, empty
+        kept = state.get if state.exists else ([], *([] for _ in columns), *empty)
+        self.times, self.rows = list(kept[0]), pd.DataFrame(dict(zip(columns, kept[1:])))
+        self.rest = tuple(kept[1 + len(columns) :])
+
+    def add(self, batches: Iterator[pd.DataFrame]) -> None:
+        for got in batches:
+            self.times += [int(t.timestamp() * 1000) for t in got["event_time"]]
+            self.rows = pd.concat([self.rows, got[self.columns]], ignore_index=True) if len(self.rows) else got[self.columns].reset_index(drop=True)
+
+    def passed(self, watermark: int) -> pd.DataFrame:
+        """Takes out the rows that the watermark has passed: nothing before them can arrive any more."""
+        times = np.array(self.times, np.int64)
+        done = times < watermark
+        out, self.rows, self.times = self.rows[done], self.rows[~done].reset_index(drop=True), times[~done].tolist()
+        return out
+
+    def keep(self, state: GroupState, rest: tuple, idle_ms: int) -> None:
+        """Stores what waits and wakes up when its first row is due; a key with nothing to do is kept for ``idle_ms``."""
+        state.update((self.times, *(self.rows[c].tolist() if len(self.rows) else [] for c in self.columns), *rest))
+        watermark = state.getCurrentWatermarkMs()
+        state.setTimeoutTimestamp(max(min(self.times), watermark + 1) if self.times else watermark + idle_ms)
+
+
+def streaming_athlete_state(frames: DataFrame, delay: str = "10 minutes", idle: str = "1 day") -> DataFrame:
+    """athlete_state per frame, as :func:`athlete_state` gives it for the whole table.
+
+    ``frames``: video_id, frame_idx, event_time, person_bbox, track_overlap, landing_overlap.  Frames wait
+    in the state until the watermark (``delay`` behind the latest event) has passed them and are then
+    handled in order, so neither file order nor batch size matters and no frame within the delay is lost.
+    Of frames that arrive twice within the delay one counts.  A video's state is kept for ``idle`` of
+    event time after its last frame.
     """
     symbol = overlap_symbol(has_box(F.col("person_bbox")), F.col("track_overlap"), F.col("landing_overlap"))
     rows = frames.withWatermark("event_time", delay).select("video_id", "frame_idx", "event_time", symbol.alias("symbol"))
     table, width = state_table(), LOST_AFTER + 2
-    start = STATES.index("LOST") * width
-    names = list(STATES)
+    start, names, idle_ms = STATES.index("LOST") * width, list(STATES), int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        if state.hasTimedOut:
+        if pd.isna(key[0]):  # rows of no video only move the watermark
+            return
+        held = _Held(state, ["frame_idx", "symbol"], (start,))
+        (code,) = held.rest
+        if not state.hasTimedOut:
+            held.add(batches)
+        elif not held.times:
             state.remove()
             return
-        code, last = state.get if state.exists else (start, -1)
-        got = pd.concat(list(batches)).sort_values("frame_idx")
-        got = got[got["frame_idx"] > last].drop_duplicates("frame_idx")
+        due = held.passed(state.getCurrentWatermarkMs()).drop_duplicates("frame_idx").sort_values("frame_idx")
         out = []
-        for frame, sym in zip(got["frame_idx"], got["symbol"]):
+        for frame, sym in zip(due["frame_idx"], due["symbol"]):
             code = int(table[int(sym), code])
             out.append((key[0], int(frame), names[code // width]))
-        if out:
-            last = out[-1][1]
-        state.update((code, last))
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 60_000)
+        held.keep(state, (code,), idle_ms)
         yield pd.DataFrame(out, columns=["video_id", "frame_idx", "athlete_state"])
 
     return rows.groupBy("video_id").applyInPandasWithState(
-        step, "video_id string, frame_idx int, athlete_state string", "code int, last int", "append",
+        step, "video_id string, frame_idx int, athlete_state string", "times array<long>, frames array<int>, symbols array<int>, code int", "append",
         GroupStateTimeout.EventTimeTimeout,
     )
 
 
-def streaming_motion_lock(detections: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """The athlete's track id, once per video, after twelve frames with detections.
+def streaming_motion_lock(detections: DataFrame, delay: str = "10 minutes", idle: str = "1 day") -> DataFrame:
+    """The athlete's track id, once per video: :func:`motion_lock` on a stream.
 
-    A frame is complete when a later frame of the video has arrived or the
-    watermark has passed; its rows are then taken into account.
+    Boxes of at least the minimum area wait until the watermark has passed them; when twelve frames of a
+    video have been passed, its lock is final and given out.  A video is remembered for ``idle`` of event
+    time after its last detection, so it is locked once.
     """
-    rows = detections.withWatermark("event_time", delay).select(
-        "video_id", "frame_idx", "det_id", "track_id", "event_time", ((F.col("x1") + F.col("x2")) / 2).alias("cx")
-    )
+    cx = ((F.col("x1") + F.col("x2")) / 2).alias("cx")
+    rows = large_enough(detections.withWatermark("event_time", delay))
+    rows = rows.select("video_id", "frame_idx", "det_id", "track_id", "event_time", cx)
+    columns, idle_ms = ["frame_idx", "det_id", "track_id", "cx"], int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        if state.hasTimedOut:
-            frames, dets, done = state.get
-            held = list(zip(frames, dets))
+        if pd.isna(key[0]):  # rows of no video only move the watermark
+            return
+        held = _Held(state, columns, ([], [], [], [], False))
+        early, done = pd.DataFrame(dict(zip(columns, held.rest[:4]))), held.rest[4]
+        if not state.hasTimedOut:
+            held.add(batches)
+        elif not held.times:
             state.remove()
-            if not done and len({f for f, _ in held}) >= LOCK_FRAMES:
-                yield _locked(key[0], held)
             return
-        frames, dets, done = state.get if state.exists else ([], [], False)
-        got = pd.concat(list(batches))
-        if not done:
-            held = list(zip(frames, dets))
-            held += [
-                (int(f), f"{int(d)}:{int(t)}:{float(c)!r}")
-                for f, d, t, c in zip(got["frame_idx"], got["det_id"], got["track_id"], got["cx"])
-            ]
-            first = sorted({f for f, _ in held})
-            keep = set(first[: LOCK_FRAMES + 1])
-            held = [h for h in held if h[0] in keep]
-            if len(first) > LOCK_FRAMES:
-                done = True
-                yield _locked(key[0], [h for h in held if h[0] in set(first[:LOCK_FRAMES])])
-                held = []
-            frames, dets = [h[0] for h in held], [h[1] for h in held]
-        state.update((frames, dets, done))
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 60_000)
-
+        due = held.passed(state.getCurrentWatermarkMs())
+        if not done and len(due):
+            early = pd.concat([early, due]) if len(early) else due
+            first = np.unique(early["frame_idx"])[:LOCK_FRAMES]
+            early = early[early["frame_idx"].isin(first)]
+            done = len(first) == LOCK_FRAMES
+            if done:
+                yield _locked(key[0], early)
+                early = early.iloc[:0]
+        held.keep(state, (*(early[c].tolist() for c in columns), done), idle_ms)
+
+    kinds = ["int", "int", "int", "double"]
+    waiting = ", ".join(f"{p}_{c} array<{k}>" for p in ("held", "early") for c, k in zip(columns, kinds))
     return rows.groupBy("video_id").applyInPandasWithState(
-        step, "video_id string, athlete_track_id int, motion_px double",
-        "frames array<int>, dets array<string>, done boolean", "append", GroupStateTimeout.EventTimeTimeout,
+        step, "video_id string, athlete_track_id int, motion_px double", f"times array<long>, {waiting}, done boolean", "append",
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 
-def _locked(video: str, held) -> pd.DataFrame:
-    parsed = sorted((f, int(d.split(":")[0]), int(d.split(":")[1]), float(d.split(":")[2])) for f, d in held)
-    last: dict[int, float] = {}
-    total: dict[int, float] = {}
-    for _, _, track, cx in parsed:
-        if track in last:
-            total[track] = total.get(track, 0.0) + abs(cx - last[track])
-        last[track] = cx
-    rows = []
-    if total:
-        best = max(total, key=lambda t: total[t])
-        rows = [(video, best, total[best])]
-    return pd.DataFrame(rows, columns=["video_id", "athlete_track_id", "motion_px"])
+def _locked(video: str, early: pd.DataFrame) -> pd.DataFrame:
+    """The track with the most motion; of equal ones that which moved first."""
+    rows = early.sort_values(["frame_idx", "det_id"], ignore_index=True)
+    moved = rows.groupby("track_id")["cx"].diff().abs()
+    total = moved.groupby(rows["track_id"]).sum(min_count=1).dropna()
+    first = moved.dropna().index.to_series().groupby(rows["track_id"]).min()
+    found = [] if total.empty else [(video, int(t := min(total.index, key=lambda t: (-total[t], first[t]))), float(total[t]))]
+    return pd.DataFrame(found, columns=["video_id", "athlete_track_id", "motion_px"])
 
 
 def streaming_video_summary(frames: DataFrame, window: str = "1 minute", delay: str = "10 minutes") -> DataFrame:
