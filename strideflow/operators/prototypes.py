@@ -22,15 +22,17 @@ TAGS = ("hop_contact", "landing", "feet_together")
 def prototype_sheet(prototypes: DataFrame) -> DataFrame:
     """One row: ``_phases`` and ``_tags``, MAP<key, STRUCT<centroid, weights>>.
 
-    Only the fixed phase and tag names are kept, which bounds the row's size.
+    Only the fixed phase and tag names are kept, which bounds the row's size; a name
+    that comes twice counts once.
     """
-    entry = F.struct(F.col("key"), F.struct("centroid", "weights").alias("value"))
+    known = prototypes.filter(F.col("kind").isin("phase", "tag") & F.col("key").isin(*PHASES, *TAGS))
+    one = known.groupBy("kind", "key").agg(F.min(F.struct("centroid", "weights")).alias("value"))
+    entry = F.struct("key", "value")
 
     def as_map(kind):
-        found = F.collect_list(F.when(F.col("kind") == kind, entry))
-        return F.map_from_entries(found)
+        return F.map_from_entries(F.collect_list(F.when(F.col("kind") == kind, entry)))
 
-    return prototypes.agg(as_map("phase").alias("_phases"), as_map("tag").alias("_tags"))
+    return one.agg(as_map("phase").alias("_phases"), as_map("tag").alias("_tags"))
 
 
 def with_sheet(df: DataFrame, prototypes: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ bounded number of frames however large the table grows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.pose import bind
@@ -161,18 +161,17 @@ def _keyframes_sql() -> str:
 # ------------------------------------------------------------------ detections
 
 def detections(spark: SparkSession, sf: str) -> DataFrame:
-    li = table(spark, sf, "lineitem")
-    merged = li.groupBy("l_orderkey", "l_linenumber").agg(
-        F.max("l_quantity").alias("q"), F.max("l_extendedprice").alias("p"),
-        F.max("l_discount").alias("d"), F.max("l_tax").alias("t"),
-        F.max("l_suppkey").alias("s"), F.max("l_partkey").alias("k"),
+    li = table(spark, sf, "lineitem").select(
+        "l_orderkey", F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("p"), F.col("l_discount").alias("d"), F.col("l_tax").alias("t"),
+        F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("k"), F.col("l_linenumber").alias("n"),
     )
+    merged = li.withColumn("det", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("n", "q", "p", "d", "t", "s", "k")))
     key = F.col("l_orderkey")
     x1, y1 = (F.col("q") - 1) * 20, F.col("p") % 300
     return merged.select(
         F.floor(key / FRAMES_PER_VIDEO).cast("string").alias("video_id"),
         (STRIDE * (key % FRAMES_PER_VIDEO)).cast("int").alias("frame_idx"),
-        F.col("l_linenumber").cast("int").alias("det_id"),
+        F.col("det").cast("int").alias("det_id"),
         (F.col("s") % 5).cast("int").alias("track_id"),
         x1.alias("x1"), y1.alias("y1"),
         (x1 + 40 + 1000 * F.col("d")).alias("x2"), (y1 + 60 + 2000 * F.col("t")).alias("y2"),
@@ -187,15 +186,14 @@ def detections(spark: SparkSession, sf: str) -> DataFrame:
 _DETECTIONS_SQL = f"""
 SELECT CAST(l_orderkey // {FRAMES_PER_VIDEO} AS VARCHAR) AS video_id,
   CAST({STRIDE} * (l_orderkey % {FRAMES_PER_VIDEO}) AS INTEGER) AS frame_idx,
-  CAST(l_linenumber AS INTEGER) AS det_id, CAST(s % 5 AS INTEGER) AS track_id,
+  CAST(det AS INTEGER) AS det_id, CAST(s % 5 AS INTEGER) AS track_id,
   (q - 1) * 20 AS x1, p % 300 AS y1, (q - 1) * 20 + 40 + 1000 * d AS x2,
   p % 300 + 60 + 2000 * t AS y2, 0.3::DOUBLE + 7 * d AS conf,
   CAST(CAST(floor(p) AS BIGINT) % 20000 AS INTEGER) AS mask_area_px,
   (k * 37 % 1000) / 1000.0::DOUBLE AS appearance_sim,
   (s * 17 % 100) / 100.0::DOUBLE AS track_ov, (k * 13 % 100) / 100.0::DOUBLE AS sand_ov
-FROM (SELECT l_orderkey, l_linenumber, max(l_quantity) q, max(l_extendedprice) p,
-  max(l_discount) d, max(l_tax) t, max(l_suppkey) s, max(l_partkey) k
-  FROM lineitem GROUP BY ALL)
+FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY n, q, p, d, t, s, k) AS det FROM (
+  SELECT l_orderkey, l_linenumber n, l_quantity q, l_extendedprice p, l_discount d, l_tax t, l_suppkey s, l_partkey k FROM lineitem))
 """
 
 # ------------------------------------------------------------------ signals
