@@ -151,7 +151,31 @@ def e18(spark, sf):
     return CD.athlete_state(state_frames(spark, sf)).select("video_id", "frame_idx", "athlete_state")
 
 
-@query("e19_candidate_score")
+@query(
+    "e19_candidate_score",
+    sql(
+        f"""SELECT d.video_id, d.frame_idx, d.det_id, round(
+  CASE WHEN track_ov > 0.5 AND coalesce(m.motion, 0) > 5 THEN 2.0 + track_ov ELSE 0 END + CASE WHEN sand_ov >= 0.25 THEN 1.5 + sand_ov ELSE 0 END
+  + CASE WHEN coalesce(s.prev IN ('AIR', 'FINAL_FLIGHT'), false)
+      THEN appearance_sim * 1.2 + coalesce(greatest(0, 1.5 - sqrt(power(p.x - (d.x1 + d.x2) / 2, 2) + power(p.y - (d.y1 + d.y2) / 2, 2)) / 108.0), 0)
+      ELSE track_ov * 0.8 + appearance_sim * 0.5 + CASE WHEN coalesce(m.motion, 0) > 3 THEN least(m.motion / 200.0, 0.5) ELSE 0 END END, 6) AS track_score
+FROM detections_v d
+LEFT JOIN (SELECT video_id, frame_idx, coalesce(lag(athlete_state) OVER (PARTITION BY video_id ORDER BY frame_idx), 'LOST') AS prev FROM ({STATE_SQL})) s
+  ON s.video_id = d.video_id AND s.frame_idx = d.frame_idx
+LEFT JOIN (SELECT f.video_id, f.frame_idx, b.x + (b.x - a.x) * (f.frame_idx - b.frame_idx) / (b.frame_idx - a.frame_idx) AS x,
+    b.by2 + (b.by2 - a.by2) * (f.frame_idx - b.frame_idx) / (b.frame_idx - a.frame_idx) - (a.by2 - a.by1) / 2 AS y FROM (
+    SELECT video_id, frame_idx, (SELECT max(frame_idx) FROM frames_v g WHERE g.video_id = f.video_id AND g.frame_idx < f.frame_idx AND g.person_detected) AS f1 FROM frames_v f) f
+  JOIN (SELECT *, (bx1 + bx2) / 2 AS x, lag(frame_idx) OVER (PARTITION BY video_id ORDER BY frame_idx) AS f0 FROM frames_v WHERE person_detected) b ON b.video_id = f.video_id AND b.frame_idx = f.f1
+  JOIN (SELECT *, (bx1 + bx2) / 2 AS x FROM frames_v WHERE person_detected) a ON a.video_id = f.video_id AND a.frame_idx = b.f0) p
+  ON p.video_id = d.video_id AND p.frame_idx = d.frame_idx
+LEFT JOIN (SELECT video_id, track_id, sum(v) AS motion FROM (
+    SELECT video_id, track_id, abs(cx - lag(cx) OVER (PARTITION BY video_id, track_id ORDER BY frame_idx, det_id)) AS v FROM (
+      SELECT video_id, frame_idx, det_id, track_id, (x1 + x2) / 2 AS cx, dense_rank() OVER (PARTITION BY video_id ORDER BY frame_idx) AS r
+      FROM detections_v WHERE (x2 - x1) * (y2 - y1) >= 4000) WHERE r <= 12) GROUP BY 1, 2) m
+  ON m.video_id = d.video_id AND m.track_id = d.track_id""",
+        "detections_v", "frames_v",
+    ),
+)
 def e19(spark, sf):
     f = CD.previous_state(CD.athlete_state(state_frames(spark, sf)))
     guess = CD.predict_box(f)

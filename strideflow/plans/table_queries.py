@@ -193,7 +193,12 @@ def m5(spark, sf):
     return ED.correction_range(c, C.frames(spark, sf))
 
 
-@query("m6_apply_overrides")
+@query(
+    "m6_apply_overrides",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS video_id, CAST(CASE WHEN edited THEN o_orderkey % 20 ELSE o_orderkey END AS VARCHAR) AS total_length_m,
+  CASE WHEN edited THEN CAST(o_orderkey % 20 AS VARCHAR) END AS hops_corridor_m, CASE WHEN NOT edited THEN o_orderstatus END AS notes, CAST(NULL AS VARCHAR) AS other
+FROM (SELECT *, o_orderstatus = 'P' AS edited FROM orders)""",
+)
 def m6(spark, sf):
     o = C.table(spark, sf, "orders")
     k = F.col("o_orderkey")

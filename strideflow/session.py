@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,13 +48,16 @@ def tune(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can read: ``spark.checkpoint.dir`` of the session.
 
-    Only a session that names none (a test) gets a folder of its own.
+    Only a local session that names none (a test) gets a folder of its own; on a
+    cluster a machine-local folder would lose what other executors wrote.
     """
     known = spark.sparkContext.getCheckpointDir()
     if known is not None:
         return known
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="strideflow-checkpoint-")
     spark.sparkContext.setCheckpointDir(folder)
     return spark.sparkContext.getCheckpointDir()
