@@ -1,7 +1,7 @@
 """Registered queries: the streaming jobs (R1 - R5), each run to the end of its input.
 
 The stream reads the table files; results go to parquet in the shared folder
-with an exactly-once file sink (or one overwritten table for update results).
+with an exactly-once file sink, or a folder a batch for update results.
 """
 
 from __future__ import annotations
@@ -41,18 +41,25 @@ def run_append(out: DataFrame, spark: SparkSession) -> DataFrame:
     return spark.read.schema(out.schema).parquet(f"{base}/table")
 
 
-def run_complete(out: DataFrame, spark: SparkSession) -> DataFrame:
+def run_update(out: DataFrame, spark: SparkSession, keys: list[str], order: str) -> DataFrame:
+    """Run an update-mode job to the end of its input; the result has the newest row of each key.
+
+    A batch writes only the keys that it changed, into a folder of its own, so a repeated batch replaces
+    itself and no batch rewrites what others wrote.
+    """
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
-    def write(batch: DataFrame, _id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/table")
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/table/batch={batch_id}")
 
     job = (
-        out.writeStream.outputMode("complete").option("checkpointLocation", f"{base}/state")
+        out.writeStream.outputMode("update").option("checkpointLocation", f"{base}/state")
         .foreachBatch(write).trigger(availableNow=True).start()
     )
     job.awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{base}/table")
+    rows = spark.read.parquet(f"{base}/table")
+    newest = F.max_by(F.struct(*[c for c in out.columns if c not in keys]), F.struct(order, "batch"))
+    return rows.groupBy(*keys).agg(newest.alias("_s")).select(*keys, "_s.*")
 
 
 def _timed(df: DataFrame) -> DataFrame:
@@ -89,17 +96,22 @@ def r2(spark, sf):
 
 @query(
     "r3_streaming_video_summary",
-    sql("SELECT video_id, count(*) AS n, count(*) FILTER (foot_y IS NOT NULL) AS seen, round(max(value) FILTER (foot_y IS NOT NULL), 6) AS top FROM signals_v GROUP BY 1", "signals_v"),
+    sql(
+        """SELECT video_id, strftime(to_timestamp(epoch(TIMESTAMP '2024-01-01') + 2 * floor(frame_idx / 60.0))::TIMESTAMP, '%H:%M:%S') AS window_start, count(*) AS n,
+  count(*) FILTER (foot_y IS NOT NULL) AS seen, count(*) FILTER (foot_y IS NOT NULL AND value > 0.5) AS usable, round(max(value) FILTER (foot_y IS NOT NULL), 6) AS top
+FROM signals_v GROUP BY 1, 2""",
+        "signals_v",
+    ),
 )
 def r3(spark, sf):
-    f = _timed(streamed(C.signals, spark, sf)).select(
-        "video_id", "event_time", F.col("foot_y").isNotNull().alias("person_detected"), F.lit(True).alias("usable_for_analysis"),
+    f = shuffled_files(C.signals(spark, sf), spark).select(
+        "video_id", "event_time", F.col("foot_y").isNotNull().alias("person_detected"), (F.col("value") > 0.5).alias("usable_for_analysis"),
         F.col("value").alias("quality_score"),
     )
-    got = run_complete(JB.streaming_video_summary(f, window="1 minute"), spark)
+    got = run_append(JB.streaming_video_summary(f, window="2 seconds"), spark).filter("video_id is not null")
     return got.select(
-        "video_id", F.col("total_frames_analyzed").alias("n"), F.col("frames_with_person").alias("seen"),
-        rnd(F.col("quality_max")).alias("top"),
+        "video_id", F.date_format("window.start", "HH:mm:ss").alias("window_start"), F.col("total_frames_analyzed").alias("n"),
+        F.col("frames_with_person").alias("seen"), F.col("frames_usable").alias("usable"), rnd(F.col("quality_max")).alias("top"),
     )
 
 
@@ -113,7 +125,7 @@ def r4(spark, sf):
         F.col("event_type").alias("stage"), F.col("value").alias("percent"), F.lit(0).alias("current_frame"), F.lit(0).alias("total_frames"),
         F.lit("").alias("message"),
     )
-    return run_complete(JB.streaming_job_state(e), spark).select("job_id", "stage", rnd(F.col("percent"), 4).alias("percent"))
+    return run_update(JB.streaming_job_state(e), spark, ["job_id"], "event_time").select("job_id", "stage", rnd(F.col("percent"), 4).alias("percent"))
 
 
 @query(

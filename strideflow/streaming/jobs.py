@@ -138,7 +138,7 @@ def _locked(video: str, early: pd.DataFrame) -> pd.DataFrame:
 
 
 def streaming_video_summary(frames: DataFrame, window: str = "1 minute", delay: str = "10 minutes") -> DataFrame:
-    """Rolling summary per video and event-time window (no distinct track ids)."""
+    """Summary per video and event-time window (no distinct track ids); final once the watermark has passed the window (append mode)."""
     seen = F.col("person_detected")
     q = F.when(seen, F.col("quality_score"))
     return (
