@@ -1,19 +1,12 @@
-"""Small tables with the cases that operators must bear, and plain versions to hold results against."""
-
-import re
+"""Small tables with the cases that operators must bear."""
 
 import pytest
+from llm_cases import SMALL
 
-SMALL = "/root/testdata/sf0.001"
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Columns whose names operators use themselves.
 CLASHING = ["size", "score", "part", "row", "ids", "start", "target", "label", "base", "_id", "print"]
 
 
-def words(text):
-    return WORD.findall(text or "")
-
-
 @pytest.fixture(scope="session")
 def table(spark):
     """Documents from (doc_id, text[, source]) with further columns whose names clash."""

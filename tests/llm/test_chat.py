@@ -75,7 +75,7 @@ def test_empty(spark):
 
 
 def test_query(spark):
-    from conftest import SMALL
+    from llm_cases import SMALL
     from strideflow.llm.queries import CONTROL_TEXT, chat
 
     rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]

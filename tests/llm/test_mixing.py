@@ -2,7 +2,7 @@ import random
 from collections import defaultdict
 
 import pytest
-from conftest import words
+from llm_cases import words
 
 from strideflow.llm.mixing import mix, source_targets
 from strideflow.llm.stages import source_mix

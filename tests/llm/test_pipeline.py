@@ -1,7 +1,7 @@
 from collections import defaultdict
 
 import corpus_pipeline
-from conftest import SMALL, words
+from llm_cases import SMALL, words
 from test_substrings import shared_words
 
 from strideflow.llm.common import store

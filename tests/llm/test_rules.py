@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from conftest import words
+from llm_cases import words
 
 from strideflow.llm.rules import agreement, judge, measures, posterior
 

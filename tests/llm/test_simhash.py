@@ -2,7 +2,7 @@ import re
 
 import numpy as np
 import xxhash
-from conftest import SMALL, words
+from llm_cases import SMALL, words
 
 from strideflow.llm.simhash import fingerprint, keep_first, links, meet, near_duplicates
 

@@ -2,7 +2,7 @@
 
 import duckdb
 import pytest
-from conftest import SMALL
+from llm_cases import SMALL
 
 from strideflow.llm import queries
 

@@ -1,7 +1,7 @@
 from collections import defaultdict
 
 import numpy as np
-from conftest import SMALL, words
+from llm_cases import SMALL, words
 
 from strideflow.llm.substrings import compact_windows, cut_repeats, repeated_passages
 
