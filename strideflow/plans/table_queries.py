@@ -316,15 +316,22 @@ def _line_sql(kind, tag):
     return f"'{kind} ' || " + " || ' ' || ".join(f"printf('%.6f', {tag}{j}{c})" for j in range(4) for c in "xy")
 
 
+def _split_sql(ratio: float, seed: int) -> str:
+    """Split of every keyframe: ranked by a hash inside its video."""
+    return f"""SELECT *, CASE WHEN rank <= CASE WHEN n > 1 THEN greatest(1, floor(n * {ratio})) ELSE 0 END THEN 'val' ELSE 'train' END AS split FROM (
+  SELECT *, count(*) OVER (PARTITION BY video_id) AS n, row_number() OVER (PARTITION BY video_id
+    ORDER BY CAST('0x' || substr(md5('{seed}:' || video_id || ':' || frame_idx), 1, 15) AS BIGINT), frame_idx) AS rank FROM keyframes_v)"""
+
+
 @query(
     "k9_export_labels",
     sql(
-        f"SELECT video_id, frame_idx, 0 AS class, {_line_sql(0, 't')} AS line FROM keyframes_v UNION ALL SELECT video_id, frame_idx, 1, {_line_sql(1, 's')} FROM keyframes_v",
+        f"SELECT split, video_id, frame_idx, 0 AS class, {_line_sql(0, 't')} AS line FROM ({_split_sql(0.2, 42)}) UNION ALL SELECT split, video_id, frame_idx, 1, {_line_sql(1, 's')} FROM ({_split_sql(0.2, 42)})",
         "keyframes_v",
     ),
 )
 def k9(spark, sf):
-    return WR.label_rows(export_keyframes(spark, sf)).drop("split")
+    return WR.label_rows(export_keyframes(spark, sf))
 
 
 @query(
@@ -338,13 +345,9 @@ def k10(spark, sf):
     return WR.rebuild_rows(manifest, export_keyframes(spark, sf)).filter("class = 0").select("video_id", "frame_idx", "line")
 
 
-@query(
-    "e25_split_train_val",
-    sql("SELECT video_id, count(*) AS n, CAST(CASE WHEN count(*) > 1 THEN greatest(1, floor(count(*) * 0.3)) ELSE 0 END AS BIGINT) AS n_val FROM keyframes_v GROUP BY 1", "keyframes_v"),
-)
+@query("e25_split_train_val", sql(f"SELECT video_id, frame_idx, split FROM ({_split_sql(0.3, 7)})", "keyframes_v"))
 def e25(spark, sf):
-    s = WR.split_train_val(C.keyframes(spark, sf).select("video_id", "frame_idx"), 0.3, 7)
-    return s.groupBy("video_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("split") == "val", 1)).alias("n_val"))
+    return WR.split_train_val(C.keyframes(spark, sf).select("video_id", "frame_idx"), 0.3, 7)
 
 
 @query(

@@ -47,13 +47,14 @@ def append_corrections_log(record: DataFrame, path: str) -> None:
 # ------------------------------------------------------------ label export
 
 def split_train_val(keyframes: DataFrame, val_ratio: float = 0.2, seed: int = 42) -> DataFrame:
-    """Random split per video: val gets max(1, int(n * ratio)) frames, 0 if n is 1."""
-    order = F.xxhash64(F.lit(seed), "video_id", "frame_idx")
+    """Random split per video, the same on every run: val gets max(1, int(n * ratio)) frames, 0 if n is 1."""
+    text = F.concat_ws(":", F.lit(seed), "video_id", "frame_idx")
+    order = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
     n = keyframes.groupBy("video_id").agg(F.count(F.lit(1)).alias("_n"))
     # Ranked by hash inside hash buckets, with bucket totals carried over, so a
     # video with very many keyframes is not sorted in one task.
     buckets = 256
-    rows = keyframes.withColumn("_h", order).withColumn("_b", F.floor(F.col("_h") / (2.0**64 / buckets)).cast("int"))
+    rows = keyframes.withColumn("_h", order).withColumn("_b", F.floor(F.col("_h") / (2.0**60 / buckets)).cast("int"))
     sizes = rows.groupBy("video_id", "_b").agg(F.count(F.lit(1)).alias("_c"))
     ahead = Window.partitionBy("video_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_c").over(ahead), F.lit(0))).drop("_c")
