@@ -34,4 +34,4 @@ def load() -> None:
         import_module(f"{__package__}.{name}")
 
 
-MODULES = ["frame_queries", "vector_queries", "join_queries", "metric_queries", "contact_queries", "candidate_queries", "table_queries", "stream_queries"]
+MODULES = ["frame_queries", "vector_queries", "join_queries", "metric_queries", "contact_queries", "candidate_queries", "table_queries", "stream_queries", "source_queries"]
