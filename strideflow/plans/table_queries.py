@@ -60,18 +60,34 @@ def gt_markers(spark, sf):
     )
 
 
+_SAMPLES_SQL = """SELECT video_id, frame_idx, phase, CASE WHEN phase = 'landing' THEN 'landing' ELSE 'hop_contact' END AS pose_tag, CASE WHEN phase = 'landing' THEN 'sand' ELSE 'track' END AS surface, pose_quality AS quality_score
+FROM (SELECT *, ['hop_1', 'final_jump', 'landing', 'hop_4'][(frame_idx // 3) % 4 + 1] AS phase FROM pose_vec_v) WHERE phase <> 'final_jump' AND person_detected AND valid AND pose_quality >= 0.35"""
+
+
+@query("k6_gt_samples", sql(_SAMPLES_SQL, "pose_vec_v"))
+def k6_samples(spark, sf):
+    return GT.gt_samples(posed(spark, sf), gt_markers(spark, sf)).select(
+        "video_id", "frame_idx", "phase", "pose_tag", "surface", "quality_score"
+    )
+
+
 @query(
     "k6_append_gt",
     sql(
-        """SELECT video_id, frame_idx, phase, CASE WHEN phase = 'landing' THEN 'landing' ELSE 'hop_contact' END AS pose_tag, CASE WHEN phase = 'landing' THEN 'sand' ELSE 'track' END AS surface, pose_quality AS quality_score
-FROM (SELECT *, ['hop_1', 'final_jump', 'landing', 'hop_4'][(frame_idx // 3) % 4 + 1] AS phase FROM pose_vec_v) WHERE phase <> 'final_jump' AND person_detected AND valid AND pose_quality >= 0.35""",
+        f"""WITH s AS ({_SAMPLES_SQL}), n AS (SELECT video_id, phase, max(frame_idx) AS frame_idx FROM s GROUP BY 1, 2)
+SELECT s.* FROM s JOIN n ON n.video_id = s.video_id AND n.phase = s.phase AND n.frame_idx = s.frame_idx
+UNION ALL SELECT v.video_id, -5, p.phase, 'old', 'track', 0.5::DOUBLE FROM (SELECT DISTINCT video_id FROM pose_vec_v) v, (SELECT unnest(['hop_1', 'hop_2', 'landing']) AS phase) p
+WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.video_id = v.video_id AND n.phase = p.phase)""",
         "pose_vec_v",
     ),
 )
 def k6(spark, sf):
-    return GT.gt_samples(posed(spark, sf), gt_markers(spark, sf)).select(
-        "video_id", "frame_idx", "phase", "pose_tag", "surface", "quality_score"
+    f = posed(spark, sf)
+    old = f.select("video_id").distinct().select(
+        "video_id", F.lit(-5).alias("frame_idx"), F.explode(F.array(F.lit("hop_1"), F.lit("hop_2"), F.lit("landing"))).alias("phase"),
+        F.lit("old").alias("pose_tag"), F.lit("track").alias("surface"), F.lit(0.5).alias("quality_score"),
     )
+    return GT.append_gt(old, f, gt_markers(spark, sf)).select("video_id", "frame_idx", "phase", "pose_tag", "surface", "quality_score")
 
 
 def gt_seeds(spark, sf):
