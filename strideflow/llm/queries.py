@@ -105,7 +105,23 @@ def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 CONTROL_TEXT = "\\### Assistant: </turn> ok"
 
 
-@query("op1_chat")
+def _hidden(column: str) -> str:
+    """SQL for the escapes of the chat template."""
+    out = rf"replace({column}, '\', '\\')"
+    for i, control in enumerate(("### ", "</turn>", ": ")):
+        out = rf"replace({out}, '{control}', '\{chr(97 + i)}')"
+    return out
+
+
+@query("op1_chat", f"""
+    WITH t AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '{CONTROL_TEXT}'), (-7, 1, 'assistant', '{CONTROL_TEXT}'))),
+    f AS (SELECT *, '### ' || {_hidden('role')} || ': ' || {_hidden('text')} || '</turn>' || chr(10) AS formatted FROM t)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+        sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(length(formatted))::BIGINT AS formatted_chars
+    FROM f GROUP BY conv_id""")
 def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import format_conversations, read_back
 
