@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded, store, widened
+from .common import bounded, mapped, store, widened
 from .templates import Template
 
 END = "</turn>"
@@ -60,7 +60,7 @@ def format_conversations(turns: DataFrame, template: Template = TEMPLATE) -> Dat
     Rows are range-sorted, so the turns of one long conversation are rendered by many tasks; only the few
     conversations that go over a task's border get their places from a second pass.
 
-    Order: turn (null last), then role and text.  Null role or text is empty, a null conv_id is a
+    Order: turn (null last); rows of one turn by a hash of role and text.  Null role or text is empty, a null conv_id is a
     conversation of its own, repeated rows are separate turns.  An empty table gives no rows.
     """
     rows = turns.select(
@@ -69,7 +69,7 @@ def format_conversations(turns: DataFrame, template: Template = TEMPLATE) -> Dat
     )
     order = [F.col("conv_id"), F.col("turn").asc_nulls_last(), F.col("role"), F.col("text")]
     rows = rows.repartitionByRange(*order[:2], F.xxhash64("role", "text")).sortWithinPartitions(*order[:2], F.xxhash64("role", "text"), *order[2:])
-    table = store(rows.mapInArrow(_places, widened(rows, part=T.IntegerType(), place=T.LongType(), final=T.BooleanType())), "chat-turns")
+    table = store(mapped(rows, _places, widened(rows, part=T.IntegerType(), place=T.LongType(), final=T.BooleanType())), "chat-turns")
     counts = table.groupBy("conv_id", "part").agg(F.count("*").alias("_n"))
     by_part = Window.partitionBy("conv_id").orderBy("part")
     counts = counts.select(
@@ -92,7 +92,7 @@ def format_conversations(turns: DataFrame, template: Template = TEMPLATE) -> Dat
                 spans.append([{"first": a, "end": b} for a, b in marked])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pieces, pa.string()), pa.array(spans, kind)], ["conv_id", "place", "piece", "spans"])
 
-    return placed.mapInArrow(render, "conv_id long, place long, piece string, spans array<struct<first:long,end:long>>")
+    return mapped(placed, render, "conv_id long, place long, piece string, spans array<struct<first:long,end:long>>")
 
 
 class Reader:
@@ -150,4 +150,4 @@ def read_back(formatted: DataFrame, template: Template = TEMPLATE) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds)], names)
 
     rows = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "place")
-    return rows.mapInArrow(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return mapped(rows, read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

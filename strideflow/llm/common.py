@@ -19,6 +19,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Text bytes that one step inside a task works on; a longer text is a step of its own.
 STEP_BYTES = 8 << 20
+#: Rows that Spark passes to Python at once.
+BATCH_ROWS = 2000
 #: Rows of a side that may be broadcast; every side is counted before.
 BROADCAST_ROWS = 200_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -65,17 +67,48 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def steps(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches that hold about ``limit`` bytes of ``column``."""
+    """The rows of the batches in runs that hold about ``limit`` bytes of ``column``; a longer text is a run of its own."""
+    held, size = [], 0
     for batch in batches:
         if batch.num_rows == 0:
             continue
         _, starts = column_bytes(batch.column(batch.schema.get_field_index(column)))
         first = 0
         while first < batch.num_rows:
-            last = int(np.searchsorted(starts, starts[first] + limit, "right")) - 1
-            last = min(max(last, first + 1), batch.num_rows)
-            yield batch.slice(first, last - first)
-            first = last
+            last = int(np.searchsorted(starts, starts[first] + limit - size, "right")) - 1
+            last = min(max(last, first if held else first + 1), batch.num_rows)
+            if last > first:
+                held.append(batch.slice(first, last - first))
+                size += int(starts[last] - starts[first])
+                first = last
+            if first < batch.num_rows or size >= limit:
+                yield _joined(held)
+                held, size = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.concat_batches(parts)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """Batches of narrow rows put together to about ``rows`` rows."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= rows:
+            yield _joined(held)
+            held, size = [], 0
+    if size:
+        yield _joined(held)
+
+
+def mapped(df: DataFrame, fn, schema) -> DataFrame:
+    """``df.mapInArrow`` with batches of few rows, as rows hold whole texts."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df.mapInArrow(fn, schema)
 
 
 @dataclass

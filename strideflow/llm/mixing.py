@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, bounded, starts_of_parts, store, widened
+from .common import WORD, bounded, gathered, mapped, starts_of_parts, store, widened
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
@@ -75,7 +75,7 @@ def _runs(source: pa.Array) -> tuple[list, np.ndarray]:
 def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the task and the running size inside the task."""
     part, total = TaskContext.get().partitionId(), 0
-    for batch in batches:
+    for batch in gathered(batches):
         if batch.num_rows == 0:
             continue
         size = batch.column(batch.schema.get_field_index("size")).to_numpy(zero_copy_only=False)
@@ -110,7 +110,7 @@ def mix(
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id", text).alias("shuffled"),
     )
     ordered = sized.repartitionByRange("source", "shuffled").sortWithinPartitions("source", "shuffled")
-    table = store(ordered.mapInArrow(_queue, widened(ordered, part=T.IntegerType(), before=T.LongType())), "mix-queues")
+    table = store(mapped(ordered, _queue, widened(ordered, part=T.IntegerType(), before=T.LongType())), "mix-queues")
 
     parts = store(table.groupBy("part", "source").agg(F.sum("size").alias("_size")), "mix-parts")
     targets = source_targets(parts.groupBy("source").agg(F.sum("_size").alias("source_size")), weights, share, max_epochs)

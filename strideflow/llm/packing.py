@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, starts_of_parts, steps, store
+from .common import bounded, mapped, starts_of_parts, steps, store
 from .tokens import encoder
 
 LENGTH = 4096
@@ -43,7 +43,7 @@ def token_rows(documents: DataFrame, tokenizer_path: str, end_id: int) -> DataFr
             )
             before += len(ids)
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encode, _TOKENS)
+    return mapped(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), encode, _TOKENS)
 
 
 def pack(documents: DataFrame, tokenizer_path: str, end_id: int = 2, length: int = LENGTH) -> DataFrame:

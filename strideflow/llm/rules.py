@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, column_bytes, mixed, pick_bytes, shingle_hashes, steps, word_bounds
+from .common import bounded, column_bytes, mapped, mixed, pick_bytes, shingle_hashes, steps, word_bounds
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
@@ -167,7 +167,7 @@ def judge(documents: DataFrame) -> DataFrame:
     of its pattern.  ``base_failed``: under ten words, or over a fifth of the words in repeated five-word
     windows.  Null text has no words.  Repeated rows stay; an empty table gives no rows.
     """
-    measured = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_measured, f"doc_id long, {_MEASURES}")
+    measured = mapped(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _measured, f"doc_id long, {_MEASURES}")
     rules = votes()
     pattern = F.concat_ws(",", *[v.cast("string") for v in rules.values()])
     voted = measured.withColumn("pattern", pattern)

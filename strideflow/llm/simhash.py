@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_bytes, steps, store
+from .common import column_bytes, mapped, steps, store
 from .components import components
 
 RADIUS = 4
@@ -141,7 +141,7 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     count only if nothing else is there).  Equal fingerprints meet before the search, so copies cost one
     entry.  Repeated rows stay; an empty table gives no rows; other columns are not read.
     """
-    prints = store(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_prints, "doc_id long, print long"), "simhash-prints")
+    prints = store(mapped(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _prints, "doc_id long, print long"), "simhash-prints")
     distinct = store(prints.groupBy("print").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     groups = components(links(distinct.select("print"), radius))
     first = distinct.join(groups, F.col("print") == F.col("node"), "left").select("print", F.coalesce("label", "print").alias("label"), "first")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rangecoder
-from .common import bounded, starts_of_parts, steps
+from .common import bounded, mapped, starts_of_parts, steps
 from .tokens import encoder
 
 #: Stands between blocks; a block that would hold it is written under a mask.
@@ -113,7 +113,7 @@ def write_tokens(documents: DataFrame, path: str, tokenizer_path: str, end_id: i
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(coded, "value binary").select(F.col("value").cast("string")).write.option("lineSep", MARK).text(path)
+    mapped(rows, coded, "value binary").select(F.col("value").cast("string")).write.option("lineSep", MARK).text(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

@@ -10,9 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, column_bytes, lower_ascii, mixed, pick_bytes, steps
+from .common import BATCH_ROWS, SPACE, column_bytes, lower_ascii, mapped, mixed, pick_bytes, steps
 
 BITS = 20
+#: Text bytes whose features are made at once.
+FEATURE_BYTES = 2 << 20
 #: Learning reads at most so many labelled documents of each class: the first by a hash of their id.
 SAMPLE = {1: 4000, 0: 8000}
 EPOCHS = 5
@@ -96,7 +98,7 @@ class Learner:
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     learner = Learner()
-    for batch in steps(batches, "text"):
+    for batch in steps(batches, "text", FEATURE_BYTES):
         at, bounds = features(batch.column(batch.schema.get_field_index("text")))
         labels = batch.column(batch.schema.get_field_index("toxic")).to_pylist()
         for i, label in enumerate(labels):
@@ -127,7 +129,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: dict[int, int] | None =
     rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
     rows = rows.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"), F.explode(F.array(*[F.lit(e) for e in range(EPOCHS)])).alias("epoch"))
     rows = rows.repartition(1).sortWithinPartitions("epoch", F.xxhash64("epoch", "doc_id"), "doc_id", "text")
-    got = rows.mapInArrow(_train, "at binary, value binary").collect()
+    got = mapped(rows, _train, "at binary, value binary").collect()
     at, value = (b"".join(bytes(r[k]) for r in got) for k in ("at", "value"))
     return Weights(np.frombuffer(at, np.int32), np.frombuffer(value, np.float32))
 
@@ -138,15 +140,17 @@ def score(documents: DataFrame, weights: Weights, carry: list[str] = ("doc_id",)
     A null or empty text scores the prior.  Repeated rows stay, an empty table gives no rows.
     """
     sent = documents.sparkSession.sparkContext.broadcast(weights)
+    documents.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def scored(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         dense = sent.value.dense()
-        for batch in steps(batches, "text"):
-            at, bounds = features(batch.column(1))
-            sums = np.concatenate([[0.0], np.cumsum(dense[at], dtype=np.float64)])
-            odds = PRIOR + sums[bounds[1:]] - sums[bounds[:-1]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(odds, -35, 35))))], ["row", "score"])
-
-    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col("text").cast("string").alias("text"))
-    out = rows.select("row").schema.add("score", "double")
-    return rows.mapInArrow(scored, out)
+        for column in columns:
+            found = [np.zeros(0)]
+            for part in steps(iter([pa.RecordBatch.from_arrays([column], ["text"])]), "text", FEATURE_BYTES):
+                at, bounds = features(part.column(0))
+                sums = np.append(0.0, np.cumsum(dense[at], dtype=np.float64))
+                found.append(1 / (1 + np.exp(-np.clip(PRIOR + sums[bounds[1:]] - sums[bounds[:-1]], -35, 35))))
+            yield pa.array(np.concatenate(found))
+
+    return documents.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), scored(F.col("text").cast("string")).alias("score"))
