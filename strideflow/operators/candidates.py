@@ -231,17 +231,20 @@ def athlete_state(frames: DataFrame, chunk: int = 2048) -> DataFrame:
     ).drop("_symbol", "_code")
 
 
-def candidate_score(detections: DataFrame, state: DataFrame, height: float = 720.0) -> DataFrame:
+def candidate_score(detections: DataFrame, state: DataFrame, height: float = HEIGHT) -> DataFrame:
     """Add ``track_score``: how much a detection behaves like the athlete.
 
     ``state``: video_id, frame_idx, prev_state (state after the frame before)
-    and predicted (box or null).  ``detections`` carries motion_px.
+    and predicted (box or null), and the frame's ``height`` where it is known.
+    ``detections`` carries motion_px.
     """
-    d = detections.join(state.select("video_id", "frame_idx", "prev_state", "predicted"), ["video_id", "frame_idx"], "left")
+    tall = F.coalesce(F.col("height"), F.lit(height)) if "height" in state.columns else F.lit(height)
+    known = state.select("video_id", "frame_idx", "prev_state", "predicted", F.greatest(tall * 0.15, F.lit(1.0)).alias("_near"))
+    d = detections.join(known, ["video_id", "frame_idx"], "left")
     track, sand, sim, motion = (F.col(c) for c in ("track_ov", "sand_ov", "appearance_sim", "motion_px"))
     p, box = F.col("predicted"), box_of()
     dist = F.hypot((p[0] + p[2]) / 2 - (box[0] + box[2]) / 2, (p[1] + p[3]) / 2 - (box[1] + box[3]) / 2)
-    near = F.when(p.isNotNull(), F.greatest(F.lit(0.0), 1.5 - dist / max(height * 0.15, 1.0))).otherwise(0.0)
+    near = F.when(p.isNotNull(), F.greatest(F.lit(0.0), 1.5 - dist / F.col("_near"))).otherwise(0.0)
     flying = sim * 1.2 + near
     walking = track * 0.8 + sim * 0.5 + F.when(motion > 3, F.least(motion / 200.0, F.lit(0.5))).otherwise(0.0)
     score = (
@@ -249,7 +252,7 @@ def candidate_score(detections: DataFrame, state: DataFrame, height: float = 720
         + F.when(sand >= LANDING, 1.5 + sand).otherwise(0.0)
         + F.when(F.coalesce(F.col("prev_state").isin("AIR", "FINAL_FLIGHT"), F.lit(False)), flying).otherwise(walking)
     )
-    return d.withColumn("track_score", score).drop("prev_state", "predicted")
+    return d.withColumn("track_score", score).drop("prev_state", "predicted", "_near")
 
 
 def previous_state(frames: DataFrame) -> DataFrame:
