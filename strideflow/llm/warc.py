@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, store
+from .common import bounded, mapped, store
 
 MAGIC, GAP = "WARC/1.0\r\n", "\r\n\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -37,8 +37,9 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("bytes", F.octet_length("payload")).withColumn("digest", sha1_base32(F.col("payload").cast("binary")))
     first = rows.filter(F.col("bytes") >= least_bytes).groupBy("digest", "bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    first = first.filter("n > 1").select(F.col("digest").alias("_digest"), F.col("bytes").alias("_bytes"), "first")
-    rows = rows.join(first, (F.col("digest") == F.col("_digest")) & (F.col("bytes") == F.col("_bytes")), "left")
+    # only payloads that come twice: where they are few, the pages themselves are not shuffled
+    first = store(first.filter("n > 1").select(F.col("digest").alias("_digest"), F.col("bytes").alias("_bytes"), "first"), "warc-first")
+    rows = rows.join(bounded(first), (F.col("digest") == F.col("_digest")) & (F.col("bytes") == F.col("_bytes")), "left")
     again = F.coalesce(F.col("page_id") > F.col("first"), F.lit(False))
 
     def line(name: str, value: Column) -> Column:
@@ -220,7 +221,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), batch.column(4), pa.array(place)], ["file", "block", "size", "value", "at"])
 
     rows = _segments(spark, path).select("file", "block", F.octet_length("value").cast("long").alias("bytes"), "size", F.col("value").cast("binary").alias("value"))
-    rows = rows.mapInArrow(positioned, "file long, block long, size long, value binary, at long").withColumn("value", F.col("value").cast("string"))
+    rows = mapped(rows, positioned, "file long, block long, size long, value binary, at long").withColumn("value", F.col("value").cast("string"))
     rows = rows.join(bounded(bases), ["file", "block"]).select("file", (F.col("base") + F.col("at")).alias("at"), "size", "value").filter("at >= 0")
     if special.isEmpty():
         whole = rows
