@@ -67,5 +67,29 @@ def test_planted_passages(spark, table):
     assert set(words(texts[50_001])) - set(words(passage)) <= set(words(left[50_001]))
 
 
+def lost_words(table, texts, parts=4):
+    covered = defaultdict(set)
+    for r in repeated_passages(table(list(texts.items()), parts)).collect():
+        covered[r["doc_id"]].update(range(r["first_word"], r["first_word"] + r["n_words"]))
+    return {i: w - covered[i] for i, w in shared_words(texts).items() if w - covered[i]}
+
+
+def test_first_holder_is_not_alike(table):
+    """An earlier partial variant, the first 49 words or a frequent line do not hide a passage."""
+    rng = np.random.default_rng(11)
+    texts, line = {}, prose(rng, 12)
+    for i in range(60):
+        texts[i] = f"{prose(rng, 40)} {line} {prose(rng, 40)}"
+    for case in range(30):
+        i = 1000 + 10 * case
+        passage = f"{prose(rng, 25)} {line} {prose(rng, 23)}" if case % 3 == 2 else prose(rng, 60 if case % 3 == 0 else 55)
+        w = passage.split()
+        changed = [x if k not in (20, 40) else "changed" for k, x in enumerate(w)]
+        texts[i] = f"{prose(rng, 30)} {' '.join(changed if case % 3 == 0 else w[:49])} {prose(rng, 30)}"
+        for k in range(1, 4):
+            texts[i + k] = f"{prose(rng, 30)} {passage} {prose(rng, 30)}"
+    assert lost_words(table, texts, 1) == {} and lost_words(table, texts, 7) == {}
+
+
 def test_empty(table):
     assert repeated_passages(table([])).collect() == [] and cut_repeats(table([])).collect() == []
