@@ -91,5 +91,24 @@ def test_first_holder_is_not_alike(table):
     assert lost_words(table, texts, 1) == {} and lost_words(table, texts, 7) == {}
 
 
+def test_passage_twice_in_one_document(spark):
+    """Both places of a passage, word for word or nearly so, lead to its source in another partition."""
+    rng = np.random.default_rng(12)
+    texts, spots = {}, {}
+    for case in range(12):
+        w = prose(rng, 90).split()
+        near = " ".join("changed" if k == 45 else x for k, x in enumerate(w)) if case % 2 else " ".join(w)
+        texts[2 * case] = f"{prose(rng, 20)} {' '.join(w)} {prose(rng, 20)}"
+        texts[2 * case + 1] = f"{prose(rng, 70)} {near} {prose(rng, 70)} {near} {prose(rng, 20)}"
+        spots[2 * case + 1] = ({*range(75, 155)}, {*range(235, 315)})
+    rows = spark.sparkContext.parallelize(sorted(texts.items(), key=lambda x: x[0] % 2), 2)
+    covered = defaultdict(set)
+    for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        covered[r["doc_id"]].update(range(r["first_word"], r["first_word"] + r["n_words"]))
+    both = {i: (a <= covered[i], b <= covered[i]) for i, (a, b) in spots.items()}
+    assert all(a == b for a, b in both.values()) and all(a for i, (a, _) in both.items() if i % 4 == 1), both
+    assert any(a for i, (a, _) in both.items() if i % 4 == 3)
+
+
 def test_empty(table):
     assert repeated_passages(table([])).collect() == [] and cut_repeats(table([])).collect() == []
