@@ -160,3 +160,11 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "tokens")
     write_tokens(of_session(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
     return document_digests(read_tokens(spark, path))
+
+
+@query("op13_whitening")
+def whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    rows = whiten(of_session(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
