@@ -168,3 +168,11 @@ def whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = whiten(of_session(spark, sf_dir, "embeddings"))
     return rows.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+@query("op12_bestfit")
+def bestfit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bestfit import pack_whole
+
+    pieces = pack_whole(of_session(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
