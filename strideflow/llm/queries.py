@@ -176,3 +176,27 @@ def bestfit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pieces = pack_whole(of_session(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
     return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+#: Terms of a text: A-Z lower-cased, all other ASCII but letters and digits between them.
+_TERMS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+
+@query("op11_lexical", f"""
+    WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_TERMS} AS terms FROM documents),
+    g AS (SELECT *, len(terms) AS n FROM d WHERE len(terms) > 0),
+    s AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM g),
+    q AS (SELECT item_id, term, count(*) AS repeats FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+    p AS (
+        SELECT row, doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT row, doc_id, n, unnest(terms) AS term FROM g)
+        WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+    w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), s),
+    x AS (
+        SELECT item_id, row, doc_id, sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // total))))::BIGINT AS score
+        FROM q JOIN w USING (term) JOIN p USING (term), s GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM x WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20""")
+def lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical import ranked_search
+
+    return ranked_search(of_session(spark, sf_dir, "benchmark"), of_session(spark, sf_dir, "documents"))
