@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import appearance as AP
 from ..operators import candidates as CD
 from ..operators import frames as FR
 from ..operators.sequence import progress
@@ -244,6 +246,70 @@ def e29(spark, sf):
     return CD.reference_set(CD.choose_refined(C.detections(spark, sf))).select("video_id", "frame_idx", "ref_age")
 
 
+@query(
+    "e29_negative_set",
+    sql(
+        f"""SELECT video_id, frame_idx, det_id, neg_age FROM (SELECT d.video_id, d.frame_idx, d.det_id, row_number() OVER (PARTITION BY d.video_id ORDER BY d.frame_idx DESC, d.det_id DESC) AS neg_age
+  FROM detections_v d JOIN (SELECT video_id, frame_idx, min({{'k': -({_BLEND}), 'd': det_id, 's': appearance_sim}}) AS b FROM detections_v
+    WHERE {_AREA} >= 4000 AND appearance_sim >= 0.20 GROUP BY 1, 2) c ON c.video_id = d.video_id AND c.frame_idx = d.frame_idx AND c.b.s > 0.50 AND c.b.d <> d.det_id
+  WHERE {_AREA} >= 4000) WHERE neg_age <= 15""",
+        "detections_v",
+    ),
+)
+def e29_negatives(spark, sf):
+    d = C.detections(spark, sf)
+    chosen = CD.choose_refined(d).withColumn("zone", F.lit("mid"))
+    return AP.negative_set(d, chosen).select("video_id", "frame_idx", "det_id", "neg_age")
+
+
+@query(
+    "e29_readiness",
+    sql(
+        f"""SELECT v.video_id, least(count(b), 20)::BIGINT AS n_references, count(b) >= 2 AS ready FROM (SELECT DISTINCT video_id FROM detections_v) v LEFT JOIN (
+  SELECT video_id, frame_idx, min({{'k': -({_BLEND}), 'd': det_id, 'c': conf, 'm': mask_area_px, 's': appearance_sim}}) AS b FROM detections_v
+  WHERE {_AREA} >= 4000 AND appearance_sim >= 0.20 GROUP BY 1, 2) c ON c.video_id = v.video_id AND b.c >= 0.65 AND b.m > 8000 AND b.s >= 0.50 GROUP BY 1""",
+        "detections_v",
+    ),
+)
+def e29_readiness(spark, sf):
+    d = C.detections(spark, sf)
+    return AP.readiness(CD.reference_set(CD.choose_refined(d)), d)
+
+
+def looks(spark, sf):
+    """Detections with colour histograms of three zones: a pattern of the track, changed a little by each detection."""
+    zones = [
+        [F.pow(((F.col("track_id") * 31 + z * 17 + b * 7) % 11) / 10.0, 3) + 0.05 * F.col("appearance_sim") * ((b + z) % 2) for b in range(6)] for z in range(3)
+    ]
+    lower = F.when(F.col("track_id") == 4, F.array(*[F.lit(0.0)] * 6)).otherwise(F.array(*zones[2]))  # a zone without pixels
+    return C.detections(spark, sf).withColumn("histogram", F.array(F.array(*zones[0]), F.array(*zones[1]), lower))
+
+
+def seeds(spark, sf):
+    """Histograms entered before the first frame: the largest detections of each video, and one other person."""
+    largest = Window.partitionBy("video_id").orderBy(F.col("mask_area_px").desc(), "frame_idx", "det_id")
+    ranked = looks(spark, sf).withColumn("seed_order", F.row_number().over(largest)).filter(F.col("seed_order") <= 4)
+    return ranked.select("video_id", "seed_order", (F.col("seed_order") < 4).alias("positive"), "histogram")
+
+
+@query("e29_learned_first")
+def e29_first(spark, sf):
+    d = looks(spark, sf).withColumn("histogram", F.slice("histogram", 2, 1)).withColumn("track_score", F.col("track_ov"))
+    return AP.learned_choice(d, "first", lock=CD.motion_lock(d))
+
+
+@query("e29_learned_refined")
+def e29_refined(spark, sf):
+    d = looks(spark, sf)
+    by_hand = d.filter((F.col("conf") > 0.99) & (F.col("det_id") == 1))
+    return AP.learned_choice(d, "refined", seeds(spark, sf), by_hand)
+
+
+@query("e29_learned_v2")
+def e29_v2(spark, sf):
+    return AP.learned_choice(looks(spark, sf), "v2", seeds(spark, sf))
+
+
 @query("e21_refine_v2_select")
 def e21(spark, sf):
     d = C.detections(spark, sf)

@@ -12,7 +12,8 @@ FNS, SQL = registry.QUERIES, registry.ORACLES
 #: What identifies a row in the results that SQL does not check; also columns that are never null.
 KEYS = {
     "a16_gap_fill_stats": ["video_id"], "a18_panel": ["video_id", "phase"], "e14_refine_contacts": ["video_id"], "e21_refine_v2_select": ["video_id", "frame_idx"],
-    "e23_gap_fill": ["video_id", "frame_idx"], "e30_auto_keyframes": ["video_id", "frame_idx"], "e5_detect_contacts": ["video_id"],
+    "e23_gap_fill": ["video_id", "frame_idx"], "e29_learned_first": ["video_id", "frame_idx"], "e29_learned_refined": ["video_id", "frame_idx"],
+    "e29_learned_v2": ["video_id", "frame_idx"], "e30_auto_keyframes": ["video_id", "frame_idx"], "e5_detect_contacts": ["video_id"],
     "f34_align_pose": ["video_id", "frame_idx", "name"], "j18_reference_pose": ["video_id", "phase"], "j19_mid_flight_reference": ["video_id"],
     "j20_prefer_pass": ["video_id"], "j23_phase_frame": ["video_id", "phase"], "k7_seed_gt": ["video_id", "phase"], "m8_analyze_sections": ["video_id"],
     "m8_section_phases": ["video_id"], "u5_replace_propagated": ["video_id"],
