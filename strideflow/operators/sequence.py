@@ -10,13 +10,13 @@ an ordinary hash aggregate.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .prominence import peaks  # noqa: F401  (one of the sequence operators)
 
 CHUNK = 4096
 
@@ -321,161 +321,6 @@ def contact_signal(
     return rows.select(*df.columns, smooth.alias(out))
 
 
-# --------------------------------------------------------------- prominence
-
-def _prominence(values: np.ndarray, wanted: np.ndarray):
-    """Left and right base of each peak and whether a higher sample ends the walk."""
-    n = len(values)
-
-    def walk(order):
-        base, closed = np.full(n, np.nan), np.zeros(n, dtype=bool)
-        stack: list[tuple[float, float]] = []  # (height, lowest value since then)
-        for i in order:
-            v = low = values[i]
-            while stack and stack[-1][0] <= v:
-                low = min(low, stack.pop()[1])
-            if wanted[i]:
-                base[i], closed[i] = low, bool(stack)
-            if stack:
-                stack[-1] = (stack[-1][0], min(stack[-1][1], low))
-            stack.append((v, low))
-        return base, closed
-
-    left, left_done = walk(range(n))
-    right, right_done = walk(range(n - 1, -1, -1))
-    return np.maximum(left, right), left_done & right_done
-
-
-# What is known about a sample: plain, a peak, or part of a level stretch that
-# reaches the border of the span, where the other side is not visible yet.
-PLAIN, PEAK, UNSURE = 0, 1, 2
-
-
-def _mark_peaks(values: np.ndarray, kind: np.ndarray, last: bool) -> np.ndarray:
-    """Settle the UNSURE samples that can be settled here."""
-    kind = kind.copy()
-    edges = np.flatnonzero(np.diff(values) != 0) + 1
-    starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(values)]])
-    for a, b in zip(starts, ends):  # samples a .. b-1 have one height
-        if kind[a] != UNSURE:
-            continue
-        open_left, open_right = a == 0, b == len(values)
-        falls_left = not open_left and values[a - 1] < values[a]
-        falls_right = not open_right and values[b] < values[a]
-        if (open_left or falls_left) and (open_right or falls_right) and (open_left or open_right):
-            if not last:
-                continue
-        kind[a:b] = PLAIN
-        if falls_left and falls_right:
-            kind[(a + b - 1) // 2] = PEAK
-    return kind
-
-
-def _outline(values: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    """Samples another span can still see: records from either end, open peaks,
-    border stretches with their neighbour, and the lowest sample in between."""
-    n = len(values)
-    mark = kind != PLAIN
-    unsure = np.flatnonzero(kind == UNSURE)
-    mark[np.clip(unsure - 1, 0, n - 1)] = True
-    mark[np.clip(unsure + 1, 0, n - 1)] = True
-    mark[0] = mark[-1] = True
-    mark[1:] |= values[1:] > np.maximum.accumulate(values)[:-1]
-    mark[:-1] |= values[:-1] > np.maximum.accumulate(values[::-1])[::-1][1:]
-    chosen = np.flatnonzero(mark)
-    lows = [
-        a + 1 + int(np.argmin(values[a + 1 : b]))
-        for a, b in zip(chosen[:-1], chosen[1:])
-        if b - a > 1
-    ]
-    return np.unique(np.concatenate([chosen, np.array(lows, dtype=int)]))
-
-
-def _solve_runs(
-    df: DataFrame, run: list[str], order: str, ready: str, solve, schema: T.StructType
-) -> DataFrame:
-    """``solve`` applied to the rows of each run; rows with ``ready`` set pass by.
-
-    Runs are bounded (a chunk, or the outlines of one span).  They are laid out
-    by a shuffle and a sort and cut inside the Arrow batches, which costs far
-    less than one Python call with its own batch per group.
-    """
-    names = schema.names
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
-        for batch in batches:
-            passing = batch[ready].notna()
-            out = [batch.loc[passing, names]] if passing.any() else []
-            todo = batch[~passing]
-            if held is not None:
-                todo = pd.concat([held, todo])
-            if len(todo):
-                keys = todo[run]
-                fresh = np.flatnonzero((keys.to_numpy()[1:] != keys.to_numpy()[:-1]).any(axis=1)) + 1
-                edges = [0, *fresh.tolist()]
-                for a, b in zip(edges, edges[1:]):
-                    out.append(solve(todo.iloc[a:b])[names])
-                held = todo.iloc[edges[-1] :]
-            if out:
-                yield pd.concat(out)
-        if held is not None and len(held):
-            yield solve(held)[names]
-
-    return df.repartition(*run).sortWithinPartitions(*run, order).mapInPandas(work, schema)
-
-
-def peaks(
-    df: DataFrame, value: str = "signal", keys=("video_id",), order=("frame_idx",), *,
-    min_prominence: Column | None = None, out: str = "prominence", chunk: int = CHUNK,
-) -> DataFrame:
-    """Local maxima (centre of a level top) of the non-null series with prominence.
-
-    Prominence is the height above the higher of the two lowest points reached
-    walking left and right until a higher sample.  A chunk settles the peaks
-    that meet higher samples inside it and hands on only its outline; outlines
-    are solved the same way over ever larger spans.  Settled peaks stay placed
-    by their chunk, so no task grows with the length of a key.
-    """
-    keys, pos = list(keys), order[0]
-    rows = df.filter(F.col(value).isNotNull()).select(
-        *keys,
-        F.col(pos).cast("long").alias("_pos"),
-        F.col(value).cast("double").alias("_v"),
-        F.lit(UNSURE).alias("_kind"),
-        F.lit(None).cast("double").alias("_prom"),
-    )
-    schema = rows.schema
-
-    def solver(last: bool):
-        def solve(group: pd.DataFrame) -> pd.DataFrame:
-            v = group["_v"].to_numpy(dtype=float)
-            kind = _mark_peaks(v, group["_kind"].to_numpy(), last)
-            base, closed = _prominence(v, kind == PEAK)
-            done = (kind == PEAK) & (closed | last)
-            group = group.assign(_kind=np.where(done, PLAIN, kind).astype("int32"))
-            solved = group[done].assign(_prom=(v - base)[done])
-            if last:
-                return solved
-            return pd.concat([solved, group.iloc[_outline(v, group["_kind"].to_numpy())]])
-
-        return solve
-
-    settled = F.col("_prom").isNotNull()
-    own = F.floor(F.col("_pos") / chunk)
-    for span in (chunk, chunk * chunk, None):
-        part = F.lit(0).cast("long") if span is None else F.floor(F.col("_pos") / span)
-        marked = rows.withColumn("_part", F.when(settled, own).otherwise(part))
-        rows = _solve_runs(marked, [*keys, "_part"], "_pos", "_prom", solver(span is None), schema)
-    found = rows.select(
-        *keys,
-        F.col("_pos").cast(df.schema[pos].dataType).alias(pos),
-        F.col("_v").alias(value),
-        F.col("_prom").alias(out),
-    )
-    return found if min_prominence is None else found.filter(F.col(out) >= min_prominence)
-
-
 # --------------------------------------------------------------- finite state
 
 def run_state_machine(

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strideflow.operators import prominence
 from strideflow.operators import sequence as q
 
 
@@ -102,15 +103,41 @@ def _peaks(x):
     return out
 
 
-@pytest.mark.parametrize("chunk", [5, 16, 4096])
-def test_peaks(rows, series, chunk):
-    got = q.peaks(rows, "v", chunk=chunk).toPandas()
+@pytest.mark.parametrize("chunk, fan", [(3, 8), (5, 256), (4096, 256)])
+def test_peaks(rows, series, chunk, fan):
+    got = q.peaks(rows, "v", chunk=chunk, fan=fan).toPandas()
     for video, g in series.items():
         want = {int(g.frame_idx[k]): round(v, 6) for k, v in _peaks(g.v.to_numpy()).items()}
         mine = {int(r.frame_idx): round(r.prominence, 6) for r in got[got.video_id == video].itertuples()}
         assert mine == want
 
 
+def test_peaks_of_levels_over_chunks(spark):
+    series = {"flat": [1.0] * 40, "top": [0.0] * 7 + [2.0] * 30 + [1.0] * 5, "start": [3.0] * 20 + [1.0, 2.0, 1.0], "steps": [float(i // 9) for i in range(60)] + [0.0], "one": [1.0]}
+    data = [(k, i, v) for k, x in series.items() for i, v in enumerate(x)]
+    df = spark.createDataFrame(data, "video_id string, frame_idx int, v double")
+    got = {(r["video_id"], r["frame_idx"]): r["prominence"] for r in q.peaks(df, "v", chunk=4, fan=4).collect()}
+    assert got == {(k, p): h for k, x in series.items() for p, h in _peaks(x).items()} and len(got) == 3
+
+
+@pytest.mark.parametrize("kind", ["rising", "falling", "deep"])
+def test_peaks_of_one_long_series(spark, kind):
+    """All peaks look beyond their chunk; the far side is one chunk for many of them."""
+    n = 120_000
+    i = np.arange(n, dtype=float)
+    v = {"rising": i + 3 * (i % 2), "falling": n - i + 3 * (i % 2), "deep": np.where(i % 2 == 0, -i, n - i)}[kind]
+    v[-2] = 3 * n  # higher than all before it
+    df = spark.range(n).selectExpr("'a' AS video_id", "cast(id AS int) AS frame_idx").withColumn(
+        "v", F.when(F.col("frame_idx") == n - 2, 3.0 * n).otherwise(
+            {"rising": F.col("frame_idx") + 3 * (F.col("frame_idx") % 2), "falling": n - F.col("frame_idx") + 3 * (F.col("frame_idx") % 2),
+             "deep": F.when(F.col("frame_idx") % 2 == 0, -F.col("frame_idx")).otherwise(n - F.col("frame_idx"))}[kind].cast("double"))
+    )
+    got = {r["frame_idx"]: r["prominence"] for r in q.peaks(df, "v", chunk=512, fan=8).collect()}
+    (left, _), (right, _) = prominence._walk(v), prominence._walk(v[::-1])
+    at = 1 + np.flatnonzero((v[1:-1] > v[:-2]) & (v[1:-1] > v[2:]))
+    assert got == dict(zip(at.tolist(), (v - np.maximum(left, right[::-1]))[at].tolist()))
+
+
 @pytest.mark.parametrize("chunk", [4, 2048])
 def test_state_machine(rows, chunk):
     table = np.random.default_rng(2).integers(0, 6, size=(5, 6))
