@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
+from .chunks import arrow_schema, nullable, runs
 
 CHUNK = 4096
 #: Children of a node of the tree.
@@ -77,22 +78,6 @@ def _settle(pos: np.ndarray, v: np.ndarray) -> list[dict]:
     return out
 
 
-def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.RecordBatch]]:
-    """Sorted rows cut where one of the first ``keys`` columns changes; a list per batch, the last run waits for the next batch."""
-    held: pa.RecordBatch | None = None
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        rows = batch if held is None else pa.concat_batches([held, batch])
-        codes = [rows.column(i).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False) for i in range(keys)]
-        cuts = [0, *(1 + np.flatnonzero(np.any([np.diff(c) != 0 for c in codes], axis=0))).tolist()]
-        if len(cuts) > 1:
-            yield [rows.slice(a, b - a) for a, b in zip(cuts, cuts[1:])]
-        held = rows.slice(cuts[-1])
-    if held is not None:
-        yield [held]
-
-
 def peaks(
     df: DataFrame, value: str = "signal", keys: Sequence[str] = ("video_id",), order: Sequence[str] = ("frame_idx",), *,
     min_prominence: Column | None = None, out: str = "prominence", chunk: int = CHUNK, fan: int = FAN,
@@ -107,8 +92,8 @@ def peaks(
     rows = df.filter(F.col(value).isNotNull()).select(
         *keys, F.floor(F.col(pos) / chunk).alias("_chunk"), F.col(pos).cast("long").alias("_pos"), F.col(value).cast("double").alias("_v")
     )
-    schema = T.StructType([*rows.schema.fields[: len(keys) + 1], *(T.StructField(n, k) for n, k in _FIELDS)])
-    kinds = _arrow(schema)
+    schema = nullable(T.StructType([*rows.schema.fields[: len(keys) + 1], *(T.StructField(n, k) for n, k in _FIELDS)]))
+    kinds = arrow_schema(schema)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in runs(batches, len(keys) + 1):
@@ -141,12 +126,6 @@ def peaks(
     return found if min_prominence is None else found.filter(F.col(out) >= min_prominence)
 
 
-def _arrow(schema: T.StructType) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(schema)
-
-
 def _border_peaks(border: DataFrame, keys: list[str]) -> DataFrame:
     """Levels that touch a chunk border, joined across borders: those that are maxima, as asking peaks.
 

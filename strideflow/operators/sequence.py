@@ -10,13 +10,18 @@ an ordinary hash aggregate.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .prominence import peaks  # noqa: F401  (one of the sequence operators)
+from ..session import cut_lineage
+from .chunks import arrow_schema, nullable, runs
+from .prominence import peaks  # noqa: F401  (both are sequence operators)
+from .spacing import min_gap_filter  # noqa: F401
 
 CHUNK = 4096
 
@@ -145,101 +150,6 @@ def local_maxima(
     return seen.withColumn(out, inner & F.coalesce(peak, F.lit(False))).drop("_prev", "_next")
 
 
-# --------------------------------------------------------------- gap filter
-
-def min_gap_filter(
-    df: DataFrame, score: str, gap: int, keys=("video_id",), frame: str = "frame_idx", *,
-    rounds: int = 2, chunk: int = CHUNK,
-) -> DataFrame:
-    """Keep the best rows so that kept rows of a key are at least ``gap`` apart.
-
-    Same result as going through the rows from the best score down (the earlier
-    frame first on equal scores) and dropping every row closer than ``gap`` to a
-    kept one.  A row that is the best within its own neighbourhood is certain to
-    be kept, and rows near it are certain to go, so ``rounds`` passes settle
-    those with a value-range window over chunks with a copied border.  What is
-    still open falls apart into islands ``gap`` or more away from each other;
-    each island is folded alone.
-    """
-    keys = list(keys)
-    rank = F.struct(F.col(score).alias("s"), (-F.col(frame).cast("long")).alias("f"))
-    rows = df.select("*", rank.alias("_rank"), F.lit("open").alias("_status"))
-
-    def around(src, value, out, low=None, high=None):
-        return _neighbourhood(src, keys, frame, gap, chunk, value, out, low, high)
-
-    for _ in range(rounds):
-        is_open = F.col("_status") == "open"
-        rows = around(rows, F.when(is_open, F.col("_rank")), "_best")
-        rows = rows.withColumn("_top", is_open & (F.col("_rank") == F.col("_best")))
-        rows = around(rows, F.when(F.col("_top"), 1), "_beaten")
-        rows = rows.withColumn(
-            "_status",
-            F.when(F.col("_top"), F.lit("kept"))
-            .when(is_open & F.col("_beaten").isNotNull(), F.lit("dropped"))
-            .otherwise(F.col("_status")),
-        ).drop("_best", "_top", "_beaten")
-    is_open = F.col("_status") == "open"
-    rows = around(rows, F.when(is_open, 1), "_linked", -(gap - 1), -1)
-    rows = scan(
-        rows, keys, [frame], chunk=chunk,
-        through={"_island": F.when(is_open & F.col("_linked").isNull(), F.col(frame))},
-    )
-    # A settled row is a group of its own, so only open rows are ever gathered.
-    group = F.when(is_open, F.col("_island")).otherwise(F.col(frame))
-    payload = [c for c in df.columns if c not in keys]
-    folded = (
-        rows.filter(F.col("_status") != "dropped")
-        .groupBy(*keys, "_status", group.alias("_group"))
-        .agg(
-            F.array_sort(
-                F.collect_list(
-                    F.struct(
-                        (-F.col("_rank.s")).alias("s"),
-                        F.col(frame).cast("long").alias("f"),
-                        F.struct(*payload).alias("row"),
-                    )
-                ),
-                lambda a, b: F.when(
-                    (a.s < b.s) | ((a.s == b.s) & (a.f < b.f)), -1
-                ).otherwise(1),
-            ).alias("_rows")
-        )
-        .withColumn(
-            "_kept",
-            F.aggregate(
-                "_rows",
-                F.slice("_rows", 1, 0),
-                lambda kept, r: F.when(
-                    F.exists(kept, lambda k: F.abs(k.f - r.f) < gap), kept
-                ).otherwise(F.concat(kept, F.array(r))),
-            ),
-        )
-    )
-    return folded.select(*keys, F.explode("_kept").alias("_k")).select(
-        *[F.col(c) if c in keys else F.col(f"_k.row.{c}").alias(c) for c in df.columns]
-    )
-
-
-def _neighbourhood(df, keys, frame, gap, chunk, value, out, low=None, high=None) -> DataFrame:
-    """Largest ``value`` over frames in [low, high] around the row (default: < gap)."""
-    low, high = (-(gap - 1) if low is None else low), (gap - 1 if high is None else high)
-    size = max(chunk, gap)
-    own = F.floor(F.col(frame) / size)
-    reach = F.sequence(
-        F.floor((F.col(frame) - (gap - 1)) / size), F.floor((F.col(frame) + (gap - 1)) / size)
-    )
-    spread = df.select("*", own.alias("_own"), F.explode(reach).alias("_chunk"))
-    near = (
-        Window.partitionBy(*keys, "_chunk").orderBy(F.col(frame).cast("long")).rangeBetween(low, high)
-    )
-    return (
-        spread.withColumn(out, F.max(value).over(near))
-        .filter(F.col("_own") == F.col("_chunk"))
-        .drop("_own", "_chunk")
-    )
-
-
 # --------------------------------------------------------------- smoothing
 
 def fit_matrix(window: int, degree: int) -> np.ndarray:
@@ -329,106 +239,58 @@ def run_state_machine(
 ) -> DataFrame:
     """Run a finite state machine along each key, exactly, without one long fold.
 
-    ``table[symbol, state]`` is the next state.  A chunk is turned into a map
-    "state at entry -> state at exit", which is all later chunks need; maps are
-    composed chunk by chunk, then span by span, and finally each chunk is run
-    once from its real entry state.
+    ``table[symbol, state]`` is the next state.  A chunk follows all entry states at once; as soon as they meet,
+    its rows are settled whatever came before.  Rows in front of that keep their state by entry state, and the
+    chunk hands on one row, its map from entry to exit.  A pass over these rows, chunk by chunk, gives each chunk
+    its entry state.  Rows are shuffled once; nothing is gathered by key.
     """
-    keys = list(keys)
+    keys, table = list(keys), np.asarray(table)
     n_states = table.shape[1]
-    flat = F.array(*[F.lit(int(v)) for v in table.reshape(-1)])
-    identity = F.array(*[F.lit(i) for i in range(n_states)])
+    steps = dict(enumerate(row.tolist() for row in table)) | {None: list(range(n_states))}  # no symbol: no change
+    rows = df.select(*keys, F.floor(F.col(order[0]) / chunk).alias("_chunk"), F.col(symbol).cast("int").alias("_sym"), *[c for c in df.columns if c not in keys])
+    shape = nullable(rows.schema)
+    added = [T.StructField(out, T.IntegerType()), T.StructField("_options", T.ArrayType(T.IntegerType())), T.StructField("_map", T.BooleanType())]
+    schema = T.StructType([*shape.fields, *added])
+    kinds, at = arrow_schema(schema), len(keys)
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in runs(batches, at + 1):
+            made = []
+            for run in some:
+                states, options, now, one = [], [], list(range(n_states)), None
+                for symbol_ in run.column(at + 1).to_pylist():
+                    step = steps[symbol_]
+                    if one is None:
+                        now = [step[s] for s in now]
+                        if now.count(now[0]) == n_states:
+                            one = now[0]
+                    else:
+                        one = step[one]
+                    states.append(one)
+                    options.append(now if one is None else None)
+                ended = now if one is None else [one] * n_states
+                columns = [*run.columns, pa.array(states, pa.int32()), pa.array(options, kinds.field("_options").type), pa.array([False] * len(states))]
+                made.append(pa.RecordBatch.from_arrays(columns, schema=kinds))
+                head = [*run.slice(0, 1).columns[: at + 1], *[pa.nulls(1, k.type) for k in list(kinds)[at + 1 : -2]], pa.array([ended], kinds.field("_options").type), pa.array([True])]
+                made.append(pa.RecordBatch.from_arrays(head, schema=kinds))
+            yield from pa.Table.from_batches(made).combine_chunks().to_batches()
 
-    def compose(maps: Column) -> Column:
-        """Map after all of ``maps``, in order."""
-        return F.aggregate(
-            maps, identity, lambda acc, m: F.transform(acc, lambda s: F.get(m, s))
-        )
-
-    def entries(maps: Column, first: Column) -> Column:
-        """State before each of ``maps`` when the first is entered in ``first``."""
-        return F.aggregate(
-            maps,
-            F.array(first),
-            lambda acc, m: F.concat(acc, F.array(F.get(m, F.element_at(acc, -1)))),
-        )
-
-    rows = df.select(
-        *keys,
-        *order,
-        F.col(symbol).alias("_sym"),
-        F.floor(F.col(order[0]) / chunk).alias("_chunk"),
-        F.floor(F.col(order[0]) / (chunk * chunk)).alias("_span"),
-        F.lit(table.shape[1]).alias("_w"),
-    )
-    packed = rows.groupBy(*keys, "_span", "_chunk").agg(
-        F.array_sort(F.collect_list(F.struct(*order, "_sym"))).alias("_rows")
-    )
-    mapped = packed.select(
-        "*",
-        F.aggregate(
-            "_rows",
-            identity,
-            lambda acc, r: F.transform(acc, lambda s: F.get(flat, r["_sym"] * n_states + s)),
-        ).alias("_map"),
-    )
-    spans = (
-        mapped.groupBy(*keys, "_span")
-        .agg(F.array_sort(F.collect_list(F.struct("_chunk", "_map"))).alias("_chunks"))
-        .withColumn("_map", compose(F.transform("_chunks", lambda c: c["_map"])))
-    )
-    per_key = spans.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("_span", "_map"))).alias("_spans")
-    )
-    span_entry = per_key.select(
-        *keys,
-        F.explode(
-            F.arrays_zip(
-                F.transform("_spans", lambda s: s["_span"]).alias("_span"),
-                F.slice(
-                    entries(F.transform("_spans", lambda s: s["_map"]), F.lit(start)),
-                    1,
-                    F.size("_spans"),
-                ).alias("_in"),
-            )
-        ).alias("_e"),
-    ).select(*keys, F.col("_e._span").alias("_span"), F.col("_e._in").alias("_in"))
-    chunk_entry = (
-        spans.join(span_entry, [*keys, "_span"])
-        .select(
-            *keys,
-            F.explode(
-                F.arrays_zip(
-                    F.transform("_chunks", lambda c: c["_chunk"]).alias("_chunk"),
-                    F.slice(
-                        entries(F.transform("_chunks", lambda c: c["_map"]), F.col("_in")),
-                        1,
-                        F.size("_chunks"),
-                    ).alias("_in"),
-                )
-            ).alias("_e"),
-        )
-        .select(*keys, F.col("_e._chunk").alias("_chunk"), F.col("_e._in").alias("_in"))
-    )
-    run = packed.join(chunk_entry, [*keys, "_chunk"]).select(
-        *keys,
-        F.explode(
-            F.arrays_zip(
-                F.col("_rows").alias("r"),
-                F.slice(
-                    F.aggregate(
-                        "_rows",
-                        F.array(F.col("_in")),
-                        lambda acc, r: F.concat(
-                            acc,
-                            F.array(F.get(flat, r["_sym"] * n_states + F.element_at(acc, -1))),
-                        ),
-                    ),
-                    2,
-                    F.size("_rows"),
-                ).alias("s"),
-            )
-        ).alias("_e"),
-    )
-    states = run.select(*keys, *[F.col(f"_e.r.{o}").alias(o) for o in order], F.col("_e.s").alias(out))
-    return df.join(states, [*keys, *order], "left")
+    block = [*keys, "_chunk"]
+    followed = cut_lineage(rows.repartition(*block).sortWithinPartitions(*block, *order).mapInArrow(follow, schema))
+    entry = T.StructType([*shape.fields[: at + 1], T.StructField("_entry", T.IntegerType())])
+
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in runs(batches, at):
+            for run in some:
+                state, found = start, []
+                for exits in run.column(at + 1).to_pylist():
+                    found.append(state)
+                    state = exits[state]
+                yield pa.RecordBatch.from_arrays([*run.columns[: at + 1], pa.array(found, pa.int32())], entry.names)
+
+    maps = followed.filter("_map").select(*block, "_options")
+    entries = maps.repartition(*keys).sortWithinPartitions(*block).mapInArrow(enter, entry)
+    real = followed.filter("not _map")
+    waiting = real.filter(F.col("_options").isNotNull()).join(entries, block).withColumn(out, F.get("_options", F.col("_entry")))
+    columns = [*df.columns, out]
+    return real.filter(F.col("_options").isNull()).select(*columns).unionByName(waiting.select(*columns))

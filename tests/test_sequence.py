@@ -43,17 +43,45 @@ def test_scan_equals_plain_windows(rows):
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
-@pytest.mark.parametrize("gap,rounds", [(3, 0), (8, 1), (8, 2)])
-def test_min_gap_filter(rows, series, gap, rounds):
-    got = q.min_gap_filter(rows.filter("v is not null"), "v", gap, rounds=rounds, chunk=16).toPandas()
+def _greedy(frames, scores, gap):
+    kept = []
+    for _, f in sorted(zip(-np.asarray(scores, float), frames)):
+        if all(abs(f - k) >= gap for k in kept):
+            kept.append(f)
+    return sorted(kept)
+
+
+@pytest.mark.parametrize("gap, chunk", [(3, 6), (8, 16), (8, 4096), (1, 4)])
+def test_min_gap_filter(rows, series, gap, chunk):
+    got = q.min_gap_filter(rows.filter("v is not null"), "v", gap, chunk=chunk).toPandas()
+    assert list(got.columns) == rows.columns and got.v.notna().all()
     for video, g in series.items():
-        kept = []
-        for r in g.sort_values(["v", "frame_idx"], ascending=[False, True]).itertuples():
-            if all(abs(r.frame_idx - k) >= gap for k in kept):
-                kept.append(r.frame_idx)
-        mine = sorted(got[got.video_id == video].frame_idx)
-        assert mine == sorted(kept)
-        assert all(b - a >= gap for a, b in zip(mine, mine[1:]))
+        assert sorted(got[got.video_id == video].frame_idx) == _greedy(g.frame_idx, g.v, gap)
+
+
+@pytest.mark.parametrize("gap", [3, 8])
+def test_min_gap_filter_chains(spark, gap):
+    """Runs in which each row waits for the next one, over many chunks, with holes and ties."""
+    rng = np.random.default_rng(gap)
+    frames = np.flatnonzero(rng.random(3000) > 0.03)
+    shapes = {"up": frames * 1.0, "down": -frames * 1.0, "ties": np.zeros(len(frames)), "waves": np.abs(frames % 400 - 200.0), "noise": rng.integers(0, 30, len(frames)) * 1.0 + frames / 50}
+    data = [(k, int(f), float(s)) for k, scores in shapes.items() for f, s in zip(frames, scores)]
+    df = spark.createDataFrame(data, "video_id string, frame_idx int, s double").repartition(6)
+    got = q.min_gap_filter(df, "s", gap, chunk=50).toPandas()
+    for k, scores in shapes.items():
+        assert sorted(got[got.video_id == k].frame_idx) == _greedy(frames, scores, gap)
+
+
+def test_min_gap_filter_of_one_long_series(spark):
+    df = spark.range(16_000).selectExpr("'a' AS video_id", "cast(id AS int) AS frame_idx", "cast(id AS double) AS s")
+    got = sorted(r["frame_idx"] for r in q.min_gap_filter(df, "s", 8, chunk=1024).collect())
+    assert got == list(range(15_999 % 8, 16_000, 8))
+
+
+def test_min_gap_filter_null_scores_and_nothing(spark):
+    df = spark.createDataFrame([("a", 5, None), ("a", 6, 1.0), ("a", 20, None), ("b", 0, 2.0)], "video_id string, frame_idx int, s double")
+    assert sorted((r["video_id"], r["frame_idx"]) for r in q.min_gap_filter(df, "s", 3).collect()) == [("a", 6), ("a", 20), ("b", 0)]
+    assert q.min_gap_filter(df.limit(0), "s", 3).collect() == []
 
 
 def _smooth(x, window, degree):
