@@ -81,7 +81,7 @@ def contact_candidates(frames: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def detect_contacts(
-    frames: DataFrame, prototypes: DataFrame, cells: DataFrame | None = None,
+    frames: DataFrame, prototypes: DataFrame, spans: DataFrame | None = None,
     mask_frames: DataFrame | None = None, keyframes: DataFrame | None = None,
     width: int = 1280, height: int = 720,
 ) -> DataFrame:
@@ -104,10 +104,10 @@ def detect_contacts(
     rows = picked.join(narrow.drop("foot_y"), ["video_id", "frame_idx"]).join(ref, "video_id")
     # From here on a few rows per video: cut, so that later steps do not repeat this.
     rows = cut_lineage(rows.withColumnRenamed("foot_py", "foot_y").filter(F.col("foot_x").isNotNull()))
-    if cells is not None:
-        marks = cells.select("video_id", "frame_idx") if mask_frames is None else mask_frames
+    if spans is not None:
+        marks = spans.select("video_id", "frame_idx") if mask_frames is None else mask_frames
         rows = cut_lineage(nearest_mark(rows, marks, out="near_mask"))
-        rows = classify_surface(rows, cells, mask_idx="near_mask", width=width, height=height)
+        rows = classify_surface(rows, spans, mask_idx="near_mask", width=width, height=height)
     else:
         rows = rows.withColumn("surface", F.lit("unknown"))
     if keyframes is not None:
@@ -560,7 +560,7 @@ def section_scores(contacts: DataFrame, usable: DataFrame) -> DataFrame:
 
 
 def analyze_sections(
-    frames: DataFrame, prototypes: DataFrame, markers: DataFrame | None = None, cells: DataFrame | None = None,
+    frames: DataFrame, prototypes: DataFrame, markers: DataFrame | None = None, spans: DataFrame | None = None,
     mask_frames: DataFrame | None = None, keyframes: DataFrame | None = None, templates: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Contacts, phases, markers and confidence of all videos.
@@ -579,7 +579,7 @@ def analyze_sections(
         ).filter(F.col("_m") >= 2).select("video_id")
         manual = markers.join(firm, "video_id", "left_semi")
         auto_frames = frames.join(firm, "video_id", "left_anti")
-    found = cut_lineage(detect_contacts(auto_frames, prototypes, cells, mask_frames, keyframes))
+    found = cut_lineage(detect_contacts(auto_frames, prototypes, spans, mask_frames, keyframes))
     ends = cut_lineage(approach_end(found))
     chosen = select_contacts(found, ends)
     if "athlete_id" in frames.columns:

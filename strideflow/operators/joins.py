@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions.pose import bind
 from ..schemas import DEFAULT_CORRIDOR_M, PHASES
 from .sequence import scan
 
@@ -138,87 +139,69 @@ def phase_at(frames: DataFrame, phases: DataFrame, out: str = "phase") -> DataFr
 
 # ------------------------------------------------------------ masks
 
-def _cell_share(boxes: DataFrame, cells: DataFrame, ids: Sequence[str], layers, width, height) -> DataFrame:
-    """Share of integer pixel boxes ``_x0 _y0 _x1 _y1`` covered by each layer.
+def _shares(rows: DataFrame, spans: DataFrame, mask_idx: str, boxes: dict[str, tuple], layers, width, height) -> DataFrame:
+    """Add ``{layer}_{name}``: share of each integer pixel box (x0, y0, x1, y1) that a mask layer covers, 0 if there is none.
 
-    A cell counts with the pixels it shares with the box, which is what a mask
-    enlarged to the full image would give.
+    A cell counts with the pixels it shares with the box, which is what a mask enlarged to the full image would
+    give; a run of cells has the sum of them.  The runs of a mask are one row of at most a few hundred, so a mask
+    that many frames use meets each of them once and nothing is counted together afterwards.
     """
-    def first_pixel(cell, size, n):
+    def first_pixel(cell: Column, size: Column, n: int) -> Column:
         return F.ceil(cell * size / F.lit(n))
 
-    cx0, cx1 = first_pixel(F.col("gx"), width, GRID_W), first_pixel(F.col("gx") + 1, width, GRID_W)
-    cy0, cy1 = first_pixel(F.col("gy"), height, GRID_H), first_pixel(F.col("gy") + 1, height, GRID_H)
-    placed = cells.filter(F.col("layer").isin(*layers)).select(
-        "video_id", F.col("frame_idx").alias("mask_idx"), "layer",
-        cx0.alias("cx0"), cx1.alias("cx1"), cy0.alias("cy0"), cy1.alias("cy1"),
-    )
-    b = boxes.select("video_id", "mask_idx", *ids, "_x0", "_y0", "_x1", "_y1")
-    hit = b.join(placed, ["video_id", "mask_idx"]).filter(
-        (F.col("cx0") < F.col("_x1")) & (F.col("cx1") > F.col("_x0"))
-        & (F.col("cy0") < F.col("_y1")) & (F.col("cy1") > F.col("_y0"))
-    )
-    shared = (F.least("cx1", "_x1") - F.greatest("cx0", "_x0")) * (
-        F.least("cy1", "_y1") - F.greatest("cy0", "_y0")
-    )
-    keys = list(dict.fromkeys(["video_id", *ids]))
-    area = (F.first("_x1") - F.first("_x0")) * (F.first("_y1") - F.first("_y0"))
-    return hit.withColumn("_shared", shared).groupBy(*keys).agg(
-        *[
-            (F.coalesce(F.sum(F.when(F.col("layer") == n, F.col("_shared"))), F.lit(0)) / area).alias(f"_{n}")
-            for n in layers
-        ]
+    masks = spans.filter(F.col("layer").isin(*layers)).groupBy("video_id", F.col("frame_idx").alias("_mask")).agg(
+        *[F.collect_list(F.when(F.col("layer") == n, F.struct("gy", "gx0", "gx1"))).alias(f"_{n}") for n in layers]
     )
+    joined = bind(rows, {"_mask": F.col(mask_idx), **{f"_{name}": F.array(*[c.cast("long") for c in box]) for name, box in boxes.items()}})
+    joined = joined.join(masks, ["video_id", "_mask"], "left")
+
+    def covered(layer: str, name: str) -> Column:
+        x0, y0, x1, y1 = (F.get(f"_{name}", F.lit(i)) for i in range(4))
+
+        def pixels(s: Column) -> Column:
+            across = F.least(first_pixel(s.gx1, width, GRID_W), x1) - F.greatest(first_pixel(s.gx0, width, GRID_W), x0)
+            down = F.least(first_pixel(s.gy + 1, height, GRID_H), y1) - F.greatest(first_pixel(s.gy, height, GRID_H), y0)
+            return F.greatest(F.lit(0), across) * F.greatest(F.lit(0), down)
+
+        share = F.aggregate(f"_{layer}", F.lit(0).cast("long"), lambda n, s: n + pixels(s)) / ((x1 - x0) * (y1 - y0))
+        return F.when((x1 > x0) & (y1 > y0), F.coalesce(share, F.lit(0.0))).otherwise(0.0)
+
+    return joined.select(*rows.columns, *[covered(n, name).alias(f"{n}_{name}") for name in boxes for n in layers])
+
+
+def _lower_half(box: str, w: Column, h: Column) -> tuple:
+    b = F.col(box)
+    top = b[1] + (b[3] - b[1]) * 0.5
+    corners = (F.greatest(F.lit(0), b[0].cast("int")), F.greatest(F.lit(0), top.cast("int")), F.least(w, b[2].cast("int")), F.least(h, b[3].cast("int")))
+    return tuple(F.when(G.has_box(b), c) for c in corners)
+
+
+def _patch(x: str, y: str, radius: int, w: Column, h: Column) -> tuple:
+    px, py = F.rint(F.col(x)).cast("int"), F.rint(F.col(y)).cast("int")
+    return F.greatest(F.lit(0), px - radius), F.greatest(F.lit(0), py - radius), F.least(w, px + radius + 1), F.least(h, py + radius + 1)
+
+
+def _size(rows: DataFrame, width, height) -> tuple[Column, Column]:
+    """Size of the video's frames: given, or by row where the rows carry it."""
+    return tuple(F.coalesce(F.col(c), F.lit(d)) if c in rows.columns else F.lit(d) for c, d in (("width", width), ("height", height)))
 
 
 def mask_overlap(
-    boxes: DataFrame, cells: DataFrame, ids: Sequence[str] = ("frame_idx",), box: str = "person_bbox",
-    mask_idx: str = "frame_idx", layers: Sequence[str] = ("track", "sand"), suffix: str = "_ov",
-    width=1280, height=720,
+    boxes: DataFrame, spans: DataFrame, box: str = "person_bbox", mask_idx: str = "frame_idx",
+    layers: Sequence[str] = ("track", "sand"), suffix: str = "ov", width=1280, height=720,
 ) -> DataFrame:
     """Share of the lower half of each box covered by each mask layer (0 if none)."""
-    b = F.col(box)
-    top = b[1] + (b[3] - b[1]) * 0.5
-    w, h = F.lit(width), F.lit(height)
-    placed = boxes.withColumns(
-        {
-            "mask_idx": F.col(mask_idx),
-            "_x0": F.greatest(F.lit(0), b[0].cast("int")), "_y0": F.greatest(F.lit(0), top.cast("int")),
-            "_x1": F.least(w, b[2].cast("int")), "_y1": F.least(h, b[3].cast("int")),
-        }
-    )
-    usable = placed.filter(
-        G.has_box(b) & (F.col("_x1") > F.col("_x0")) & (F.col("_y1") > F.col("_y0"))
-    )
-    share = _cell_share(usable, cells, list(ids), list(layers), w, h)
-    names = [c for c in boxes.columns]
-    out = boxes.join(share, list(dict.fromkeys(["video_id", *ids])), "left")
-    return out.select(
-        *names, *[F.coalesce(f"_{n}", F.lit(0.0)).alias(f"{n}{suffix}") for n in layers]
-    )
+    w, h = _size(boxes, width, height)
+    return _shares(boxes, spans, mask_idx, {suffix: _lower_half(box, w, h)}, list(layers), w, h)
 
 
 def patch_fraction(
-    points: DataFrame, cells: DataFrame, ids: Sequence[str] = ("frame_idx",), x: str = "foot_x",
-    y: str = "foot_y", mask_idx: str = "frame_idx", radius: int = PATCH_RADIUS,
-    layers: Sequence[str] = ("track", "sand"), width=1280, height=720,
+    points: DataFrame, spans: DataFrame, x: str = "foot_x", y: str = "foot_y", mask_idx: str = "frame_idx",
+    radius: int = PATCH_RADIUS, layers: Sequence[str] = ("track", "sand"), width=1280, height=720,
 ) -> DataFrame:
     """Share of a square patch around a point covered by each mask layer."""
-    px, py = F.rint(F.col(x)).cast("int"), F.rint(F.col(y)).cast("int")
-    w, h = F.lit(width), F.lit(height)
-    placed = points.withColumns(
-        {
-            "mask_idx": F.col(mask_idx),
-            "_x0": F.greatest(F.lit(0), px - radius), "_y0": F.greatest(F.lit(0), py - radius),
-            "_x1": F.least(w, px + radius + 1), "_y1": F.least(h, py + radius + 1),
-        }
-    )
-    usable = placed.filter((F.col("_x1") > F.col("_x0")) & (F.col("_y1") > F.col("_y0")))
-    share = _cell_share(usable, cells, list(ids), list(layers), w, h)
-    out = points.join(share, list(dict.fromkeys(["video_id", *ids])), "left")
-    return out.select(
-        *points.columns, *[F.coalesce(f"_{n}", F.lit(0.0)).alias(f"{n}_frac") for n in layers]
-    )
+    w, h = _size(points, width, height)
+    return _shares(points, spans, mask_idx, {"frac": _patch(x, y, radius, w, h)}, list(layers), w, h)
 
 
 def surface(track_frac: Column, sand_frac: Column, track_ov: Column, sand_ov: Column) -> Column:
@@ -232,13 +215,14 @@ def surface(track_frac: Column, sand_frac: Column, track_ov: Column, sand_ov: Co
     )
 
 
-def classify_surface(points: DataFrame, cells: DataFrame, ids=("frame_idx",), mask_idx="frame_idx",
-                     width=1280, height=720) -> DataFrame:
-    """Add ``surface`` to rows with foot_x, foot_y and person_bbox."""
-    patched = patch_fraction(points, cells, ids, mask_idx=mask_idx, width=width, height=height)
-    boxed = mask_overlap(patched, cells, ids, mask_idx=mask_idx, width=width, height=height)
+def classify_surface(points: DataFrame, spans: DataFrame, mask_idx="frame_idx", width=1280, height=720) -> DataFrame:
+    """Add ``surface`` and the shares it comes from to rows with foot_x, foot_y and person_bbox."""
+    w, h = _size(points, width, height)
+    shared = _shares(
+        points, spans, mask_idx, {"frac": _patch("foot_x", "foot_y", PATCH_RADIUS, w, h), "ov": _lower_half("person_bbox", w, h)}, ["track", "sand"], w, h
+    )
     pick = surface(*[F.col(c) for c in ("track_frac", "sand_frac", "track_ov", "sand_ov")])
-    return boxed.withColumn("surface", F.when(F.col("foot_x").isNotNull(), pick))
+    return shared.withColumn("surface", F.when(F.col("foot_x").isNotNull(), pick))
 
 
 # ------------------------------------------------------------ exclusion and choice

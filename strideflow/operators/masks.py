@@ -1,8 +1,8 @@
-"""Track and sand masks as rows on a 160 x 90 grid."""
+"""Track and sand masks on a 160 x 90 grid, as runs of cells: one row for each run of a grid row."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -11,6 +11,7 @@ from ..schemas import MASK_MODES
 from .joins import GRID_H, GRID_W, bracket_interpolate, nearest_mark
 
 MIN_KEYFRAMES = 5
+SPAN_KEY = ["video_id", "frame_idx", "layer", "gy"]
 
 
 # ------------------------------------------------------------ keyframe choice
@@ -47,36 +48,69 @@ def polygon_keyframes(keyframes: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------ rasterising
 
-def polygon_cells(poly: Column, edges: Column) -> Column:
-    """ARRAY<STRUCT<gx, gy>> of the grid cells whose centre lies in a 0-1 polygon.
+def polygon_spans(poly: Column, edges: Column) -> Column:
+    """ARRAY<STRUCT<gy, gx0, gx1>>: the runs [gx0, gx1) of grid cells of each row whose centre lies in a 0-1 polygon.
 
-    ``edges`` are the polygon's edges, bound beforehand.
+    ``edges`` are the polygon's edges, bound beforehand.  The line through a row's centres enters and leaves the
+    polygon at the edges it crosses, so a row costs its crossings and not its cells.
     """
-    def reach(coord, n):
-        low = F.floor(F.array_min(F.transform(poly, coord)) * n)
-        high = F.floor(F.array_max(F.transform(poly, coord)) * n)
-        low = F.greatest(F.lit(0), F.least(F.lit(n - 1), low)).cast("int")
-        high = F.greatest(F.lit(0), F.least(F.lit(n - 1), high)).cast("int")
-        return F.sequence(low, F.greatest(low, high))
-
-    grid = F.flatten(
-        F.transform(
-            reach(lambda p: p.y, GRID_H),
-            lambda gy: F.transform(
-                reach(lambda p: p.x, GRID_W), lambda gx: F.struct(gx.alias("gx"), gy.alias("gy"))
-            ),
-        )
-    )
-    inside = F.filter(
-        grid, lambda c: G.contains_point(edges, (c.gx + 0.5) / GRID_W, (c.gy + 0.5) / GRID_H)
-    )
-    return F.when(F.size(poly) >= 3, inside)
+    def first_cell(x: Column) -> Column:
+        """The first cell whose centre is not left of ``x``; set right where rounding misses it by one."""
+        g = F.ceil(F.greatest(F.lit(-1.0), F.least(F.lit(GRID_W + 1.0), x)) * GRID_W - 0.5)
+        near = F.when((g - 0.5) / GRID_W >= x, g - 1).when((g + 0.5) / GRID_W < x, g + 1).otherwise(g)
+        return F.greatest(F.lit(0), F.least(F.lit(GRID_W), near)).cast("int")
+
+    def row(gy: Column) -> Column:
+        y = (gy + 0.5) / GRID_H
+        crossed = F.filter(edges, lambda e: (e.py > y) != (e.qy > y))
+        cuts = F.array_sort(F.transform(crossed, lambda e: first_cell((e.qx - e.px) * (y - e.py) / (e.qy - e.py) + e.px)))
+        pairs = F.zip_with(cuts, F.slice(cuts, 2, GRID_W), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        inside = F.filter(pairs, lambda p, i: (i % 2 == 0) & (p.b > p.a))
+        return F.transform(inside, lambda p: F.struct(gy.alias("gy"), p.a.alias("gx0"), p.b.alias("gx1")))
+
+    def level(pick) -> Column:
+        edge = F.floor(pick(F.transform(poly, lambda p: p.y)) * GRID_H)
+        return F.greatest(F.lit(0), F.least(F.lit(GRID_H - 1), edge)).cast("int")
+
+    low, high = level(F.array_min), level(F.array_max)
+    return F.when(F.size(poly) >= 3, F.flatten(F.transform(F.sequence(low, F.greatest(low, high)), row)))
+
+
+def spans_of(cells: DataFrame) -> DataFrame:
+    """Cells (video_id, frame_idx, layer, gx, gy) as spans: video_id, frame_idx, layer, gy, gx0, gx1."""
+    single = cells.select(*SPAN_KEY, F.col("gx").alias("gx0"), (F.col("gx") + 1).alias("gx1"))
+    return _swept(single, None)
+
+
+def cells_of(spans: DataFrame) -> DataFrame:
+    """The single cells of spans."""
+    return spans.select(*SPAN_KEY[:3], F.explode(F.sequence(F.col("gx0"), F.col("gx1") - 1)).alias("gx"), "gy")
+
+
+def _swept(covers: DataFrame, holes: DataFrame | None) -> DataFrame:
+    """What ``covers`` covers and ``holes`` do not, as spans that neither touch nor overlap.
+
+    A sweep along each grid row: borders count up and down, and a span runs from where cover begins to where it ends.
+    """
+    def borders(spans: DataFrame, cover: int, hole: int) -> DataFrame:
+        ends = F.array(*[F.struct(F.col(x).alias("x"), F.lit(s * cover).alias("c"), F.lit(s * hole).alias("h")) for x, s in (("gx0", 1), ("gx1", -1))])
+        return spans.select(*SPAN_KEY, F.inline(ends))
+
+    marks = borders(covers, 1, 0)
+    if holes is not None:
+        marks = marks.unionByName(borders(holes, 0, 1))
+    marks = marks.groupBy(*SPAN_KEY, "x").agg(F.sum("c").alias("c"), F.sum("h").alias("h"))
+    along = Window.partitionBy(*SPAN_KEY).orderBy("x")
+    level = marks.withColumns({"c": F.sum("c").over(along), "h": F.sum("h").over(along)}).withColumn("on", (F.col("c") > 0) & (F.col("h") == 0))
+    turns = level.withColumn("was", F.lag("on", 1, False).over(along)).filter(F.col("on") != F.col("was"))
+    spans = turns.withColumn("gx1", F.lead("x").over(along)).filter("on")
+    return spans.select(*SPAN_KEY, F.col("x").cast("int").alias("gx0"), F.col("gx1").cast("int").alias("gx1"))
 
 
 def rasterise_polygons(
     frames: DataFrame, keyframes: DataFrame, min_keyframes: int = MIN_KEYFRAMES
 ) -> tuple[DataFrame, DataFrame]:
-    """(mask_frames, mask_cells) of all frames of videos with enough keyframes.
+    """(mask_frames, mask_spans) of all frames of videos with enough keyframes.
 
     An exact keyframe gives confidence 1.0, a blend of two 0.88.
     """
@@ -90,11 +124,12 @@ def rasterise_polygons(
         shaped,
         {f"_{c}": G.polygon_edges(F.col(c)) for c in ("track_polygon", "landing_zone")},
     )
+    none = F.array().cast("array<struct<gy:int,gx0:int,gx1:int>>")
     drawn = bind(
         shaped,
         {
-            "track": F.coalesce(polygon_cells(F.col("track_polygon"), F.col("_track_polygon")), F.array()),
-            "sand": F.coalesce(polygon_cells(F.col("landing_zone"), F.col("_landing_zone")), F.array()),
+            "track": F.coalesce(polygon_spans(F.col("track_polygon"), F.col("_track_polygon")), none),
+            "sand": F.coalesce(polygon_spans(F.col("landing_zone"), F.col("_landing_zone")), none),
         },
     ).select(
         "video_id",
@@ -107,24 +142,30 @@ def rasterise_polygons(
     total = float(GRID_W * GRID_H)
     mask_frames = drawn.select(
         "video_id", "frame_idx", "source", "confidence",
-        F.round(F.size("track") / total, 4).alias("track_area_norm"),
-        F.round(F.size("sand") / total, 4).alias("sand_area_norm"),
+        F.round(_covered("track") / total, 4).alias("track_area_norm"),
+        F.round(_covered("sand") / total, 4).alias("sand_area_norm"),
     )
     layers = F.array(
-        F.struct(F.lit("track").alias("layer"), F.col("track").alias("cells")),
-        F.struct(F.lit("sand").alias("layer"), F.col("sand").alias("cells")),
+        F.struct(F.lit("track").alias("layer"), F.col("track").alias("spans")),
+        F.struct(F.lit("sand").alias("layer"), F.col("sand").alias("spans")),
     )
-    cells = (
+    spans = (
         drawn.select("video_id", "frame_idx", F.inline(layers))
-        .select("video_id", "frame_idx", "layer", F.inline("cells"))
+        .select("video_id", "frame_idx", "layer", F.inline("spans"))
     )
-    return mask_frames, cells
+    return mask_frames, spans
+
+
+def _covered(spans: str) -> Column:
+    """Number of cells in an array of spans."""
+    return F.aggregate(spans, F.lit(0), lambda n, s: n + s.gx1 - s.gx0)
 
 
-def mask_areas(cells: DataFrame) -> DataFrame:
-    return cells.groupBy("video_id", "frame_idx").agg(
+def mask_areas(spans: DataFrame) -> DataFrame:
+    covered = F.col("gx1") - F.col("gx0")
+    return spans.groupBy("video_id", "frame_idx").agg(
         *[
-            F.round(F.count(F.when(F.col("layer") == n, 1)) / float(GRID_W * GRID_H), 4).alias(f"{n}_area_norm")
+            F.round(F.coalesce(F.sum(F.when(F.col("layer") == n, covered)), F.lit(0)) / float(GRID_W * GRID_H), 4).alias(f"{n}_area_norm")
             for n in ("track", "sand")
         ]
     )
@@ -132,18 +173,17 @@ def mask_areas(cells: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------ edits
 
-def mask_edit(cells: DataFrame, delta: DataFrame, op: str = "add") -> DataFrame:
-    """Add, erase or replace cells of the layers and frames named by ``delta``."""
-    key = ["video_id", "frame_idx", "layer", "gx", "gy"]
-    delta = delta.select(*key).distinct()
-    cells = cells.select(*key)
+def mask_edit(spans: DataFrame, delta: DataFrame, op: str = "add") -> DataFrame:
+    """Add, erase or replace spans of the layers and frames named by ``delta`` (spans that may overlap)."""
+    columns = [*SPAN_KEY, "gx0", "gx1"]
+    delta, spans = delta.select(*columns), spans.select(*columns)
     if op == "add":
-        return cells.unionByName(delta).distinct()
+        return _swept(spans.unionByName(delta), None)
     if op == "erase":
-        return cells.join(delta, key, "left_anti")
+        return _swept(spans, delta)
     if op == "replace":
-        touched = delta.select(*key[:3]).distinct()
-        return cells.join(touched, key[:3], "left_anti").unionByName(delta)
+        touched = delta.select(*SPAN_KEY[:3]).distinct()
+        return spans.join(touched, SPAN_KEY[:3], "left_anti").unionByName(_swept(delta, None))
     raise ValueError(f"unknown mask operation {op!r}: use add, erase or replace")
 
 

@@ -286,9 +286,9 @@ def e11(spark, sf):
 def e5(spark, sf):
     from .join_queries import drawn
 
-    mask_frames, cells = drawn(spark, sf)
-    cells = cut_lineage(cells)  # stands for the stored mask table
-    return K.detect_contacts(posed(spark, sf), prototypes(spark, sf), cells, mask_frames, C.keyframes(spark, sf))
+    mask_frames, spans = drawn(spark, sf)
+    spans = cut_lineage(spans)  # stands for the stored mask table
+    return K.detect_contacts(posed(spark, sf), prototypes(spark, sf), spans, mask_frames, C.keyframes(spark, sf))
 
 
 def sections(spark, sf):

@@ -295,15 +295,37 @@ def f15(spark, sf):
     return k.select("video_id", "frame_idx", M.keyframe_source().alias("source"), M.learnable().alias("learnable"))
 
 
+view(
+    "half_edges_v",
+    """SELECT f.video_id, f.frame_idx, f.bx1 AS x0, (f.by1 + f.by2) / 2 AS y0, f.bx2 AS x1, f.by2 AS y1, e.i AS i,
+  1280 * CASE e.i WHEN 0 THEN t0x WHEN 1 THEN t1x WHEN 2 THEN t2x ELSE t3x END AS px, 720 * CASE e.i WHEN 0 THEN t0y WHEN 1 THEN t1y WHEN 2 THEN t2y ELSE t3y END AS py,
+  1280 * CASE e.i WHEN 0 THEN t1x WHEN 1 THEN t2x WHEN 2 THEN t3x ELSE t0x END AS qx, 720 * CASE e.i WHEN 0 THEN t1y WHEN 1 THEN t2y WHEN 2 THEN t3y ELSE t0y END AS qy
+FROM interp_v v JOIN frames_v f ON f.video_id = v.video_id AND f.frame_idx = v.frame_idx, range(4) e(i) WHERE f.person_detected""",
+    "interp_v", "frames_v",
+)
+view(
+    "half_slabs_v",
+    """SELECT video_id, frame_idx, y AS a, lead(y) OVER (PARTITION BY video_id, frame_idx ORDER BY y) AS b FROM (
+  SELECT video_id, frame_idx, y0 AS y FROM half_edges_v UNION SELECT video_id, frame_idx, y1 FROM half_edges_v
+  UNION SELECT video_id, frame_idx, py FROM half_edges_v WHERE py > y0 AND py < y1
+  UNION SELECT video_id, frame_idx, y FROM (SELECT video_id, frame_idx, y0, y1, unnest([x0, x1]) AS x, py + (qy - py) * (unnest([x0, x1]) - px) / (qx - px) AS y FROM half_edges_v WHERE qx <> px) WHERE y > y0 AND y < y1
+  UNION SELECT video_id, frame_idx, y FROM (
+    SELECT g.video_id, g.frame_idx, g.y0, g.y1, g.py + (g.qy - g.py) * ((h.px - g.px) * (h.qy - h.py) - (h.py - g.py) * (h.qx - h.px)) / ((g.qx - g.px) * (h.qy - h.py) - (g.qy - g.py) * (h.qx - h.px)) AS y
+    FROM half_edges_v g JOIN half_edges_v h ON h.video_id = g.video_id AND h.frame_idx = g.frame_idx AND h.i > g.i AND (g.qx - g.px) * (h.qy - h.py) - (g.qy - g.py) * (h.qx - h.px) <> 0) WHERE y > y0 AND y < y1)""",
+    "half_edges_v",
+)
+
+
 @query(
     "f16_bbox_polygon_overlap",
     sql(
-        f"""SELECT video_id, frame_idx, round(avg(CASE WHEN {_pip('t', 'px', 'py')} THEN 1.0::DOUBLE ELSE 0 END), 6) AS share FROM (
-SELECT i.*, (f.bx1 + (f.bx2 - f.bx1) * (u.u + 0.5::DOUBLE) / 16) / 1280 AS px,
-  ((f.by1 + f.by2) / 2 + (f.by2 - f.by1) / 2 * (v.v + 0.5::DOUBLE) / 16) / 720 AS py
-FROM interp_v i JOIN frames_v f ON f.video_id = i.video_id AND f.frame_idx = i.frame_idx, range(16) u(u), range(16) v(v)
-WHERE f.person_detected) GROUP BY 1, 2""",
-        "interp_v", "frames_v",
+        """SELECT video_id, frame_idx, round(coalesce(sum((b - a) * len), 0) / any_value(area), 6) AS share FROM (
+  SELECT video_id, frame_idx, a, b, any_value(area) AS area, sum(CASE WHEN n % 2 = 0 THEN x ELSE -x END) AS len FROM (
+    SELECT s.video_id, s.frame_idx, a, b, (x1 - x0) * (y1 - y0) AS area, row_number() OVER (PARTITION BY s.video_id, s.frame_idx, a ORDER BY greatest(x0, least(x1, px + (qx - px) * ((a + b) / 2 - py) / (qy - py)))) AS n,
+      greatest(x0, least(x1, px + (qx - px) * ((a + b) / 2 - py) / (qy - py))) AS x
+    FROM half_slabs_v s JOIN half_edges_v e ON e.video_id = s.video_id AND e.frame_idx = s.frame_idx AND (py > (a + b) / 2) <> (qy > (a + b) / 2)) GROUP BY 1, 2, 3, 4
+  UNION ALL SELECT DISTINCT video_id, frame_idx, NULL, NULL, (x1 - x0) * (y1 - y0), NULL FROM half_edges_v) GROUP BY 1, 2""",
+        "half_edges_v", "half_slabs_v",
     ),
 )
 def f16(spark, sf):
@@ -375,7 +397,19 @@ def m10(spark, sf):
 
 @query("m10_mask_cells", sql("SELECT * FROM cells_v", "cells_v"))
 def m10_cells(spark, sf):
-    return drawn(spark, sf)[1]
+    return M.cells_of(drawn(spark, sf)[1])
+
+
+@query(
+    "m10_mask_spans",
+    sql(
+        """SELECT video_id, frame_idx, layer, gy, min(gx)::INTEGER AS gx0, (max(gx) + 1)::INTEGER AS gx1 FROM (
+  SELECT *, gx - row_number() OVER (PARTITION BY video_id, frame_idx, layer, gy ORDER BY gx) AS run FROM cells_v) GROUP BY 1, 2, 3, 4, run""",
+        "cells_v",
+    ),
+)
+def m10_spans(spark, sf):
+    return M.spans_of(M.cells_of(drawn(spark, sf)[1]))
 
 
 def _covered(x0, x1, y0, y1):
@@ -460,10 +494,12 @@ def j9(spark, sf):
     ),
 )
 def m9(spark, sf):
-    cells = drawn(spark, sf)[1]
-    erased = M.mask_edit(cells, cells.filter("gx % 4 = 1"), "erase")
-    shifted = cells.filter("layer = 'sand'").withColumns({"layer": F.lit("track"), "gx": F.col("gx") + 2})
-    return M.mask_edit(erased, shifted, "add").groupBy("video_id", "frame_idx", "layer").agg(F.count(F.lit(1)).alias("n"))
+    spans = drawn(spark, sf)[1]
+    every_fourth = spans.select(*M.SPAN_KEY, F.explode(F.sequence("gx0", F.col("gx1") - 1)).alias("gx0")).filter("gx0 % 4 = 1").withColumn("gx1", F.col("gx0") + 1)
+    erased = M.mask_edit(spans, every_fourth, "erase")
+    shifted = spans.filter("layer = 'sand'").withColumns({"layer": F.lit("track"), "gx0": F.col("gx0") + 2, "gx1": F.col("gx1") + 2})
+    added = M.mask_edit(erased, shifted, "add")
+    return added.groupBy("video_id", "frame_idx", "layer").agg(F.sum(F.col("gx1") - F.col("gx0")).alias("n"))
 
 
 @query(
