@@ -44,6 +44,24 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def keyed(documents: DataFrame) -> DataFrame:
+    """``row`` (all columns) and ``_key``, a long that no other row has: the doc_id where it is that, else a number of its own.
+
+    Rows with a repeated or null doc_id are documents of their own and are numbered behind the largest doc_id, in no
+    order that means anything.  They are written to a table first, so that a repeated task finds the same numbers.
+    """
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col("doc_id").cast("long").alias("_key"))
+    counts = documents.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.count(F.lit(1)).alias("_n"))
+    seen = counts.agg(F.max("_n"), F.max("_id"), F.count(F.when(F.col("_id").isNull(), 1))).first()
+    if (seen[0] or 1) == 1 and not seen[2]:
+        return rows
+    several = counts.filter("_n > 1 and _id is not null").select("_id")
+    alone = rows.filter("_key is not null").join(several, F.col("_key") == F.col("_id"), "left_anti")
+    rest = rows.join(several, F.col("_key") == F.col("_id"), "left_semi").union(rows.filter("_key is null"))
+    numbered = rest.select("row", (F.lit((seen[1] or 0) + 1) + F.monotonically_increasing_id()).alias("_key"))
+    return alone.unionByName(store(numbered, "keyed-rows"))
+
+
 def starts_of_parts(table: DataFrame, size: str) -> DataFrame:
     """``part`` and ``base``: the sum of ``size`` over all parts before it; one row per written task."""
     totals = table.groupBy("part").agg(F.sum(size).alias("_total"))

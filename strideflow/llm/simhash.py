@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_bytes, mapped, steps, store
+from .common import column_bytes, keyed, mapped, steps, store
 from .components import components
 
 RADIUS = 4
@@ -153,9 +153,13 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def keep_first(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Rows of ``documents`` whose doc_id is the smallest of its near-duplicate group, all columns kept.
+    """One row of each near-duplicate group of ``documents``: that with the smallest doc_id, all columns kept.
 
-    Rows without a doc_id stay; rows that repeat a kept doc_id stay.
+    Rows that repeat a doc_id and rows without one are documents of their own, behind all others: of equal copies one
+    row stays, whatever their ids.  Null, empty and very long texts are compared like any other; an empty table stays
+    empty; columns of any name are kept as they are.
     """
-    groups = near_duplicates(documents, radius).filter("doc_id <> component_id").select(F.col("doc_id").cast("long").alias("_drop")).distinct()
-    return documents.join(groups, F.col("doc_id").cast("long") == F.col("_drop"), "left_anti")
+    rows = keyed(documents)
+    groups = near_duplicates(rows.select(F.col("_key").alias("doc_id"), F.col("row.text").alias("text")), radius)
+    gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_drop"))
+    return rows.join(gone, F.col("_key") == F.col("_drop"), "left_anti").select("row.*")

@@ -18,7 +18,7 @@ K = 5
 PIVOT_SAMPLE, PIVOTS = 2000, 32
 #: Vectors in a block of an annulus, and queries that are compared with a block at once.
 BLOCK, QUERY_BLOCK = 1024, 256
-#: Integer components beyond this could overflow a 64-bit score; such vectors take no part.
+#: Vectors with integer components beyond this are compared one by one with whole numbers of any size.
 LARGEST = 1 << 24
 
 _BLOCKS = "block long, pivot int, low double, high double, ids binary, data binary"
@@ -26,11 +26,12 @@ _ASK = "chunk long, ids binary, data binary, bounds binary, from_pivot array<dou
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """(vec_id, v): floor(scale * x) of every component; vectors null, with null or non-finite or too large components, or without an id are left out."""
+    """(vec_id, v): floor(scale * x) of every component; vectors null or empty, with null or non-finite components, or without an id are left out."""
     x = F.transform(F.col("embedding"), lambda c: c.cast("double") * scale)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("v")).filter("vec_id is not null and v is not null and size(v) > 0")
-    rows = rows.filter(F.forall("v", lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) <= LARGEST), F.lit(False))))
-    return rows.withColumn("v", F.transform("v", lambda c: F.floor(c).cast("double")))
+    rows = rows.filter(F.forall("v", lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))))
+    # doubles from 2^53 on have no fraction
+    return rows.withColumn("v", F.transform("v", lambda c: F.when(F.abs(c) < float(1 << 53), F.floor(c).cast("double")).otherwise(c)))
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -60,6 +61,7 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 
 #: Stands for no score; its negative is still a 64-bit number.
 NONE = -np.iinfo(np.int64).max
+TOP = np.iinfo(np.int64).max - 1
 
 
 def top_k(vectors: DataFrame, k: int = K, every: int = 50, scale: int = SCALE) -> DataFrame:
@@ -71,15 +73,60 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 50, scale: int = SCALE) -
     blocks: parts of an annulus.  A query first meets the block it lies in, which bounds its k-th score
     from below; then annuli around it matter only as far as the triangle inequality allows a better one.
 
+    Vectors with components beyond 2^24 after scaling would blur all distances.  They stay outside the index: all
+    queries are compared with them, and the queries among them with all vectors, in blocks and with whole numbers of
+    any size.  A score beyond a long counts as the nearest long.
+
     Ties go to the smaller id.  Repeated ids are separate vectors (a query never meets its own id).
     Shorter vectors count as padded with zeros.  Queries without candidates and empty tables give no rows;
     other columns are not read.
     """
     spark = vectors.sparkSession
-    rows = store(quantised(vectors, scale), "topk-vectors")
+    every_row = store(quantised(vectors, scale), "topk-vectors")
+    wide = F.exists("v", lambda c: F.abs(c) > LARGEST)
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    found = _indexed(every_row.filter(~wide), k, every)
+    beyond = every_row.filter(wide)
+    if not beyond.isEmpty():
+        asking = F.col("vec_id") % every == 0
+        found = found.union(_by_blocks(every_row.filter(asking), beyond, k)).union(_by_blocks(beyond.filter(asking), every_row.filter(~wide), k))
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _by_blocks(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """The k best of ``rows`` for each query, a block of queries against a block of rows at a time, exact at any size."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, QUERY_BLOCK):
+                part = batch.slice(first, QUERY_BLOCK)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()]), pa.array([part.column(1).to_pylist()])], ["ids", "rows"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q_ids, q_rows, ids, data in zip(*(c.to_pylist() for c in batch.columns)):
+                data = [[int(x) for x in row] for row in data]
+                out = []
+                for q_id, q_row in zip(q_ids, q_rows):
+                    q_row = [int(x) for x in q_row]
+                    scores = [(max(-TOP, min(TOP, sum(a * b for a, b in zip(q_row, row)))), i) for i, row in zip(ids, data) if i != q_id]
+                    out += [(q_id, i, score) for score, i in sorted(scores, key=lambda s: (-s[0], s[1]))[:k]]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out)], ["query_id", "vec_id", "score"])
+
+    kinds = "ids array<long>, rows array<array<double>>"
+    asked, held = queries.mapInArrow(packed, kinds), rows.mapInArrow(packed, kinds)
+    # the stated queries against all rows, in blocks
+    met = asked.crossJoin(held.select(F.col("ids").alias("to"), F.col("rows").alias("others")))
+    return met.mapInArrow(compare, "query_id long, vec_id long, score long")
+
+
+def _indexed(rows: DataFrame, k: int, every: int) -> DataFrame:
+    """``query_id``, ``vec_id``, ``score``: the k best of each query and maybe some more, by the index."""
+    spark = rows.sparkSession
     norm = F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)
     top = rows.agg(F.max(norm).alias("most"), F.max(F.size("v")).alias("width")).first()
-    out = "query_id long, rank int, vec_id long, score long"
+    out = "query_id long, vec_id long, score long"
     if top["most"] is None:
         return spark.createDataFrame([], out)
     most, width = float(top["most"]), int(top["width"])
@@ -131,8 +178,8 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 50, scale: int = SCALE) -
                     lifted = np.concatenate([data[q], np.zeros((len(q), 1))], axis=1)
                     far = _distances(lifted, pivots)
                     length = (data[q] ** 2).sum(axis=1)
-                    # |q - x|^2 = |q|^2 + most - 2 <q, x>; a little slack for rounding
-                    reach = np.where(bound == NONE, np.inf, np.sqrt(np.maximum(0, length + most - 2.0 * bound)) * (1 + 1e-9) + 1e-6)
+                    # |q - x|^2 = |q|^2 + most - 2 <q, x>; slack for rounding, which is worst for small distances of long vectors
+                    reach = np.where(bound == NONE, np.inf, np.sqrt(np.maximum(0, length + most - 2.0 * bound)) * (1 + 1e-9) + 1e-6 + 1e-7 * np.sqrt(most))
                     low, high = (far - reach[:, None]).min(axis=0), (far + reach[:, None]).max(axis=0)
                     made.append((number << 16 | first, ids[q].tobytes(), data[q].tobytes(), bound.tobytes(), low.tolist(), high.tolist()))
             if made:
@@ -161,9 +208,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 50, scale: int = SCALE) -
                         [pa.array(q_ids[row]), pa.array(ids[order[row, column]]), pa.array(best[row, column])], ["query_id", "vec_id", "score"]
                     )
 
-    found = met.mapInArrow(compare, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return met.mapInArrow(compare, out)
 
 
 def _lifted(rows: np.ndarray, most: float) -> np.ndarray:

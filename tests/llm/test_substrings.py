@@ -1,8 +1,11 @@
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from llm_cases import SMALL, words
 
+from strideflow.llm import substrings
+from strideflow.llm.simhash import keep_first
 from strideflow.llm.substrings import compact_windows, cut_repeats, repeated_passages
 
 RUN = 51
@@ -110,5 +113,63 @@ def test_passage_twice_in_one_document(spark):
     assert any(a for i, (a, _) in both.items() if i % 4 == 3)
 
 
+def near_copy(rng, kind, w):
+    """(source, copy, words of the copy that are alike) of a near copy of ``w``."""
+    def changed(words, places):
+        return ["other%d" % rng.integers(1e6) if k in places else x for k, x in enumerate(words)]
+
+    half = len(w) // 2
+    if kind == "changed":  # single words
+        return w, changed(w, set(rng.choice(np.arange(5, len(w) - 5), len(w) // 60, replace=False).tolist())), len(w)
+    if kind == "put in":  # text in the middle of the source, a word changed in each half
+        return [*w[:half], *prose(rng, 30).split(), *w[half:]], changed(w, {half // 2, half + half // 2}), len(w)
+    if kind == "left out":  # text that the source lacks
+        return w, changed([*w[:half], *prose(rng, 25).split(), *w[half:]], {half // 2, half + 25 + half // 2}), len(w)
+    if kind == "moved":  # the halves change places
+        return w, changed([*w[half:], *w[:half]], {half // 2, half + half // 2}), len(w)
+    return w, changed(w[: half + 10], {half // 2}), half + 10  # only a part
+
+
+@pytest.mark.parametrize("kind", ["changed", "put in", "left out", "moved", "part"])
+def test_near_copies_are_found(table, kind):
+    rng = np.random.default_rng(len(kind))
+    texts, spots = {}, {}
+    for case in range(40):
+        source, copy, _ = near_copy(rng, kind, prose(rng, 120).split())
+        texts[2 * case] = f"{prose(rng, 30)} {' '.join(source)} {prose(rng, 30)}"
+        texts[2 * case + 1] = f"{prose(rng, 40)} {' '.join(copy)} {prose(rng, 20)}"
+        spots[2 * case + 1] = {40 + k for k, x in enumerate(copy) if x in set(source)}
+    covered = defaultdict(set)
+    for r in repeated_passages(table(list(texts.items()))).collect():
+        covered[r["doc_id"]].update(range(r["first_word"], r["first_word"] + r["n_words"]))
+    share = [len(spot & covered[i]) / len(spot) >= 0.8 for i, spot in spots.items()]
+    assert np.mean(share) >= 0.9, np.mean(share)
+    assert not any(covered[2 * case] for case in range(40))
+
+
+def test_more_shingles_than_places(monkeypatch, table):
+    """Texts with more shingles than a value can number are ranked, with the same windows."""
+    rng = np.random.default_rng(8)
+    values = rng.integers(0, 1 << 60, 5000).astype(np.uint64)
+    values[::7] = values[3]
+    bounds = np.array([0, 2000, 2100, 5000])
+    want = compact_windows(values, bounds, 40)
+    # the same order where the low bits are cut, whichever way it is found
+    monkeypatch.setattr(substrings, "PLACE_BITS", 12)
+    got = compact_windows(values, bounds, 40)
+    assert all((a == b).all() for a, b in zip(want, got)) and len(want[0]) > 10
+
+
+def test_repeated_and_null_ids_are_documents_of_their_own(table):
+    rng = np.random.default_rng(9)
+    passage, clean, other = prose(rng, 60), prose(rng, 200), prose(rng, 90)
+    rows = [(1, f"{prose(rng, 50)} {passage} {prose(rng, 50)}"), (2, f"{prose(rng, 50)} {passage} {prose(rng, 50)}"), (2, clean), (2, None), (None, other), (None, None), (3, "x")]
+    cut = [(r["doc_id"], r["text"]) for r in cut_repeats(table(rows)).collect()]
+    assert len(cut) == 7 and (2, clean) in cut and (2, None) in cut and (None, other) in cut and (None, None) in cut and rows[0] in cut
+    assert all(passage not in (t or "") for i, t in cut if i == 2) and sum(passage in (t or "") for _, t in cut) == 1
+    kept = [(r["doc_id"], r["text"]) for r in keep_first(table([(5, clean), (5, clean), (5, clean), (None, clean), (None, clean), (7, other), (7, passage)])).collect()]
+    assert sorted(kept, key=str) == sorted([(5, clean), (7, other), (7, passage)], key=str) or sorted(kept, key=str) == sorted([(None, clean), (7, other), (7, passage)], key=str)
+
+
 def test_empty(table):
     assert repeated_passages(table([])).collect() == [] and cut_repeats(table([])).collect() == []
