@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
@@ -10,6 +10,9 @@ from ..functions import scores as S
 MIN_TRACK_PX, MIN_SAND_PX = 50, 30
 ZONE_WEIGHTS = {0: 0.10, 1: 0.60, 2: 0.30}
 CHANNELS = ("h", "s", "v")
+SHAPE = ("area", "aspect", "cx", "cy", "lane_angle")
+#: Accuracy of the sketch, and how far from the middle its bracket reaches: more than its error.
+ACCURACY, BRACKET = 10_000, 3e-4
 
 
 # ------------------------------------------------------------ colour statistics
@@ -56,19 +59,56 @@ def merge_color_stats(old: DataFrame, new_pixels: DataFrame, keys=("venue_id", "
     return stats_from_moments(merge_moments(both, keys), 1)
 
 
+def medians(rows: DataFrame, keys: list[str], columns: tuple[str, ...]) -> DataFrame:
+    """Exact median of each column per key, nulls left out; a key may hold any share of the rows.
+
+    A mergeable sketch brackets the middle of each key to within a few ten-thousandths of its rows.  Rows below
+    the bracket are only counted; values inside it are counted one by one, and the middle ranks picked from them.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("_name"), F.col(c).cast("double").alias("_x")) for c in columns])
+    long = rows.select(*keys, F.inline(pairs)).filter(F.col("_x").isNotNull())
+    group = [*keys, "_name"]
+    brackets = long.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_x", [0.5 - BRACKET, 0.5 + BRACKET], ACCURACY).alias("_b"))
+    placed = long.join(brackets.select(*group, F.col("_b")[0].alias("_low"), F.col("_b")[1].alias("_high")), group)
+    # all rows below the bracket share one value of their own
+    value = F.when(F.col("_x") >= F.col("_low"), F.col("_x"))
+    counts = placed.filter(F.col("_x") <= F.col("_high")).groupBy(*group, value.alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
+    upto = Window.partitionBy(*group).orderBy(F.col("_x").asc_nulls_first())
+    ranked = counts.withColumn("_last", F.sum("_c").over(upto)).join(brackets.select(*group, "_n"), group)
+    low, high = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
+
+    def at(rank):
+        return F.max(F.when((F.col("_last") >= rank) & (F.col("_last") - F.col("_c") < rank), F.col("_x")))
+
+    middle = ranked.groupBy(*group).agg(((at(low) + at(high)) / 2).alias("_median"))
+    return middle.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == c, F.col("_median"))).alias(c) for c in columns])
+
+
+def _frame_moments(pixels: DataFrame, keys: list[str]) -> DataFrame:
+    """Colour sums of the frames that count: at least 50 track or 30 sand pixels."""
+    use = pixels.filter(F.col("layer").isin("track", "sand"))
+    floor = F.when(F.col("layer") == "track", MIN_TRACK_PX).otherwise(MIN_SAND_PX)
+    return color_moments(use, [*keys, "video_id", "frame_idx", "layer"]).filter(F.col("n") >= floor)
+
+
+def contributors(pixels: DataFrame, before: DataFrame | None = None, keys=("venue_id",)) -> DataFrame:
+    """The videos a profile was learned from, a row each; ``before`` holds those of the profile so far."""
+    found = _frame_moments(pixels, list(keys)).select(*keys, "video_id")
+    return (found if before is None else found.unionByName(before.select(*keys, "video_id"))).distinct()
+
+
 def learn_venue(
-    pixels: DataFrame, shapes: DataFrame, existing: DataFrame | None = None, keys=("venue_id",)
+    pixels: DataFrame, shapes: DataFrame, existing: DataFrame | None = None, contributed: DataFrame | None = None, keys=("venue_id",)
 ) -> DataFrame:
     """Profile per venue: colour model of both layers, median shape, counters.
 
     ``pixels``: venue_id, video_id, frame_idx, layer, h, s, v.  A frame counts
     with at least 50 track or 30 sand pixels.  ``shapes``: venue_id, area,
-    aspect, cx, cy, lane_angle.
+    aspect, cx, cy, lane_angle.  ``existing``: the profiles so far, ``contributed``
+    their videos as rows (see :func:`contributors`); ``n_videos`` counts all of them.
     """
     keys = list(keys)
-    use = pixels.filter(F.col("layer").isin("track", "sand"))
-    floor = F.when(F.col("layer") == "track", MIN_TRACK_PX).otherwise(MIN_SAND_PX)
-    per_frame = color_moments(use, [*keys, "video_id", "frame_idx", "layer"]).filter(F.col("n") >= floor)
+    per_frame = _frame_moments(pixels, keys)
     colors = stats_from_moments(merge_moments(per_frame, [*keys, "layer"]))
     if existing is not None:
         old = existing.select(*keys, F.inline(F.array(
@@ -85,25 +125,19 @@ def learn_venue(
     counts = per_frame.groupBy(*keys).agg(
         F.count(F.when(F.col("layer") == "track", 1)).alias("frames_used"),
         F.count(F.when(F.col("layer") == "sand", 1)).alias("sand_frames_used"),
-        F.array_sort(F.collect_set("video_id")).alias("videos_contributed"),
-    )
-    shape = shapes.groupBy(*keys).agg(
-        *[F.percentile(c, 0.5).alias(c) for c in ("area", "aspect", "cx", "cy", "lane_angle")]
     )
-    out = wide.filter("track is not null").join(counts, keys).join(shape, keys, "left")
+    videos = contributors(pixels, contributed, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_videos"))
+    shape = medians(shapes, keys, SHAPE)
+    out = wide.filter("track is not null").join(counts, keys).join(videos, keys, "left").join(shape, keys, "left")
     if existing is not None:
-        prev = existing.select(
-            *keys, *[F.col(c).alias(f"_{c}") for c in ("frames_used", "sand_frames_used", "videos_contributed", "area", "aspect", "cx", "cy")]
-        )
+        learned = ("area", "aspect", "cx", "cy")
+        prev = existing.select(*keys, *[F.col(c).alias(f"_{c}") for c in ("frames_used", "sand_frames_used", *learned)])
         out = out.join(prev, keys, "left").withColumns(
             {
                 **{c: F.col(c) + F.coalesce(f"_{c}", F.lit(0)) for c in ("frames_used", "sand_frames_used")},
-                "videos_contributed": F.array_union(
-                    F.coalesce("_videos_contributed", F.array().cast("array<string>")), "videos_contributed"
-                ),
-                **{c: F.coalesce(c, f"_{c}") for c in ("area", "aspect", "cx", "cy")},
+                **{c: F.coalesce(c, f"_{c}") for c in learned},
             }
-        ).drop(*[f"_{c}" for c in ("frames_used", "sand_frames_used", "videos_contributed", "area", "aspect", "cx", "cy")])
+        ).drop(*[f"_{c}" for c in ("frames_used", "sand_frames_used", *learned)])
     defaults = {"area": 0.12, "aspect": 4.0, "cx": 0.5, "cy": 0.6}
     return out.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in defaults.items()})
 

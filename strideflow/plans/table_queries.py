@@ -483,11 +483,34 @@ LEFT JOIN (SELECT CAST(CAST(video_id AS INTEGER) % 3 AS VARCHAR) AS venue_id, me
 def a11(spark, sf):
     out = VN.learn_venue(venue_pixels(spark, sf), venue_shapes(spark, sf))
     return out.select(
-        "venue_id", "frames_used", "sand_frames_used", F.size("videos_contributed").alias("videos"),
+        "venue_id", "frames_used", "sand_frames_used", F.col("n_videos").alias("videos"),
         rnd(F.col("track.mean")[0], 4).alias("track_h"), rnd(F.col("cx")).alias("cx"), rnd(F.col("area")).alias("area"),
     )
 
 
+@query(
+    "a11_contributors",
+    sql(
+        """SELECT DISTINCT venue_id, video_id FROM (SELECT venue_id, CAST(CAST(video_id AS INTEGER) // 10 AS VARCHAR) AS video_id, layer, count(*) AS n FROM pixels_v GROUP BY 1, 2, 3)
+WHERE (layer = 'track' AND n >= 50) OR (layer = 'sand' AND n >= 30)""",
+        "pixels_v",
+    ),
+)
+def a11_contributors(spark, sf):
+    return VN.contributors(venue_pixels(spark, sf))
+
+
+@query(
+    "a11_medians",
+    sql("SELECT label, round(median(embedding[1]), 6) AS x, round(median(CASE WHEN embedding[2] > 0 THEN round(embedding[2], 1) END), 6) AS y FROM embeddings GROUP BY 1"),
+)
+def a11_medians(spark, sf):
+    e = C.table(spark, sf, "embeddings")
+    y = F.round(F.col("embedding")[1].cast("double"), 1)
+    rows = e.select("label", F.col("embedding")[0].cast("double").alias("x"), F.when(F.col("embedding")[1] > 0, y).alias("y"))
+    return VN.medians(rows, ["label"], ("x", "y")).select("label", rnd(F.col("x")).alias("x"), rnd(F.col("y")).alias("y"))
+
+
 def hist_samples(spark, sf):
     return C.pixels(spark, sf).withColumns(
         {"sample_id": F.col("video_id"), "zone": F.when(F.col("layer") == "track", 0).when(F.col("layer") == "sand", 1).otherwise(2)}
