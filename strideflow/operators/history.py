@@ -7,14 +7,20 @@ off again, so the work is linear in the number of sessions per athlete.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geometry as G
 from ..functions import scores as S
 from ..functions import vectors as V
 from ..functions.pose import bind
 from ..schemas import CONTACT_PHASES, DEFAULT_FPS
+from ..session import cut_lineage
 
 SEGMENTS = ("hop_1", "hop_2", "hop_3", "hop_4")
 MIN_SESSIONS = 2
@@ -172,30 +178,35 @@ def vs_general_overall(rows: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------ consistency
 
+#: Poses of a block; two blocks are compared at once.
+POSE_BLOCK = 1024
+#: Blocks with no more pairs than this are worked on together.
+SMALL_PAIRS = 1 << 14
+
+
+def _unit_poses(poses: DataFrame) -> DataFrame:
+    """Poses that have a direction: its unit vector ``_u``, length ``_m`` and whether it has no negative feature."""
+    known = poses.filter(F.col("vec").isNotNull() & (F.size("vec") > 0)).select("athlete_id", "contact_index", "video_id", "vec")
+    usual = F.size("vec") == N_FEATURES
+    size = F.when(usual, F.sqrt(V.dot_fixed(F.col("vec"), F.col("vec"), N_FEATURES))).otherwise(V.norm(F.col("vec")))
+    sized = bind(known, {"_size": size}).filter(F.col("_size") >= 1e-9)
+    return sized.select(
+        "athlete_id", "contact_index", "video_id", F.size("vec").alias("_m"), (F.array_min("vec") >= 0).alias("_plain"), F.transform("vec", lambda v: v / F.col("_size")).alias("_u"),
+    )
+
+
 def history_similarity(current: DataFrame, history: DataFrame) -> DataFrame:
     """Mean similarity of each contact pose to the same contact of other sessions.
 
-    ``current``: athlete_id, video_id, contact_index, vec; ``history``: the same.
-    For poses without negative features every cosine is positive, so the mean is
-    the dot product with a sum of unit vectors.  Only poses with a negative
-    feature, where the score is not linear, are compared pair by pair.
+    ``current``: athlete_id, video_id, contact_index, vec; ``history``: the same.  A score is the cosine, and for a
+    negative one half of what it lacks to one is added.  The cosines add up to a dot product with the sum of all unit
+    vectors less the take's own.  What negative ones add needs pairs, but only where one pose has a negative
+    feature: blocks of current poses meet blocks of past ones as matrix products, a pair of blocks at a time.
     """
     key = ["athlete_id", "contact_index"]
-
-    def prepared(df):
-        # Norm and unit vector are made once per pose; other lengths keep none and
-        # are compared by the general rule.
-        known = df.filter(F.col("vec").isNotNull() & (F.size("vec") > 0))
-        known = bind(known, {"_size": V.norm(F.col("vec"))})
-        usual = (F.size("vec") == N_FEATURES) & (F.col("_size") >= 1e-9)
-        unit = F.array(*[F.get("vec", F.lit(i)) / F.col("_size") for i in range(N_FEATURES)])
-        # Without negative values all cosines are positive.
-        return bind(
-            known, {"_plain": usual & (F.array_min("vec") >= 0), "_u": F.when(usual, unit)}
-        ).drop("_size")
-
-    past, cur = prepared(history), prepared(current)
-    units = past.filter("_plain")
+    past = cut_lineage(_unit_poses(history))
+    cur = past if current is history else cut_lineage(_unit_poses(current))
+    units = past.filter(F.col("_m") == N_FEATURES)
 
     def sums(keys, prefix):
         return units.groupBy(*keys).agg(
@@ -204,37 +215,95 @@ def history_similarity(current: DataFrame, history: DataFrame) -> DataFrame:
         )
 
     every, own = sums(key, "_all"), sums([*key, "video_id"], "_own")
-    zero = F.array_repeat(F.lit(0.0), N_FEATURES)
-    flat = cur.filter("_plain").join(every, key).join(own, [*key, "video_id"], "left")
-    less = F.coalesce("_own_s", zero)
-    rest = F.array(*[F.get("_all_s", F.lit(i)) - F.get(less, F.lit(i)) for i in range(N_FEATURES)])
+    flat = cur.filter(F.col("_m") == N_FEATURES).join(every, key).join(own, [*key, "video_id"], "left")
+    rest = F.array(*[F.get("_all_s", F.lit(i)) - F.coalesce(F.get("_own_s", F.lit(i)), F.lit(0.0)) for i in range(N_FEATURES)])
     linear = flat.select(
         *key, "video_id",
         V.dot_fixed(F.col("_u"), rest, N_FEATURES).alias("_sim"),
         (F.col("_all_n") - F.coalesce("_own_n", F.lit(0))).alias("_cnt"),
     )
-
-    def pairs(left, right):
-        r = right.select(*key, F.col("video_id").alias("_other"), F.col("vec").alias("_v"), F.col("_u").alias("_w"))
-        both = left.join(r, key).filter(F.col("_other") != F.col("video_id"))
-        both = both.withColumn("_cos", V.dot_fixed(F.col("_u"), F.col("_w"), N_FEATURES))
-        usual = F.col("_u").isNotNull() & F.col("_w").isNotNull()
-        sim = F.when(usual, V.to_unit_range(F.col("_cos"))).otherwise(V.similarity01(F.col("vec"), F.col("_v")))
-        return both.groupBy(*key, "video_id").agg(
-            F.coalesce(F.sum(sim), F.lit(0.0)).alias("_sim"), F.count(sim).alias("_cnt")
-        )
-
-    signed = pairs(cur, past.filter("NOT _plain")).unionByName(
-        pairs(cur.filter("NOT _plain"), past.filter("_plain"))
-    )
     return (
-        linear.unionByName(signed)
+        linear.unionByName(_folded_pairs(cur, past))
         .groupBy(*key, "video_id")
         .agg(F.sum("_sim").alias("_sim"), F.sum("_cnt").alias("_cnt"))
         .select(*key, "video_id", F.when(F.col("_cnt") > 0, F.col("_sim") / F.col("_cnt")).alias("vs_history"))
     )
 
 
+def _places(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Values of a list column, and how many each row has and where they begin."""
+    sizes = np.diff(lists.offsets.to_numpy())
+    return lists.flatten(), sizes, np.append(0, np.cumsum(sizes))
+
+
+def _folding(cos: np.ndarray) -> np.ndarray:
+    """What folding adds to a negative cosine."""
+    return np.where(cos < 0, (1.0 - cos) * 0.5, 0.0)
+
+
+def _folded_pairs(cur: DataFrame, past: DataFrame) -> DataFrame:
+    """What the pairs add to the linear part: for vectors of the usual length the folding of negative cosines, for others all."""
+    key = ["athlete_id", "contact_index", "_m"]
+    counts = past.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    slots = F.ceil(F.col("_n") / POSE_BLOCK)
+    slot = F.pmod(F.xxhash64("video_id"), F.col("_slots"))
+
+    def blocks(poses: DataFrame, prefix: str) -> DataFrame:
+        placed = poses.join(counts.select(*key, slots.alias("_slots")), key).withColumn("_slot", slot)
+        return placed.groupBy(*key, "_plain", "_slot").agg(
+            F.first("_slots").alias("_slots"), F.collect_list("video_id").alias(f"{prefix}_ids"), F.flatten(F.collect_list("_u")).alias(f"{prefix}_u")
+        ).withColumnRenamed("_plain", f"{prefix}_plain")
+
+    signed = past.filter(~F.col("_plain")).select(*key).distinct()
+    # a key without a negative feature on either side has no negative cosine
+    turned = signed.union(cur.filter(~F.col("_plain") | (F.col("_m") != N_FEATURES)).select(*key).distinct()).distinct()
+    left = blocks(cur.join(turned, key, "left_semi"), "_a").withColumn("_to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_slots").cast("long") - 1))).drop("_slot", "_slots")
+    right = blocks(past.join(turned, key, "left_semi"), "_b").withColumnRenamed("_slot", "_to").drop("_slots")
+    skip = F.col("_a_plain") & F.col("_b_plain") & (F.col("_m") == N_FEATURES)
+    met = left.join(right, [*key, "_to"]).filter(~skip).select(*key, "_a_ids", "_a_u", "_b_ids", "_b_u")
+    schema = T.StructType([*(met.schema[c] for c in key[:2]), T.StructField("video_id", cur.schema["video_id"].dataType), T.StructField("_sim", T.DoubleType()), T.StructField("_cnt", T.LongType())])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            width = batch.column(2).to_numpy()
+            codes = pa.concat_arrays([batch.column(3).flatten(), batch.column(5).flatten()]).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            (ids_a, sizes_a, at_a), (ids_b, sizes_b, at_b) = (_places(batch.column(i)) for i in (3, 5))
+            codes_b = codes[len(ids_a) :]
+            units = [batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (4, 6)]
+            starts = [np.append(0, np.cumsum(sizes * width)) for sizes in (sizes_a, sizes_b)]
+            added, count = np.zeros(len(ids_a)), np.zeros(len(ids_a), np.int64)
+            small = (sizes_a * sizes_b <= SMALL_PAIRS) & (width == N_FEATURES)
+            for row in np.flatnonzero(~small).tolist():
+                a, b = (u[s[row] : s[row + 1]].reshape(-1, width[row]) for u, s in zip(units, starts))
+                mine, its = slice(at_a[row], at_a[row + 1]), slice(at_b[row], at_b[row + 1])
+                other = codes[mine][:, None] != codes_b[its][None, :]
+                cos, full = a @ b.T, width[row] != N_FEATURES
+                added[mine] = np.where(other, _folding(cos) + (np.minimum(cos, 1.0) if full else 0.0), 0.0).sum(axis=1)
+                count[mine] = other.sum(axis=1) * full
+            rows = np.flatnonzero(small)
+            if len(rows):
+                # all pairs of the small blocks side by side
+                owner = np.repeat(rows, sizes_a[rows])
+                a = np.repeat(at_a[rows], sizes_a[rows]) + np.arange(len(owner)) - np.repeat(np.cumsum(sizes_a[rows]) - sizes_a[rows], sizes_a[rows])
+                n = sizes_b[owner]
+                left = np.repeat(np.arange(len(owner)), n)
+                b = np.repeat(at_b[owner], n) + np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)
+                # where a block's numbers begin, and which of its poses it is
+                place_a = starts[0][owner] + (a - at_a[owner]) * N_FEATURES
+                place_b = starts[1][owner[left]] + (b - at_b[owner[left]]) * N_FEATURES
+                cos = np.zeros(len(left))
+                for k in range(N_FEATURES):
+                    cos += units[0][place_a[left] + k] * units[1][place_b + k]
+                fold = np.where(codes[a[left]] != codes_b[b], _folding(cos), 0.0)
+                added += np.bincount(a[left], fold, len(added))
+            group = np.repeat(np.arange(batch.num_rows), sizes_a)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(group)) for i in range(2)), ids_a, pa.array(added), pa.array(count)], schema.names)
+
+    return met.mapInArrow(compare, schema)
+
+
 def contact_poses(sessions: DataFrame) -> DataFrame:
     """Sessions as one row per contact: contact_index, phase and vec."""
     pairs = F.arrays_zip(F.col("pose_vectors").alias("vec"), F.col("contact_phases").alias("phase"))
