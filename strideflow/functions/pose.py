@@ -310,22 +310,23 @@ def ground_truth_quality(pose: str = "pose") -> Column:
     return F.when(F.coalesce(F.col("person_detected"), F.lit(False)), score).otherwise(0.0)
 
 
+def half_up(x: Column, digits: int = 3) -> Column:
+    """Rounded half up on the stored binary value: the same arithmetic wherever it runs."""
+    return F.floor(x * float(10**digits) + 0.5) / float(10**digits)
+
+
 def mask_term(mask_area: Column) -> Column:
     return F.least(F.lit(1.0), mask_area / 30000.0)
 
 
 def tracker_quality(n_valid: Column, conf: Column, mask_area: Column, sim: Column) -> Column:
     """Score of a tracked detection with pose (17 keypoints of the pose model)."""
-    return F.round(
-        0.45 * n_valid / 17.0 + 0.30 * conf + 0.15 * mask_term(mask_area) + 0.10 * sim, 3
-    )
+    return half_up(0.45 * n_valid / 17.0 + 0.30 * conf + 0.15 * mask_term(mask_area) + 0.10 * sim)
 
 
 def box_only_quality(conf: Column, mask_area: Column, sim: Column) -> Column:
     """Score when the identity is known but the pose is missing: 0.20 to 0.48."""
-    return F.round(
-        clamp(0.18 + 0.22 * conf + 0.12 * mask_term(mask_area) + 0.12 * sim, 0.20, 0.48), 3
-    )
+    return half_up(clamp(0.18 + 0.22 * conf + 0.12 * mask_term(mask_area) + 0.12 * sim, 0.20, 0.48))
 
 
 def quality_with_floor(quality: Column, detected: Column, box: Column, box_only: Column) -> Column:
@@ -353,9 +354,9 @@ def standard_keypoints(kps: str = "keypoints") -> Column:
 
 def corrected_quality(mask_area: Column) -> Column:
     """Score of a manually corrected frame whose pose could not be found: 0.2 to 0.45."""
-    return F.round(clamp(0.2 + mask_area / 60000.0, 0.2, 0.45), 3)
+    return half_up(clamp(0.2 + mask_area / 60000.0, 0.2, 0.45))
 
 
 def sot_quality(n_valid: Column, mask_area: Column) -> Column:
     """Score of a frame tracked forward from a correction."""
-    return F.round(0.45 * n_valid / 17.0 + 0.55 * mask_term(mask_area), 3)
+    return half_up(0.45 * n_valid / 17.0 + 0.55 * mask_term(mask_area))

@@ -546,6 +546,13 @@ def contacts_from_markers(markers: DataFrame, frames: DataFrame) -> DataFrame:
     )
 
 
+def marker_scores(markers: DataFrame) -> DataFrame:
+    """Confidence of the sections that are rebuilt from markers: it grows with the contacts, up to five."""
+    sheet = _marker_sheet(markers)
+    n = F.least(F.size("_hops"), F.lit(4)) + F.col("_land").isNotNull().cast("int")
+    return sheet.select("video_id", n.alias("n_contacts"), S.marker_confidence(n).alias("confidence"))
+
+
 def section_scores(contacts: DataFrame, usable: DataFrame) -> DataFrame:
     """Overall confidence of each video's sections."""
     per = contacts.groupBy("video_id").agg(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import pose
@@ -101,6 +101,19 @@ def _pct(part: Column, whole: Column) -> Column:
     return F.round(part / F.greatest(whole, F.lit(1)) * 100, 1)
 
 
+def sorted_distribution(counts: DataFrame, name: str, value: str, keys=("video_id",)) -> DataFrame:
+    """A distribution as text for display: ``name=value`` sorted by name (a few entries a key)."""
+    entry = F.struct(F.col(name).alias("n"), F.concat_ws("=", name, F.col(value).cast("string")).alias("e"))
+    listed = counts.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_l"))
+    return listed.select(*keys, F.array_join(F.transform("_l", lambda e: e["e"]), ",").alias("entries"))
+
+
+def top_rows(rows: DataFrame, k: int, order: list[Column], keys=("video_id",), rank: str = "rank") -> DataFrame:
+    """The first ``k`` rows of each key in a total order; Spark cuts each task's rows to ``k`` before the shuffle."""
+    line = Window.partitionBy(*keys).orderBy(*order)
+    return rows.withColumn(rank, F.row_number().over(line)).filter(F.col(rank) <= k)
+
+
 def angle_distribution(frames: DataFrame, keys=("video_id",)) -> DataFrame:
     """Share of each camera angle among the frames with a person, in percent."""
     counted = frames.filter("person_detected").groupBy(*keys, "camera_angle").agg(

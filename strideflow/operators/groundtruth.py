@@ -162,6 +162,19 @@ def mid_flight_reference(gt: DataFrame, frames: DataFrame) -> DataFrame:
     return j.filter(hips & ankle).select("video_id", "frame_idx", "keypoints")
 
 
+def mid_flight_choice(videos: DataFrame, references: DataFrame) -> DataFrame:
+    """Each video with the first reference of another video (``ref_video``, ``ref_frame``, ``ref_keypoints``).
+
+    Only the first two references can be chosen, so two rows are all that meets the videos.
+    """
+    first = references.orderBy("video_id").limit(2).select(
+        F.col("video_id").alias("ref_video"), F.col("frame_idx").alias("ref_frame"), F.col("keypoints").alias("ref_keypoints")
+    )
+    met = videos.select("video_id").join(F.broadcast(first), F.col("video_id") != F.col("ref_video"))
+    best = met.groupBy("video_id").agg(F.min_by(F.struct("ref_video", "ref_frame", "ref_keypoints"), "ref_video").alias("b"))
+    return best.select("video_id", "b.*")
+
+
 def _hips(kps: str):
     l, r = P.keypoint("l_hip", P.CONF_FEATURE, kps), P.keypoint("r_hip", P.CONF_FEATURE, kps)
     return (l.x + r.x) * 0.5, (l.y + r.y) * 0.5

@@ -38,18 +38,21 @@ def first_axis(keyframes: DataFrame, width=DEFAULT_WIDTH, height=DEFAULT_HEIGHT)
 
 def enrich_contacts(
     contacts: DataFrame, frames: DataFrame, keyframes: DataFrame | None = None,
-    width=DEFAULT_WIDTH, height=DEFAULT_HEIGHT,
+    width=DEFAULT_WIDTH, height=DEFAULT_HEIGHT, poses: bool = False,
 ) -> DataFrame:
     """Contacts with foot, box centre, pose, axis and position along the track.
 
     Position: stored on the contact, stored on the frame, box on the axis, foot
-    on the axis.  ``frames`` carries keypoints, person_bbox, position_s, pose.
+    on the axis.  ``frames`` carries keypoints, person_bbox, position_s.  With ``poses`` the pose is
+    worked out here, for the few frames with a contact, unless the frames have it.
     """
     src = frames.select(
         "video_id", "frame_idx", F.col("timestamp_s").alias("_ts"), F.col("position_s").alias("_pos"),
         "person_bbox", "keypoints", *(["pose"] if "pose" in frames.columns else []),
     )
     joined = contacts.join(src, ["video_id", "frame_idx"], "left")
+    if poses and "pose" not in frames.columns:
+        joined = P.pose_features(joined).withColumn("pose", F.when(F.col("keypoints").isNotNull(), F.col("pose")))
     if keyframes is not None:
         marks = keyframes.select("video_id", "frame_idx", "axis")
         joined = bracket_interpolate(joined, marks).drop("kf_idx")
@@ -299,7 +302,7 @@ def compute_metrics(
 
     ``videos`` carries corridor_m and the overrides read by :func:`resolve_scale`.
     """
-    rows = contact_arrays(enrich_contacts(contacts, frames, keyframes))
+    rows = contact_arrays(enrich_contacts(contacts, frames, keyframes, poses=True))
     rows = slot_five_rule(segments(rows))
     if phases is not None:
         rows = add_approach(rows, phases, frames)

@@ -381,6 +381,11 @@ def m3(spark, sf):
     )
 
 
+@query("m3_rebuild_confidence", sql("SELECT DISTINCT video_id, 3 AS n_contacts, 0.72::DOUBLE AS confidence FROM frames_v", "frames_v"))
+def m3_confidence(spark, sf):
+    return K.marker_scores(marker_rows(spark, sf))
+
+
 @query(
     "m3_rebuild_phases",
     sql(

@@ -341,11 +341,11 @@ def f17(spark, sf):
     "f18_tracker_quality",
     sql(
         """SELECT video_id, frame_idx, det_id,
-  round(0.45::DOUBLE * (track_id + 9) / 17 + 0.30::DOUBLE * conf + 0.15::DOUBLE * least(1.0::DOUBLE, mask_area_px / 30000.0::DOUBLE)
-    + 0.10::DOUBLE * appearance_sim, 3) AS tracked,
-  round(greatest(0.20::DOUBLE, least(0.48::DOUBLE, 0.18::DOUBLE + 0.22::DOUBLE * conf
-    + 0.12::DOUBLE * least(1.0::DOUBLE, mask_area_px / 30000.0::DOUBLE) + 0.12::DOUBLE * appearance_sim)), 3) AS box_only,
-  round(greatest(0.2::DOUBLE, least(0.45::DOUBLE, 0.2::DOUBLE + mask_area_px / 60000.0::DOUBLE)), 3) AS corrected
+  floor((0.45::DOUBLE * (track_id + 9) / 17 + 0.30::DOUBLE * conf + 0.15::DOUBLE * least(1.0::DOUBLE, mask_area_px / 30000.0::DOUBLE)
+    + 0.10::DOUBLE * appearance_sim) * 1000.0::DOUBLE + 0.5::DOUBLE) / 1000.0::DOUBLE AS tracked,
+  floor(greatest(0.20::DOUBLE, least(0.48::DOUBLE, 0.18::DOUBLE + 0.22::DOUBLE * conf
+    + 0.12::DOUBLE * least(1.0::DOUBLE, mask_area_px / 30000.0::DOUBLE) + 0.12::DOUBLE * appearance_sim)) * 1000.0::DOUBLE + 0.5::DOUBLE) / 1000.0::DOUBLE AS box_only,
+  floor(greatest(0.2::DOUBLE, least(0.45::DOUBLE, 0.2::DOUBLE + mask_area_px / 60000.0::DOUBLE)) * 1000.0::DOUBLE + 0.5::DOUBLE) / 1000.0::DOUBLE AS corrected
 FROM detections_v""",
         "detections_v",
     ),

@@ -35,7 +35,8 @@ def contacts(spark, sf):
 
 
 def metric_frames(spark, sf):
-    return posed(spark, sf).withColumn("position_s", F.when(vid() % 3 == 1, F.col("position_s")))
+    """Frames without their poses: the metrics work those out where there is a contact."""
+    return C.frames(spark, sf).withColumn("position_s", F.when(vid() % 3 == 1, F.col("position_s")))
 
 
 def metric_keyframes(spark, sf):
@@ -106,6 +107,35 @@ def e12(spark, sf):
     return full_metrics(spark, sf).select("video_id", F.inline("segments")).drop("pair")
 
 
+view(
+    "approach_v",
+    """SELECT video_id, 'approach' AS id, from_frame, to_frame, round(t1 - t0, 4) AS dt_s, round(raw.px, 2) AS length_px, raw.method AS length_method FROM (
+  SELECT video_id, from_frame, to_frame, t0, t1, CASE WHEN pos0 IS NOT NULL AND pos IS NOT NULL THEN {'px': abs(pos - pos0), 'method': 'position_s'}
+    WHEN v % 3 = 0 AND n > 0 AND fx0 IS NOT NULL AND foot_px IS NOT NULL THEN {'px': abs((foot_px - fx0) * dx / n + (foot_py - fy0) * dy / n), 'method': 'foot_axis'}
+    WHEN fx0 IS NOT NULL AND foot_px IS NOT NULL THEN {'px': CASE WHEN abs(foot_px - fx0) >= abs(foot_py - fy0) * 0.5 THEN abs(foot_px - fx0) ELSE sqrt((foot_px - fx0)**2 + (foot_py - fy0)**2) END, 'method': 'foot_dx'}
+    WHEN cx0 IS NOT NULL AND bx1 IS NOT NULL THEN {'px': sqrt(((bx1 + bx2) / 2 - cx0)**2 + ((by1 + by2) / 2 - cy0)**2), 'method': 'bbox_center'} ELSE {'px': NULL, 'method': 'none'} END AS raw
+  FROM (SELECT c.*, CAST(c.video_id AS INTEGER) AS v, a.frame_idx AS from_frame, c.frame_idx AS to_frame, a.timestamp_s AS t0, c.timestamp_s AS t1, a.foot_px AS fx0, a.foot_py AS fy0, (a.bx1 + a.bx2) / 2 AS cx0, (a.by1 + a.by2) / 2 AS cy0,
+      CASE CAST(c.video_id AS INTEGER) % 3 WHEN 1 THEN a.position_s WHEN 0 THEN (a.bx1 + a.bx2) / 2 * (dx / n) + a.by2 * (dy / n) - (ox * 1280 * (dx / n) + oy * 720 * (dy / n)) END AS pos0
+    FROM contacts_v c JOIN foot_v a ON a.video_id = c.video_id AND a.frame_idx = 3 WHERE c.idx = 1 AND CAST(c.video_id AS INTEGER) % 2 = 0))""",
+    "contacts_v", "foot_v",
+)
+
+
+@query(
+    "e12_approach",
+    sql(
+        """SELECT video_id, id, from_frame, to_frame, dt_s, length_px, length_method FROM approach_v
+UNION ALL SELECT video_id, id, from_frame, to_frame, dt_s, length_px, length_method FROM segments_v""",
+        "approach_v", "segments_v",
+    ),
+)
+def e12_approach(spark, sf):
+    some = C.frames(spark, sf).select("video_id").distinct().filter(vid() % 2 == 0)
+    phases = some.select("video_id", F.lit("approach").alias("phase"), F.lit(3).alias("start_frame"), F.lit(29).alias("end_frame"))
+    full = MT.compute_metrics(contacts(spark, sf), metric_frames(spark, sf), metric_videos(spark, sf), metric_keyframes(spark, sf), phases)
+    return full.select("video_id", F.inline("segments")).select("video_id", "id", "from_frame", "to_frame", "dt_s", "length_px", "length_method")
+
+
 @query(
     "e13_hop_slots",
     sql(
@@ -117,7 +147,7 @@ def e12(spark, sf):
 )
 def e13(spark, sf):
     rows = MT.contact_arrays(
-        MT.enrich_contacts(contacts(spark, sf), metric_frames(spark, sf).drop("pose"), metric_keyframes(spark, sf))
+        MT.enrich_contacts(contacts(spark, sf), metric_frames(spark, sf), metric_keyframes(spark, sf))
     )
     out = MT.slot_five_rule(MT.segments(rows))
     return out.select("video_id", F.posexplode("hop_px").alias("slot", "px")).withColumn("slot", F.col("slot") + 1)
@@ -170,7 +200,7 @@ def m7_snapshot(spark, sf):
 )
 def j22(spark, sf):
     rows = MT.contact_arrays(
-        MT.enrich_contacts(contacts(spark, sf), metric_frames(spark, sf).drop("pose"), metric_keyframes(spark, sf))
+        MT.enrich_contacts(contacts(spark, sf), metric_frames(spark, sf), metric_keyframes(spark, sf))
     )
     return MT.segments(rows).select("video_id", F.inline("segments")).select(
         "video_id", "from_frame", "to_frame", "length_px", "length_method"
@@ -279,7 +309,7 @@ view(
     ),
 )
 def a9(spark, sf):
-    rows = MT.contact_arrays(MT.enrich_contacts(contacts(spark, sf), metric_frames(spark, sf)))
+    rows = MT.contact_arrays(MT.enrich_contacts(contacts(spark, sf), metric_frames(spark, sf), poses=True))
     out = MT.pose_quality(rows, posed(spark, sf), prototypes(spark, sf))
     return out.select(
         "video_id", "from_frame", "to_frame",

@@ -3,15 +3,18 @@ E25, S7), venue colours (A10, A11, A21, A22, A24, F32, F33, F45), catalogue (S8,
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..operators import edits as ED
+from ..operators import frames as FR
 from ..operators import groundtruth as GT
 from ..operators import library as LB
 from ..operators import masks as M
 from ..operators import metrics as MT
 from ..operators import venue as VN
+from ..schemas import KEYPOINTS
 from ..sources import readers as RD
 from ..sources import writers as WR
 from . import carriers as C
@@ -103,7 +106,48 @@ def k7(spark, sf):
     return GT.seed_gt(gt_seeds(spark, sf), posed(spark, sf), gt_markers(spark, sf).filter("frame_idx = 84"))
 
 
-@query("j18_reference_pose")
+@query(
+    "m6_stamp_scale",
+    sql(
+        """SELECT video_id, frame_idx, CASE WHEN CAST(video_id AS INTEGER) % 2 = 0 AND frame_idx = min(frame_idx) OVER (PARTITION BY video_id) THEN 7.5 ELSE known_distance_m END::DOUBLE AS known_distance_m FROM keyframes_v
+UNION ALL SELECT 'no keyframes', 0, 7.5""",
+        "keyframes_v",
+    ),
+)
+def m6_scale(spark, sf):
+    k = C.keyframes(spark, sf)
+    some = k.filter(F.col("video_id").cast("int") % 2 == 0).select("video_id").distinct()
+    known = F.struct(F.lit(7.5).alias("known_distance_m"), *[F.lit(0.5).alias(c) for c in ("ax", "ay", "bx", "by")])
+    scales = some.union(spark.createDataFrame([("no keyframes",)], "video_id string")).withColumn("scale", known)
+    return ED.stamp_scale(k, scales).select("video_id", "frame_idx", F.col("scale.known_distance_m").alias("known_distance_m"))
+
+
+@query(
+    "m6_venue_corridor",
+    "SELECT CAST(n_nationkey AS VARCHAR) AS venue_id, coalesce((SELECT max(s_acctbal) FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 0), 10.0) AS scale_m FROM nation",
+)
+def m6_corridor(spark, sf):
+    venues = C.table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("venue_id"), F.lit(10.0).alias("scale_m"))
+    changed = C.table(spark, sf, "supplier").filter("s_acctbal > 0").select(F.col("s_nationkey").cast("string").alias("venue_id"), F.col("s_acctbal").alias("hops_corridor_m"))
+    return ED.venue_corridor(venues, changed).select("venue_id", "scale_m")
+
+
+@query(
+    "j18_reference_pose",
+    sql(
+        """SELECT video_id, phase, b.v AS ref_video, b.f AS ref_frame, round(b.d, 6) AS distance FROM (
+  SELECT a.video_id, a.phase, min({'t': c.tier, 'o': CASE WHEN c.video_id = a.video_id THEN 1 ELSE 0 END, 'a': -ok, 'q': -q, 'd': sqrt(list_sum(list_transform(range(1, 15), lambda i: (a.vec[i] - c.vec[i])**2))), 'v': c.video_id, 'f': c.frame_idx}) AS b
+  FROM (SELECT video_id, phase, arg_min(feature_vector, frame_idx) AS vec FROM gt_v GROUP BY 1, 2) a
+  JOIN (SELECT 0 AS tier, phase AS pool, * FROM gt_rank_v UNION ALL SELECT 1, 'any', * FROM gt_rank_v WHERE pose_tag = 'hop_contact') c ON c.pool = a.phase OR c.tier = 1 GROUP BY 1, 2)""",
+        "gt_v", "gt_rank_v",
+    )
+    if view(
+        "gt_rank_v",
+        "SELECT video_id, frame_idx, phase, pose_tag, feature_vector AS vec, CASE WHEN camera_angle IN ('LATERAL', 'SEMI_BACK', 'SEMI_FRONT') THEN 1 ELSE 0 END AS ok, coalesce(quality_score, 0) AS q FROM gt_v",
+        "gt_v",
+    )
+    else None,
+)
 def j18(spark, sf):
     gt = proto_source(spark, sf)
     now = gt.select("video_id", "phase", "frame_idx", F.col("feature_vector").alias("vec"))
@@ -111,12 +155,48 @@ def j18(spark, sf):
     return GT.reference_pose(now, gt).withColumn("distance", rnd(F.col("distance")))
 
 
-@query("j19_mid_flight_reference")
+view(
+    "mid_flight_v",
+    """SELECT video_id, frame_idx FROM (SELECT e.video_id, min({'d': abs(f.frame_idx - e.t), 'f': f.frame_idx}).f AS frame_idx FROM (
+    SELECT video_id, max(frame_idx) FILTER (phase = 'hop_4') + (max(frame_idx) FILTER (phase = 'landing') - max(frame_idx) FILTER (phase = 'hop_4')) // 2 AS t FROM gt_v GROUP BY 1
+    HAVING max(frame_idx) FILTER (phase = 'landing') > max(frame_idx) FILTER (phase = 'hop_4') + 2) e
+  JOIN frames_v f ON f.video_id = e.video_id AND abs(f.frame_idx - e.t) <= 8 GROUP BY 1) n
+WHERE EXISTS (SELECT 1 FROM frames_v f WHERE f.video_id = n.video_id AND f.frame_idx = n.frame_idx AND l_hip_c >= 0.35 AND r_hip_c >= 0.35 AND (l_ankle_c >= 0.35 OR r_ankle_c >= 0.35))""".replace("min({'d': abs(f.frame_idx - e.t), 'f': f.frame_idx}).f", "(min({'d': abs(f.frame_idx - e.t), 'f': f.frame_idx})).f"),
+    "gt_v", "frames_v",
+)
+
+
+@query("j19_mid_flight_reference", sql("SELECT * FROM mid_flight_v", "mid_flight_v"))
 def j19(spark, sf):
     return GT.mid_flight_reference(proto_source(spark, sf), C.frames(spark, sf)).select("video_id", "frame_idx")
 
 
-@query("j20_prefer_pass")
+@query(
+    "j19_mid_flight_choice",
+    sql(
+        """SELECT v.video_id, r.video_id AS ref_video, r.frame_idx AS ref_frame FROM (SELECT DISTINCT video_id FROM frames_v) v JOIN mid_flight_v r
+  ON r.video_id = (SELECT min(x.video_id) FROM mid_flight_v x WHERE x.video_id <> v.video_id)""",
+        "mid_flight_v", "frames_v",
+    ),
+)
+def j19_choice(spark, sf):
+    refs = GT.mid_flight_reference(proto_source(spark, sf), C.frames(spark, sf))
+    return GT.mid_flight_choice(C.frames(spark, sf).select("video_id").distinct(), refs).select("video_id", "ref_video", "ref_frame")
+
+
+@query(
+    "j20_prefer_pass",
+    sql(
+        """SELECT video_id, b.p AS pass, round(b.s, 6) AS score FROM (SELECT video_id, max({'s': CASE WHEN m IS NULL THEN 0.01 ELSE m + CASE WHEN pass = 'refined' THEN 0.05 ELSE 0 END END, 'p': pass}) AS b FROM (
+  SELECT video_id, pass, avg((n).q) AS m FROM (SELECT s.video_id, f.pass, s.t, min({'d': abs(f.frame_idx - s.t), 'f': f.frame_idx, 'q': f.q}) AS n
+    FROM (SELECT video_id, frame_idx + 1 AS t FROM frames_v WHERE frame_idx IN (31, 60, 87, 111, 138)) s
+    JOIN (SELECT video_id, frame_idx, q, unnest(CASE WHEN frame_idx % 2 = 0 THEN ['first', 'refined'] ELSE ['first'] END) AS pass FROM (SELECT video_id, frame_idx, CASE WHEN NOT person_detected THEN 0 ELSE 0.4::DOUBLE
+        + CASE WHEN camera_angle IN ('LATERAL', 'SEMI_BACK') THEN 0.35::DOUBLE ELSE 0 END + CASE WHEN usable_for_analysis THEN 0.15::DOUBLE ELSE 0 END
+        + CASE WHEN camera_angle = 'LATERAL' THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN valid THEN 0.2::DOUBLE * pose_quality ELSE 0 END END AS q FROM pose_v)) f
+      ON f.video_id = s.video_id AND abs(f.frame_idx - s.t) <= 6 GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY 1)""",
+        "pose_v", "frames_v",
+    ),
+)
 def j20(spark, sf):
     f = posed(spark, sf).withColumn("pass", F.lit("first"))
     both = f.unionByName(f.filter(F.col("frame_idx") % 2 == 0).withColumn("pass", F.lit("refined")))
@@ -127,11 +207,28 @@ def j20(spark, sf):
 def j23(spark, sf):
     from .metric_queries import contacts, metric_frames
 
-    rows = MT.contact_arrays(MT.enrich_contacts(contacts(spark, sf), metric_frames(spark, sf)))
+    rows = MT.contact_arrays(MT.enrich_contacts(contacts(spark, sf), metric_frames(spark, sf), poses=True))
     return GT.phase_frame(MT.pose_quality(rows, posed(spark, sf), prototypes(spark, sf)), contacts(spark, sf))
 
 
-@query("f34_align_pose")
+def _aligned_sql() -> str:
+    """The reference's sure keypoints, moved and scaled onto the current hips."""
+    def far(p):
+        joints = ("l_ankle", "r_ankle", "l_knee", "r_knee", "l_shoulder", "r_shoulder")
+        return f"greatest({', '.join(f'CASE WHEN {p}.{j}_c >= 0.35 THEN sqrt(({p}.{j}_x - {p}.hx)**2 + ({p}.{j}_y - {p}.hy)**2) END' for j in joints)})"
+
+    hips = "SELECT *, CASE WHEN l_hip_c >= 0.35 AND r_hip_c >= 0.35 THEN (l_hip_x + r_hip_x) * 0.5 END AS hx, CASE WHEN l_hip_c >= 0.35 AND r_hip_c >= 0.35 THEN (l_hip_y + r_hip_y) * 0.5 END AS hy FROM frames_v"
+    parts = " UNION ALL ".join(
+        f"SELECT video_id, frame_idx, '{n}' AS name, chx + ({n}_x - hx) * cs / rs AS x, chy + ({n}_y - hy) * cs / rs AS y FROM m WHERE {n}_c >= 0.35" for n in KEYPOINTS
+    )
+    return (
+        f"WITH h AS ({hips}), m AS (SELECT c.video_id, c.frame_idx, c.hx AS chx, c.hy AS chy, {far('c')} AS cs, {far('r')} AS rs, r.* EXCLUDE (video_id, frame_idx) "
+        f"FROM h c JOIN h r ON r.video_id = c.video_id AND r.frame_idx = 60) SELECT video_id, frame_idx, name, round(x, 4) AS x, round(y, 4) AS y FROM ({parts}) "
+        "WHERE (video_id, frame_idx) IN (SELECT (video_id, frame_idx) FROM m WHERE cs >= 8 AND rs >= 8)"
+    )
+
+
+@query("f34_align_pose", sql(_aligned_sql(), "frames_v"))
 def f34(spark, sf):
     f = C.frames(spark, sf).select("video_id", "frame_idx", "keypoints")
     ref = f.filter("frame_idx = 60").select("video_id", F.col("keypoints").alias("ref_keypoints"))
@@ -556,6 +653,58 @@ def a22(spark, sf):
     return VN.appearance_similarity(d).withColumn("similarity", rnd(F.col("similarity"), 5))
 
 
+view(
+    "zone_dist_v",
+    """SELECT cand_id, ref_id, sum(w * CASE WHEN a IS NULL OR b IS NULL THEN 0.5 ELSE sqrt(greatest(0, 1 - coalesce(bc, 0) / sqrt(a * b))) END) AS distance FROM (
+  SELECT p.cand_id, p.ref_id, z.w, a.m AS a, b.m AS b, s.bc FROM (SELECT a.video_id AS cand_id, b.video_id AS ref_id FROM (SELECT DISTINCT video_id FROM pixels_v) a JOIN (SELECT DISTINCT video_id FROM pixels_v) b
+      ON CAST(b.video_id AS INTEGER) - CAST(a.video_id AS INTEGER) IN (1, 2, 5, 6)) p CROSS JOIN (VALUES (0, 0.10::DOUBLE), (1, 0.60::DOUBLE), (2, 0.30::DOUBLE)) z(z, w)
+  LEFT JOIN (SELECT sample_id, zone, sum(weight) AS m FROM hist_v GROUP BY 1, 2) a ON a.sample_id = p.cand_id AND a.zone = z.z
+  LEFT JOIN (SELECT sample_id, zone, sum(weight) AS m FROM hist_v GROUP BY 1, 2) b ON b.sample_id = p.ref_id AND b.zone = z.z
+  LEFT JOIN (SELECT g.sample_id AS g, h.sample_id AS h, g.zone, sum(sqrt(g.weight * h.weight)) AS bc FROM hist_v g JOIN hist_v h ON h.zone = g.zone AND h.bin = g.bin AND CAST(h.sample_id AS INTEGER) - CAST(g.sample_id AS INTEGER) BETWEEN 1 AND 6 GROUP BY 1, 2, 3) s
+    ON s.g = p.cand_id AND s.h = p.ref_id AND s.zone = z.z) GROUP BY 1, 2""",
+    "hist_v", "pixels_v",
+)
+
+
+def pairs_apart(spark, sf, *apart):
+    """Each sample with those that follow it at the given distances."""
+    s = C.pixels(spark, sf).select("video_id").distinct()
+    step = F.explode(F.array(*[F.lit(d) for d in apart]))
+    placed = s.select(F.col("video_id").alias("cand_id"), step.alias("_d")).withColumn("ref_id", (F.col("cand_id").cast("int") + F.col("_d")).cast("string"))
+    return placed.join(s.select(F.col("video_id").alias("ref_id")), "ref_id", "left_semi").select("cand_id", "ref_id")
+
+
+@query(
+    "a22_negative_penalty",
+    sql(
+        """SELECT p.cand_id, round(greatest(0, least(1, 1 - p.m)) * greatest(0.4, least(1, 1 - 0.6 * CASE WHEN n.m IS NULL THEN 0 ELSE greatest(0, least(1, 1 - n.m)) END)), 5) AS similarity FROM
+  (SELECT cand_id, median(distance) AS m FROM zone_dist_v WHERE CAST(ref_id AS INTEGER) - CAST(cand_id AS INTEGER) <= 2 GROUP BY 1) p
+  LEFT JOIN (SELECT cand_id, min(distance) AS m FROM zone_dist_v WHERE CAST(ref_id AS INTEGER) - CAST(cand_id AS INTEGER) >= 5 GROUP BY 1) n ON n.cand_id = p.cand_id""",
+        "zone_dist_v",
+    ),
+)
+def a22_penalty(spark, sf):
+    h = VN.histogram(hist_samples(spark, sf), (8, 8, 8))
+    near, far = (VN.zone_distance(h, h, pairs_apart(spark, sf, *d)) for d in ((1, 2), (5, 6)))
+    return VN.appearance_similarity(near, far).withColumn("similarity", rnd(F.col("similarity"), 5))
+
+
+@query(
+    "a22_mean_reference",
+    sql(
+        """SELECT video_id, zone, bin, round(sum(weight) / any_value(n), 6) AS weight FROM (SELECT *, count(DISTINCT ref_age) OVER (PARTITION BY video_id) AS n FROM (
+  SELECT CAST(sample_id AS INTEGER) // 20 AS video_id, dense_rank() OVER (PARTITION BY CAST(sample_id AS INTEGER) // 20 ORDER BY CAST(sample_id AS INTEGER) DESC) AS ref_age, zone, bin, weight FROM hist_v) WHERE ref_age <= 10) GROUP BY 1, 2, 3""",
+        "hist_v",
+    ),
+)
+def a22_mean(spark, sf):
+    h = VN.histogram(hist_samples(spark, sf), (8, 8, 8))
+    number = F.col("sample_id").cast("int")
+    age = F.dense_rank().over(Window.partitionBy("video_id").orderBy(number.desc()))
+    refs = h.withColumn("video_id", F.floor(number / 20).cast("int")).withColumn("ref_age", age)
+    return VN.mean_reference(refs).withColumn("weight", rnd(F.col("weight")))
+
+
 def regions(spark, sf):
     d = C.detections(spark, sf)
     return d.select(
@@ -612,19 +761,22 @@ def catalog_parts(spark, sf):
     c = C.table(spark, sf, "customer")
     o = C.table(spark, sf, "orders")
     videos = c.select(F.col("c_custkey").alias("video_id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("duration_s"))
-    passes = o.filter("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("video_id"), F.when(F.col("o_orderkey") % 2 == 0, "first").otherwise("refined").alias("pass"))
-    meta = c.filter("c_custkey % 4 = 0").select(F.col("c_custkey").alias("video_id"), F.when(F.col("c_custkey") % 8 == 0, F.concat(F.lit(" "), "c_mktsegment")).otherwise("  ").alias("athlete_id"), F.lit("n").alias("note"), F.lit(None).cast("string").alias("date"))
-    sections = c.filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("video_id"), F.lit("from_sections").alias("athlete_id"))
+    # every order is a pass of its customer's video; what kind it is says its priority
+    kind = F.when(F.col("o_orderpriority") == "1-URGENT", "first").when(F.col("o_orderpriority") == "2-HIGH", "refined").otherwise("preview")
+    passes = o.select(F.col("o_custkey").alias("video_id"), kind.alias("pass"))
+    named = F.when(F.col("c_mktsegment") != "MACHINERY", F.concat(F.lit(" "), "c_mktsegment")).otherwise("  ")
+    meta = c.filter("c_acctbal < 1500").select(F.col("c_custkey").alias("video_id"), named.alias("athlete_id"), F.lit("n").alias("note"), F.lit(None).cast("string").alias("date"))
+    sections = c.filter("c_nationkey < 9").select(F.col("c_custkey").alias("video_id"), F.lit("from_sections").alias("athlete_id"))
     metrics = c.select(F.col("c_custkey").alias("video_id"), F.lit("from_metrics").alias("athlete_id"))
     return videos, passes, meta, sections, metrics
 
 
 view(
     "catalog_v",
-    """SELECT video_id, name, has_analysis, has_refined, CASE WHEN video_id % 4 = 0 THEN CASE WHEN video_id % 8 = 0 THEN seg END
-  WHEN has_analysis THEN CASE WHEN video_id % 3 = 0 THEN 'from_sections' ELSE 'from_metrics' END END AS athlete_id FROM (
-  SELECT c_custkey AS video_id, c_name AS name, c_mktsegment AS seg, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 6 = 0) AS has_analysis,
-    EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 6 = 3) AS has_refined FROM customer)""",
+    """SELECT video_id, name, has_analysis, has_refined, CASE WHEN balance < 1500 THEN CASE WHEN seg <> 'MACHINERY' THEN seg END
+  WHEN has_analysis THEN CASE WHEN nation < 9 THEN 'from_sections' ELSE 'from_metrics' END END AS athlete_id FROM (
+  SELECT c_custkey AS video_id, c_name AS name, c_mktsegment AS seg, c_acctbal AS balance, c_nationkey AS nation, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT') AS has_analysis,
+    EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '2-HIGH') AS has_refined FROM customer)""",
 )
 
 
@@ -677,8 +829,19 @@ def o1(spark, sf):
 )
 def o4(spark, sf):
     n = analysed(spark, sf).groupBy("video_id", "camera_angle").agg(F.count(F.lit(1)).alias("n"))
-    listed = n.groupBy("video_id").agg(F.sort_array(F.collect_list(F.concat_ws("=", "camera_angle", F.col("n").cast("string")))).alias("e"))
-    return listed.select("video_id", F.concat_ws(",", "e").alias("entries"))
+    return FR.sorted_distribution(n, "camera_angle", "n")
+
+
+@query(
+    "o2_top_rows",
+    sql(
+        """SELECT video_id, frame_idx, det_id, rank FROM (SELECT video_id, frame_idx, det_id, CAST(row_number() OVER (PARTITION BY video_id ORDER BY conf DESC, mask_area_px DESC, frame_idx, det_id) AS INTEGER) AS rank FROM detections_v) WHERE rank <= 12""",
+        "detections_v",
+    ),
+)
+def o2(spark, sf):
+    order = [F.col("conf").desc(), F.col("mask_area_px").desc(), F.col("frame_idx"), F.col("det_id")]
+    return FR.top_rows(C.detections(spark, sf), 12, order).select("video_id", "frame_idx", "det_id", "rank")
 
 
 @query("a18_panel")
@@ -686,7 +849,7 @@ def a18(spark, sf):
     from .metric_queries import contacts, full_metrics, metric_frames
 
     segs = full_metrics(spark, sf).select("video_id", F.inline("segments"))
-    rows = MT.contact_arrays(MT.enrich_contacts(contacts(spark, sf), metric_frames(spark, sf)))
+    rows = MT.contact_arrays(MT.enrich_contacts(contacts(spark, sf), metric_frames(spark, sf), poses=True))
     hops = MT.pose_quality(rows, posed(spark, sf), prototypes(spark, sf)).select("video_id", F.inline("hops"))
     none = segs.select("video_id", F.col("id").alias("segment"), F.lit(None).cast("double").alias("speed_delta_ms"), F.lit("+").alias("indicator"))
     return LB.panel_rows(segs, none, hops.select("video_id", "phase", "score", "frame_idx"))

@@ -152,34 +152,128 @@ def streaming_video_summary(frames: DataFrame, window: str = "1 minute", delay:
     )
 
 
-def streaming_job_state(events: DataFrame) -> DataFrame:
-    """Latest progress of each job (use in update mode)."""
-    fields = ["status", "stage", "percent", "current_frame", "total_frames", "message"]
-    latest = F.max_by(F.struct(*fields), "event_time")
-    return events.groupBy("job_id").agg(latest.alias("s"), F.max("event_time").alias("event_time")).select(
-        "job_id", "event_time", "s.*"
+JOB_FIELDS = ("status", "stage", "percent", "current_frame", "total_frames", "message")
+
+
+def streaming_job_state(events: DataFrame, keep: str = "7 days", delay: str = "10 minutes") -> DataFrame:
+    """Latest progress of each job (use in update mode; a job's row is upserted by job_id).
+
+    A job's state is kept until the watermark has passed its last event by ``keep``; then it ends, so the state
+    holds the jobs of that time and not all there ever were.  An event that comes even later starts anew.
+    """
+    kept_ms = int(pd.Timedelta(keep).total_seconds() * 1000)
+    kinds = {f.name: f.dataType.simpleString() for f in events.select(*JOB_FIELDS).schema.fields}
+    timed = events.withColumn("event_time", F.col("event_time").cast("timestamp"))
+    rows = timed.withWatermark("event_time", delay).select("job_id", "event_time", *JOB_FIELDS)
+
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get if state.exists else None
+        news = False
+        for batch in batches:
+            times = batch["event_time"].astype("datetime64[us]").astype("int64").to_numpy()
+            for at in np.argsort(times, kind="stable")[-1:]:
+                if last is None or times[at] >= last[0]:
+                    last, news = (int(times[at]), *(_plain(batch[f].iloc[at]) for f in JOB_FIELDS)), True
+        if last is None:
+            return
+        state.update(last)
+        state.setTimeoutTimestamp(max(last[0] // 1000 + kept_ms, state.getCurrentWatermarkMs() + 1))
+        if news:
+            yield pd.DataFrame([(key[0], pd.Timestamp(last[0], unit="us"), *last[1:])], columns=["job_id", "event_time", *JOB_FIELDS])
+
+    fields = ", ".join(f"{n} {k}" for n, k in kinds.items())
+    return rows.groupBy("job_id").applyInPandasWithState(
+        step, f"job_id string, event_time timestamp, {fields}", f"at long, {fields}", "update", GroupStateTimeout.EventTimeTimeout
     )
 
 
+def _plain(value):
+    """A value that a state row takes: Python's own kinds, None for nothing."""
+    if value is None or (isinstance(value, float) and np.isnan(value)):
+        return None
+    return value.item() if isinstance(value, np.generic) else value
+
+
 def streaming_color_moments(pixels: DataFrame) -> DataFrame:
     """Colour sums per venue and layer (use in update or complete mode)."""
     return VN.color_moments(pixels)
 
 
-def upsert_color_model(path: str):
+#: Batches after which the stored sums are folded into one table.
+FOLD_AFTER = 50
+
+
+def upsert_color_model(path: str, fold_after: int = FOLD_AFTER):
     """``foreachBatch`` function: add a batch's sums to the stored ones.
 
-    Each batch writes its own folder of sums, named by the batch id, so a
-    repeated batch replaces itself and the totals stay exact; readers merge the
-    folders (a handful of rows each).
+    Each batch writes its own folder of sums, named by the batch id, so a repeated batch replaces itself and the
+    totals stay exact.  After ``fold_after`` batches the folders are folded into one table; the file that names it
+    is renamed into place, which readers see at once or not at all, and only then are the folded folders removed.
+    So the number of folders stays flat, and a fold that dies half-way leaves everything as it was.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        sums = VN.color_moments(batch)
-        sums.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark = batch.sparkSession
+        upto, folded = _pointer(spark, path)
+        if batch_id <= upto:  # a repeated batch that was folded already
+            return
+        VN.color_moments(batch).coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        loose = _loose(spark, path, upto)
+        if len(loose) < fold_after:
+            return
+        table = f"{path}/folded-{batch_id}"
+        _moments(spark, path).coalesce(1).write.mode("overwrite").parquet(table)
+        _point(spark, path, batch_id, table)
+        for old in [*(f"{path}/batch={b}" for b in loose), *([folded] if folded else [])]:
+            _files(spark, old)[0].delete(_files(spark, old)[1], True)
 
     return write
 
 
+def _files(spark, path: str):
+    """Hadoop's file system of a path, and the path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _pointer(spark, path: str) -> tuple[int, str | None]:
+    """The last folded batch and the table of what is folded."""
+    system, at = _files(spark, f"{path}/folded")
+    if not system.exists(at):
+        return -1, None
+    number, table = spark.read.text(f"{path}/folded").first()[0].split(" ", 1)
+    return int(number), table
+
+
+def _point(spark, path: str, batch_id: int, table: str) -> None:
+    system, target = _files(spark, f"{path}/folded")
+    fresh = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/folded.{batch_id}")
+    out = system.create(fresh, True)
+    out.write(bytearray(f"{batch_id} {table}\n".encode()))
+    out.close()
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration())
+    overwrite = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(fresh, target, overwrite)
+
+
+def _loose(spark, path: str, upto: int) -> list[int]:
+    """Batches that are not folded yet."""
+    system, at = _files(spark, path)
+    if not system.exists(at):
+        return []
+    names = [s.getPath().getName() for s in system.listStatus(at)]
+    return sorted(n for n in (int(x.split("=")[1]) for x in names if x.startswith("batch=")) if n > upto)
+
+
+def _moments(spark, path: str) -> DataFrame:
+    upto, folded = _pointer(spark, path)
+    tables = [*([folded] if folded else []), *(f"{path}/batch={b}" for b in _loose(spark, path, upto))]
+    return VN.merge_moments(spark.read.parquet(*tables))
+
+
 def read_color_model(spark, path: str) -> DataFrame:
-    parts = spark.read.parquet(path).drop("batch")
-    return VN.stats_from_moments(VN.merge_moments(parts))
+    """Mean and deviation per venue and layer from all stored sums."""
+    return VN.stats_from_moments(_moments(spark, path))
