@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geometry as G
 from ..functions import scores as S
 from ..schemas import STATES, USABLE_ANGLES
+from .chunks import arrow_schema, framed
 from .sequence import positions, progress, run_state_machine, scan
 
 # Limits of the trackers.
@@ -358,33 +360,36 @@ def _overlaps(boxes: np.ndarray, other: np.ndarray) -> np.ndarray:
     return np.where(shared > 0, shared / np.where(areas > 0, areas, 1.0), 0.0)
 
 
-def _frames_in_order(batches: Iterator[pd.DataFrame], run_keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    """(run, rows of one frame) of sorted rows; only the last frame of a batch is held back."""
-    held = None
-    for batch in batches:
-        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-        if rows.empty:
-            continue
-        mark = rows[[*run_keys, "seq"]]
-        edges = np.append(np.flatnonzero((mark != mark.shift()).any(axis=1)), len(rows))
-        for first, last in zip(edges[:-2], edges[1:-1]):
-            yield tuple(mark.iloc[first, :-1]), rows.iloc[first:last]
-        held = rows.iloc[edges[-2] :]
-    if held is not None:
-        yield tuple(held[run_keys].iloc[0]), held
+def _numbers(rows: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    """Columns as arrays; nothing is NaN, or False."""
+    out = []
+    for name in names:
+        column = rows.column(rows.schema.get_field_index(name))
+        if column.null_count:
+            column = column.fill_null(False) if pa.types.is_boolean(column.type) else column.cast(pa.float64())
+        out.append(column.to_numpy(zero_copy_only=False))
+    return out
 
 
-def _boxes(rows: pd.DataFrame) -> np.ndarray:
-    return rows[["x1", "y1", "x2", "y2"]].to_numpy(float)
+def _box_table(rows: pa.RecordBatch) -> np.ndarray:
+    return np.stack(_numbers(rows, "x1", "y1", "x2", "y2"), axis=1).astype(float)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k.type) for c, k in zip(zip(*rows), schema)], schema=schema)
+
+
+#: How many chosen boxes a frame of the landing zone looks back on; elsewhere it is the last one.
+HISTORY = 4
 
 
 def refine_v2_select(frames: DataFrame, detections: DataFrame, masks: bool = True) -> DataFrame:
     """Choice per frame that leans on the boxes chosen before.
 
-    Early and middle frames look at the last chosen box, landing frames at the
-    last four.  A frame with a single eligible detection needs no history, so
-    outside the landing zone the sequence is cut behind such frames: runs are
-    independent, and inside a run a four-box state is carried over sorted rows.
+    Early and middle frames look at the last chosen box, landing frames at the last four.  A frame with a single
+    eligible detection is chosen whatever came before.  So the sequence is cut where all that a frame and the ones
+    behind it look back on are such frames: one, or four where a landing frame is near.  A run begins with these
+    frames as they are and is walked over sorted rows with four boxes in hand.
     """
     zoned = progress(frames.select("video_id", "frame_idx").distinct()).select(
         "video_id", "frame_idx", S.zone(F.col("progress")).alias("zone")
@@ -404,45 +409,63 @@ def refine_v2_select(frames: DataFrame, detections: DataFrame, masks: bool = Tru
     per = d.groupBy("video_id", "frame_idx").agg(
         F.first("zone").alias("zone"), F.count(F.lit(1)).alias("_n"), F.min(box_of()).alias("_only"), best_two.alias("_two")
     )
-    single = F.when(F.col("_n") == 1, F.col("_only"))
-    seen = F.struct(F.coalesce(F.col("_n") == 1, F.lit(False)).alias("one"), single.alias("box"))
-    linked = scan(per, ["video_id"], ["frame_idx"], before={"_prev": seen})
-    cut = F.col("_prev").isNull() | (F.col("_prev.one") & (F.col("zone") != "landing"))
-    runs = scan(
-        linked.withColumn("_cut", cut), ["video_id"], ["frame_idx"],
-        through={"run": F.when(F.col("_cut"), F.col("frame_idx"))},
+    placed = positions(per, ["video_id"], ["frame_idx"], pos="_pos", count="_rows")
+    seen = scan(
+        placed, ["video_id"], ["frame_idx"], before={"_busy": F.when(F.col("_n") > 1, F.col("_pos"))},
+        totals={"_landing": ("min", F.when(F.col("zone") == "landing", F.col("_pos")))},
+    )
+    reach = F.when(F.col("_pos") + HISTORY - 1 >= F.col("_landing"), HISTORY).otherwise(1)
+    cut = F.col("_busy").isNull() | (F.col("_pos") - reach > F.col("_busy"))
+    start = F.when(F.col("_cut"), F.struct(F.col("_pos").alias("pos"), F.col("frame_idx").alias("frame"), F.col("_busy").alias("busy")))
+    linked = scan(
+        seen.withColumn("_cut", cut), ["video_id"], ["frame_idx"], through={"run": F.when(F.col("_cut"), F.col("frame_idx"))}, after={"_next": start},
     )
     # how far back a frame looks and how much that counts does not depend on the boxes chosen
     close = (F.col("_n") > 1) & (F.col("_two")[0] - F.col("_two")[1] <= 0.08)
     lean = F.when(F.col("zone") == "landing", 0.28).when(close, 0.24).otherwise(0.12)
-    context = runs.select(
-        "video_id", "frame_idx", "run", F.when(F.col("_cut"), F.col("_prev.box")).alias("prev_box"), lean.alias("lean"),
-        F.when(F.col("zone") == "landing", 4).otherwise(1).alias("reach"),
+    context = linked.select(
+        "video_id", "frame_idx", "run", lean.alias("lean"), F.when(F.col("zone") == "landing", HISTORY).otherwise(1).alias("reach"),
     )
     rows = d.join(context, ["video_id", "frame_idx"]).select(
-        "video_id", "run", F.col("frame_idx").alias("seq"), "det_id", "score", "x1", "y1", "x2", "y2", "prev_box", "lean", "reach", "appearance_sim",
+        "video_id", "run", F.col("frame_idx").alias("seq"), "det_id", "score", "x1", "y1", "x2", "y2", "lean", "reach", "appearance_sim", F.lit(False).alias("given"),
     )
-    schema = "video_id string, frame_idx int, det_id int, appearance_sim double, final_score double"
-    keys = ["video_id", "run"]
-
-    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # the frames in front of a run that are chosen already
+    ahead = F.col("_next.pos") - F.col("_pos")
+    known = linked.filter((F.col("_n") == 1) & (ahead <= HISTORY) & (F.col("_next.busy").isNull() | (F.col("_next.busy") < F.col("_pos"))))
+    given = known.select(
+        "video_id", F.col("_next.frame").alias("run"), F.col("frame_idx").alias("seq"), *[F.col("_only")[i].alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))], F.lit(True).alias("given")
+    )
+    rows = rows.unionByName(given, allowMissingColumns=True)
+    schema = T.StructType([
+        rows.schema["video_id"], T.StructField("frame_idx", T.IntegerType()), T.StructField("det_id", T.IntegerType()),
+        T.StructField("appearance_sim", T.DoubleType()), T.StructField("final_score", T.DoubleType()),
+    ])
+    kinds = arrow_schema(schema)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run, recent = None, []
-        for key, options in _frames_in_order(batches, keys):
-            boxes, score = _boxes(options), options["score"].to_numpy(float)
-            row = options.iloc[0]
-            if key != run:
-                run, recent = key, [] if row["prev_box"] is None else [np.asarray(row["prev_box"], float)]
-            if recent:
-                score = score + row["lean"] * np.max([_overlaps(boxes, b) for b in recent[-int(row["reach"]) :]], axis=0)
-            at = int(score.argmax())  # the first of equal ones: rows come by det_id
-            recent = [*recent[-3:], boxes[at]]
-            yield pd.DataFrame(
-                [(row["video_id"], row["seq"], options["det_id"].iloc[at], options["appearance_sim"].iloc[at], score[at])],
-                columns=["video_id", "frame_idx", "det_id", "appearance_sim", "final_score"],
-            )
-
-    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "seq", "det_id")
-    return ordered.mapInPandas(choose, schema)
+        for part, edges in framed(batches, 3):
+            video = part.column(0).to_pylist()
+            number, seq, det, score, lean_, reach_, sims, is_given = _numbers(part, "run", "seq", "det_id", "score", "lean", "reach", "appearance_sim", "given")
+            boxes, out = _box_table(part), []
+            for a, b in zip(edges, edges[1:]):
+                if (video[a], number[a]) != run:
+                    run, recent = (video[a], number[a]), []
+                here = boxes[a:b]
+                if is_given[a]:
+                    recent = [*recent[1 - HISTORY :], here[0]]
+                    continue
+                final = score[a:b]
+                if recent:
+                    final = final + lean_[a] * np.max([_overlaps(here, box) for box in recent[-int(reach_[a]) :]], axis=0)
+                at = int(final.argmax())  # the first of equal ones: rows come by det_id
+                recent = [*recent[1 - HISTORY :], here[at]]
+                out.append((video[a], int(seq[a]), int(det[a + at]), float(sims[a + at]), float(final[at])))
+            if out:
+                yield _batch(out, kinds)
+
+    keys = ["video_id", "run"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "seq", "det_id").mapInArrow(choose, schema)
 
 
 def gap_fill(frames: DataFrame, detections: DataFrame, masks: bool = True) -> DataFrame:
@@ -451,8 +474,9 @@ def gap_fill(frames: DataFrame, detections: DataFrame, masks: bool = True) -> Da
     ``frames``: person_detected, person_bbox, quality_score, appearance_sim of
     the primary pass.  Early frames are walked backwards (weak ones are tried
     again), late ones forwards; each filled box becomes the expectation for the
-    next.  Frames that stay as they are bound the runs, so every run is folded
-    on its own.  Returns one row per changed frame with ``fill_action``.
+    next.  Frames that stay as they are bound the runs, and so do frames that
+    are filled the same way whatever the walk has reached before; every run is
+    folded on its own.  Returns one row per changed frame with ``fill_action``.
     """
     base = progress(frames).withColumn("zone", S.zone(F.col("progress"))).drop("progress")
     known = F.coalesce(F.col("person_detected"), F.lit(False)) & G.has_box(F.col("person_bbox"))
@@ -485,69 +509,80 @@ def gap_fill(frames: DataFrame, detections: DataFrame, masks: bool = True) -> Da
         "near_p": F.when(early, F.col("rp")).otherwise(F.col("lp")), "near_b": F.when(early, F.col("rb")).otherwise(F.col("lb")),
         "beyond_p": F.when(early, F.col("lp")).otherwise(F.col("rp")), "beyond_b": F.when(early, F.col("lb")).otherwise(F.col("rb")),
     }).drop("lp", "lb", "rp", "rb")
-    schema = (
-        "video_id string, frame_idx int, det_id int, x1 double, y1 double, x2 double, y2 double, conf double, "
-        "mask_area_px int, appearance_sim double, fill_action string"
-    )
-    keys, names = ["video_id", "side", "run"], [f.split()[0] for f in schema.split(", ")]
-
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # a frame without a person and with one candidate that needs no overlap is filled whatever came before: the walk starts anew behind it
+    options = F.count("det_id").over(Window.partitionBy("video_id", "side", "run", "seq"))
+    sure = ~F.col("was") & (F.col("_need") == 0) & ~F.col("_weak") & (F.col("_options") == 1)
+    mark = F.when(F.coalesce(sure, F.lit(False)), F.struct("seq", "pos", box_of().alias("box")))
+    line = ["video_id", "side", "run"]
+    rows = rows.withColumn("_options", options).withColumn("_tie", F.coalesce("det_id", F.lit(-1)))
+    rows = scan(rows.withColumn("_sure", mark), line, ["seq", "_tie"], before={"_from": F.col("_sure")})
+    rows = rows.withColumns({
+        "part": F.coalesce("_from.seq", F.lit(-(1 << 40)).cast("long")), "near_p": F.coalesce("_from.pos", "near_p"), "near_b": F.coalesce("_from.box", "near_b"),
+    }).select(*line, "part", "seq", *[c for c in rows.columns if c not in (*line, "seq", "_options", "_sure")])
+    schema = T.StructType([rows.schema["video_id"], *(T.StructField(n, k) for n, k in (
+        ("frame_idx", T.IntegerType()), ("det_id", T.IntegerType()), *((c, T.DoubleType()) for c in ("x1", "y1", "x2", "y2", "conf")),
+        ("mask_area_px", T.IntegerType()), ("appearance_sim", T.DoubleType()), ("fill_action", T.StringType()),
+    ))])
+    kinds = arrow_schema(schema)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = reached = None
-        for key, options in _frames_in_order(batches, keys):
-            row = options.iloc[0]
-            if key != run:
-                run, reached = key, None
-            # what the walk has reached lies between this frame and any known one on that side
-            near = reached or (None if row["near_b"] is None else (int(row["near_p"]), np.asarray(row["near_b"], float)))
-            expected = _between(near, row)
-            at, iou = _best_place(options, expected)
-            if at is not None and row["was"] and row["zone"] == "early" and options["sim"].iloc[at] + 0.05 < row["old_sim"] and iou < 0.22:
-                at = None
-            if at is None:
-                if row["was"] and row["old_box"] is not None:
-                    reached = (row["pos"], np.asarray(row["old_box"], float))
-                continue
-            c = options.iloc[at]
-            reached = (row["pos"], _boxes(options)[at])
-            action = "filled_late" if row["side"] == "late" else "rescored_early" if row["was"] else "filled_early"
-            yield pd.DataFrame(
-                [(c["video_id"], c["frame_idx"], int(c["det_id"]), c["x1"], c["y1"], c["x2"], c["y2"], c["conf"], int(c["mask_area_px"]), c["sim"], action)],
-                columns=names,
-            )
-
-    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "seq", "det_id")
-    return ordered.mapInPandas(fill, schema)
-
-
-def _between(near: tuple[int, np.ndarray] | None, row: pd.Series) -> np.ndarray | None:
+        for part, edges in framed(batches, 5):
+            text = {n: part.column(part.schema.get_field_index(n)).to_pylist() for n in ("video_id", "side", "run", "part", "zone", "old_box", "near_b", "beyond_b")}
+            names = ("frame_idx", "pos", "was", "old_sim", "near_p", "beyond_p", "diagonal", "det_id", "conf", "mask_area_px", "sim", "_base", "_need", "_weak")
+            col, boxes, out = dict(zip(names, _numbers(part, *names))), _box_table(part), []
+            for a, b in zip(edges, edges[1:]):
+                key = (text["video_id"][a], text["side"][a], text["run"][a], text["part"][a])
+                if key != run:
+                    run, reached = key, None
+                side, pos, old = key[1], int(col["pos"][a]), text["old_box"][a]
+                # what the walk has reached lies between this frame and any known one on that side
+                near = reached or (None if text["near_b"][a] is None else (int(col["near_p"][a]), np.asarray(text["near_b"][a], float)))
+                beyond = None if text["beyond_b"][a] is None else (int(col["beyond_p"][a]), np.asarray(text["beyond_b"][a], float))
+                expected = _between(near, beyond, pos, side)
+                at, iou = _best_place({n: v[a:b] for n, v in col.items()}, boxes[a:b], expected)
+                if at is not None and col["was"][a] and text["zone"][a] == "early" and col["sim"][a + at] + 0.05 < col["old_sim"][a] and iou < 0.22:
+                    at = None
+                if at is None:
+                    if col["was"][a] and old is not None:
+                        reached = (pos, np.asarray(old, float))
+                    continue
+                reached = (pos, boxes[a + at])
+                action = "filled_late" if side == "late" else "rescored_early" if col["was"][a] else "filled_early"
+                i = a + at
+                out.append((key[0], int(col["frame_idx"][a]), int(col["det_id"][i]), *boxes[i].tolist(), float(col["conf"][i]), int(col["mask_area_px"][i]), float(col["sim"][i]), action))
+            if out:
+                yield _batch(out, kinds)
+
+    keys = ["video_id", "side", "run", "part"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "seq", "_tie").mapInArrow(fill, schema)
+
+
+def _between(near: tuple[int, np.ndarray] | None, beyond: tuple[int, np.ndarray] | None, pos: int, side: str) -> np.ndarray | None:
     """The box to expect: that of the next frame on an early walk, else blended by position."""
-    if near is not None and row["side"] == "early" and near[0] == row["pos"] + 1:
+    if near is not None and side == "early" and near[0] == pos + 1:
         return near[1]
-    beyond = None if row["beyond_b"] is None else np.asarray(row["beyond_b"], float)
     if near is None or beyond is None:
-        return beyond if near is None else near[1]
-    share = (row["pos"] - near[0]) / (row["beyond_p"] - near[0])
-    return near[1] + (beyond - near[1]) * share
+        return (near or beyond or (0, None))[1]
+    return near[1] + (beyond[1] - near[1]) * ((pos - near[0]) / (beyond[0] - near[0]))
 
 
-def _best_place(options: pd.DataFrame, expected: np.ndarray | None) -> tuple[int | None, float]:
+def _best_place(options: dict[str, np.ndarray], boxes: np.ndarray, expected: np.ndarray | None) -> tuple[int | None, float]:
     """Place of the best candidate of a frame and its overlap with the expected box.
 
     The columns of :func:`gap_terms` settle all but the place: only overlap and distance are added here.
     """
-    need = options["_need"].to_numpy(float)
-    n, iou, pull = len(options), np.zeros(len(options)), 0.0
-    allowed = options["det_id"].notna().to_numpy()
+    n, iou, pull = len(boxes), np.zeros(len(boxes)), 0.0
+    allowed = ~np.isnan(options["det_id"].astype(float))
     if expected is not None and allowed.any():
-        boxes = _boxes(options)
         iou = _overlaps(boxes, expected)
-        dist = np.hypot(*((boxes[:, :2] + boxes[:, 2:] - expected[:2] - expected[2:]) / 2).T) / float(options["diagonal"].iloc[0])
+        dist = np.hypot(*((boxes[:, :2] + boxes[:, 2:] - expected[:2] - expected[2:]) / 2).T) / float(options["diagonal"][0])
         pull = NEAR_WEIGHT * np.maximum(0.0, 1.0 - dist * 4.0) - LOST_COST * ((iou < LOST_IOU) & (dist > LOST_DIST))
-        allowed &= ~(options["_weak"].to_numpy(bool) & (iou < FAR_IOU) & (dist > FAR_DIST))
-    allowed &= iou >= need
+        allowed &= ~(options["_weak"].astype(bool) & (iou < FAR_IOU) & (dist > FAR_DIST))
+    allowed &= iou >= np.nan_to_num(options["_need"].astype(float))
     if not allowed.any():
         return None, 0.0
-    score = np.where(allowed, options["_base"].to_numpy(float) + IOU_WEIGHT * iou + pull, -np.inf)
+    score = np.where(allowed, options["_base"].astype(float) + IOU_WEIGHT * iou + pull, -np.inf)
     top = int(score.argmax())
     if expected is not None and iou[top] < FAR_IOU:
         # a candidate that overlaps well wins a near tie

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import types as T
 
 
-def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.RecordBatch]]:
-    """Sorted rows cut where one of the first ``keys`` columns changes; a list per batch, the last run waits for the next batch."""
+def framed(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.RecordBatch, list[int]]]:
+    """Sorted rows with the edges of their groups by the first ``keys`` columns; a batch's last group waits for the next batch."""
     held: pa.RecordBatch | None = None
     for batch in batches:
         if batch.num_rows == 0:
@@ -19,10 +19,16 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.Recor
         codes = [rows.column(i).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False) for i in range(keys)]
         cuts = [0, *(1 + np.flatnonzero(np.any([np.diff(c) != 0 for c in codes], axis=0))).tolist()]
         if len(cuts) > 1:
-            yield [rows.slice(a, b - a) for a, b in zip(cuts, cuts[1:])]
+            yield rows.slice(0, cuts[-1]), cuts
         held = rows.slice(cuts[-1])
     if held is not None:
-        yield [held]
+        yield held, [0, held.num_rows]
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.RecordBatch]]:
+    """Sorted rows cut where one of the first ``keys`` columns changes; a list per batch, the last run waits for the next batch."""
+    for rows, edges in framed(batches, keys):
+        yield [rows.slice(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
 def nullable(schema: T.StructType) -> T.StructType:

@@ -2,18 +2,19 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from strideflow.operators import candidates as CD
 from strideflow.schemas import STATES
 
 
-def detections(seed=3, videos=4, frames=40):
+def detections(seed=3, videos=4, frames=40, most=4):
     rng = np.random.default_rng(seed)
     rows = []
     for v in range(videos):
         for f in range(frames):
-            for d in range(int(rng.integers(0, 4))):
+            for d in range(int(rng.integers(0, most))):
                 x, y = rng.uniform(0, 900), rng.uniform(0, 400)
                 rows.append((str(v), f, d, int(rng.integers(0, 3)), x, y, x + rng.uniform(40, 200), y + rng.uniform(60, 250),
                              float(rng.uniform(0.3, 1)), int(rng.integers(0, 20000)), float(rng.uniform(0, 0.7)), float(rng.uniform(0, 0.6)), float(rng.uniform(0, 0.6))))
@@ -89,16 +90,17 @@ def test_athlete_state_against_plain_rules(spark):
     assert set(got.values()) <= set(STATES)
 
 
-def test_refine_v2_against_a_walk(spark):
-    pdf = detections()
+@pytest.mark.parametrize("seed, count, most", [(3, 40, 4), (4, 160, 3), (5, 160, 2)])
+def test_refine_v2_against_a_walk(spark, seed, count, most):
+    pdf = detections(seed=seed, frames=count, most=most)
     df = spark.createDataFrame(pdf, SCHEMA)
-    frames = spark.createDataFrame([(str(v), f) for v in range(4) for f in range(40)], "video_id string, frame_idx int")
+    frames = spark.createDataFrame([(str(v), f) for v in range(4) for f in range(count)], "video_id string, frame_idx int")
     got = {(r.video_id, r.frame_idx): r.det_id for r in CD.refine_v2_select(frames, df).collect()}
     want = {}
     for v in map(str, range(4)):
         history = []
-        for f in range(40):
-            z = zone(f / 39)
+        for f in range(count):
+            z = zone(f / (count - 1))
             land = z == "landing"
             options = []
             for r in pdf[(pdf.video_id == v) & (pdf.frame_idx == f)].sort_values("det_id").itertuples():
@@ -121,12 +123,13 @@ def test_refine_v2_against_a_walk(spark):
     assert got == want
 
 
-def test_gap_fill_against_a_walk(spark):
-    pdf = detections(seed=9)
+@pytest.mark.parametrize("seed, count, most", [(9, 40, 4), (10, 160, 3), (11, 160, 2)])
+def test_gap_fill_against_a_walk(spark, seed, count, most):
+    pdf = detections(seed=seed, frames=count, most=most)
     rng = np.random.default_rng(1)
     frames = []
     for v in range(4):
-        for f in range(40):
+        for f in range(count):
             seen = bool(rng.random() > 0.5)
             x, y = rng.uniform(0, 900), rng.uniform(0, 400)
             frames.append((str(v), f, seen, [x, y, x + 100, y + 150] if seen else None, float(rng.uniform(0.1, 0.9)), float(rng.uniform(0, 0.5))))
@@ -135,22 +138,22 @@ def test_gap_fill_against_a_walk(spark):
     want = {}
     for v in map(str, range(4)):
         rows = [list(r) for r in frames if r[0] == v]
-        mid = [i for i in range(40) if zone(i / 39) == "mid" and rows[i][2]]
+        mid = [i for i in range(count) if zone(i / (count - 1)) == "mid" and rows[i][2]]
 
         def expect(i, backward):
-            if backward and i + 1 < 40 and rows[i + 1][2]:
+            if backward and i + 1 < count and rows[i + 1][2]:
                 return rows[i + 1][3]
             left = next((j for j in range(i - 1, -1, -1) if rows[j][2]), None)
-            right = next((j for j in range(i + 1, 40) if rows[j][2]), None)
+            right = next((j for j in range(i + 1, count) if rows[j][2]), None)
             if left is None or right is None:
                 j = right if left is None else left
                 return None if j is None else rows[j][3]
             t = (i - left) / (right - left)
             return [a + (b - a) * t for a, b in zip(rows[left][3], rows[right][3])]
 
-        walk = [(i, True) for i in range(mid[0] - 1, -1, -1)] + [(i, False) for i in range(mid[-1] + 1, 40)]
+        walk = [(i, True) for i in range(mid[0] - 1, -1, -1)] + [(i, False) for i in range(mid[-1] + 1, count)]
         for i, backward in walk:
-            z = zone(i / 39)
+            z = zone(i / (count - 1))
             was = rows[i][2]
             if was and not (z == "early" and rows[i][4] < 0.35):
                 continue
