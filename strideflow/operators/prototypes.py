@@ -80,15 +80,10 @@ def classify_frames(
     """Best phase of every valid pose, its score and the scores of all phases."""
     src = with_templates(with_sheet(frames.filter("pose.valid"), prototypes), templates)
     vec, quality = F.col("pose.vector"), F.col("pose.quality")
-    scores = F.array(
-        *[
-            F.struct(
-                phase_score(vec, quality, p, F.col("_own")[p]).alias("score"),
-                F.lit(-i).alias("rank"),
-                F.lit(p).alias("phase"),
-            )
-            for i, p in enumerate(PHASES)
-        ]
+    # one expression for all phases: the plan does not grow with their number
+    entries = F.array(*[F.struct(F.lit(p).alias("phase"), F.lit(-i).alias("rank"), phase_entry(p).alias("proto"), F.col("_own")[p].alias("own")) for i, p in enumerate(PHASES)])
+    scores = F.transform(
+        entries, lambda e: F.struct(V.phase_similarity(vec, quality, e["proto"], e["own"]).alias("score"), e["rank"].alias("rank"), e["phase"].alias("phase"))
     )
     scored = src.withColumn("_scores", scores)
     best = F.array_max("_scores")
