@@ -21,7 +21,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each result written and read again."""
+    """All stages over documents, each result written and read again.
+
+    Empty tables, null columns and repeated rows run through as the stages say (see ``strideflow.llm.stages``).
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = store(stage(spark, docs, sf_dir), f"pipeline-{name}")
