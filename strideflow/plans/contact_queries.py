@@ -86,6 +86,35 @@ _GREEDY = """SELECT video_id, unnest(list_reduce(list([f] ORDER BY s DESC, f), l
 FROM (SELECT video_id, frame_idx AS f, {score} AS s FROM {src}) GROUP BY video_id"""
 
 
+def long_signal(spark, sf):
+    """All events as one long rising series: a single key that spans many chunks."""
+    return C.table(spark, sf, "events").select(
+        F.lit("all").alias("video_id"), F.col("event_id").cast("int").alias("frame_idx"), (F.col("value") + F.col("event_id") * 0.020003).alias("signal")
+    )
+
+
+view("long_v", "SELECT 'all' AS video_id, CAST(event_id AS INTEGER) AS frame_idx, value + event_id * 0.020003::DOUBLE AS v FROM events")
+
+
+@query(
+    "e3_peaks_long",
+    sql(
+        """SELECT video_id, frame_idx, round(v - greatest(lb, rb), 6) AS prominence FROM (SELECT p.video_id, p.frame_idx, p.v,
+    (SELECT min(x.v) FROM long_v x WHERE x.frame_idx <= p.frame_idx AND x.frame_idx > coalesce((SELECT max(y.frame_idx) FROM long_v y WHERE y.frame_idx < p.frame_idx AND y.v > p.v), -1)) AS lb,
+    (SELECT min(x.v) FROM long_v x WHERE x.frame_idx >= p.frame_idx AND x.frame_idx < coalesce((SELECT min(y.frame_idx) FROM long_v y WHERE y.frame_idx > p.frame_idx AND y.v > p.v), 1000000000)) AS rb
+  FROM (SELECT *, lag(v) OVER w AS pv, lead(v) OVER w AS qv FROM long_v WINDOW w AS (ORDER BY frame_idx)) p WHERE v > pv AND v > qv)""",
+        "long_v",
+    ),
+)
+def e3_long(spark, sf):
+    return Q.peaks(long_signal(spark, sf)).select("video_id", "frame_idx", rnd(F.col("prominence")).alias("prominence"))
+
+
+@query("e4_min_gap_filter_long", sql(_GREEDY.format(gap=8, score="v", src="long_v"), "long_v"))
+def e4_long(spark, sf):
+    return Q.min_gap_filter(long_signal(spark, sf), "signal", 8).select("video_id", "frame_idx")
+
+
 @query("e4_min_gap_filter", sql(_GREEDY.format(gap=8, score="value", src="signals_v"), "signals_v"))
 def e4(spark, sf):
     s = C.signals(spark, sf).select("video_id", "frame_idx", "value")

@@ -203,7 +203,15 @@ def j20(spark, sf):
     return GT.prefer_pass(both, gt_seeds(spark, sf)).withColumn("score", rnd(F.col("score")))
 
 
-@query("j23_phase_frame")
+@query(
+    "j23_phase_frame",
+    sql(
+        """SELECT video_id, phase, frame_idx FROM hop_scores_v
+UNION ALL SELECT c.video_id, 'final_flight', coalesce((min({'d': abs(f.frame_idx - 124), 'f': f.frame_idx})).f, 124) FROM (SELECT DISTINCT video_id FROM contacts_v WHERE CAST(video_id AS INTEGER) % 4 <> 3) c
+  LEFT JOIN flight_scores_v f ON f.video_id = c.video_id GROUP BY 1""",
+        "hop_scores_v", "flight_scores_v", "contacts_v",
+    ),
+)
 def j23(spark, sf):
     from .metric_queries import contacts, metric_frames
 
@@ -844,7 +852,15 @@ def o2(spark, sf):
     return FR.top_rows(C.detections(spark, sf), 12, order).select("video_id", "frame_idx", "det_id", "rank")
 
 
-@query("a18_panel")
+@query(
+    "a18_panel",
+    sql(
+        """SELECT h.video_id, h.phase, 'H' || substr(h.phase, 5) AS label, h.frame_idx, round(coalesce(s.dt_s, 0) * 1000) AS time_ms, round(coalesce(s.speed, 0), 1) AS speed, CASE WHEN s.dt_s IS NULL THEN 0.0 ELSE 0.3 END::DOUBLE AS delta,
+  coalesce(h.score, 0) AS pose_quality, CASE WHEN coalesce(h.score, 0) >= 0.75 THEN 'buena' WHEN coalesce(h.score, 0) >= 0.55 THEN 'regular' ELSE 'débil' END AS pose_label
+FROM hop_scores_v h LEFT JOIN (SELECT s.video_id, s.id, dt_s, round(round(length_px * m_per_px, 4) / dt_s, 3) AS speed FROM segments_v s JOIN metrics_v m ON m.video_id = s.video_id) s ON s.video_id = h.video_id AND s.id = h.phase""",
+        "hop_scores_v", "segments_v", "metrics_v",
+    ),
+)
 def a18(spark, sf):
     from .metric_queries import contacts, full_metrics, metric_frames
 
