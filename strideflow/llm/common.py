@@ -39,11 +39,6 @@ def store(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished queries now; it does so when the driver's garbage is collected."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if a count shows at most ``rows`` rows, else as it is."""
     return F.broadcast(df) if df.count() <= rows else df
